@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed: the six ASCII bytes that separate words, i.e. the complement of the class [^\x20\x09-\x0D].
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -39,6 +42,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, to keep a kernel's arrays small; a longer text is alone in its range."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the number of words that begin before each offset."""
     space = _IS_SPACE[raw]
@@ -60,8 +75,8 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
-    raw, offsets = flat(texts)
-    return np.diff(word_spans(raw, offsets)[2])
+    counts = [np.diff(word_spans(*flat(texts.slice(a, b - a)))[2]) for a, b in slices(texts)]
+    return np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:

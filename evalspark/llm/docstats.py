@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.llm.bytesets import SPACES, flat, mixed, word_hashes, word_spans
+from evalspark.llm.bytesets import SPACES, flat, mixed, slices, word_hashes, word_spans
 
 #: Fixed: the symbol characters of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -75,6 +75,11 @@ def _word_tables() -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def _stats_of(texts: pa.Array, langs: pa.Array) -> pa.Array:
+    parts = [_stats_of_slice(texts.slice(a, b - a), langs.slice(a, b - a)) for a, b in slices(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], STATS)
+
+
+def _stats_of_slice(texts: pa.Array, langs: pa.Array) -> pa.Array:
     raw, offsets = flat(texts)
     starts, ends, first = word_spans(raw, offsets)
     hashes = word_hashes(raw, starts, ends, lower=False)

@@ -6,22 +6,96 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalspark.llm.archive import MIN_REVISIT_BYTES, archive_pages
+from evalspark.llm.jaccard import near_duplicates
+from evalspark.llm.licences import licence_sql, scan_licences
+from evalspark.llm.mixing import mix_weights
+from evalspark.llm.packing import pack
 from evalspark.llm.quality_rules import quality_rules
 from evalspark.llm.rule_ensemble import quality_scores
+from evalspark.llm.sharding import shard_documents
+from evalspark.llm.topk import search_embeddings
+from evalspark.llm.url_filter import judge_urls
 from evalspark.plans.scratch import table
 
 
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_weights(table(spark, sf_dir, "documents"))
+
+
+def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op8_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_partition_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_rule_ensemble": op5_rule_ensemble,
-    "op9_distribution_divergence": op9_distribution_divergence,
-}
+    f.__name__: f
+    for f in (
+        op1_histogram_sort, op2_proportional_fitting, op3_ball_tree, op4_length_buckets, op5_rule_ensemble, op6_content_archive,
+        op7_sentence_rules, op8_markov_ratio, op9_distribution_divergence, op10_partition_pigeonhole, pipeline,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ball_tree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op6_content_archive": f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= {MIN_REVISIT_BYTES} AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {MIN_REVISIT_BYTES} AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+""",
+    "op7_sentence_rules": licence_sql(),
+}
