@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.plans.prims import draw
+from evalspark.plans.prims import draw, prefix_scan
 
 
 def cluster_sums(events: DataFrame, keys: list[str], cluster: str, event: str) -> DataFrame:
@@ -19,11 +19,8 @@ def bootstrap_rates(events: DataFrame, keys: list[str], cluster: str, event: str
     Clusters are numbered by order within their key; the draw for place j of replicate b is a hash, so replicates are
     the same under any partitioning. The join is of replicates times clusters rows, none of them records.
     """
-    from pyspark.sql import Window
-
     sums = cluster_sums(events, keys, cluster, event)
-    # one row for each cluster of a key stands in this window
-    numbered = sums.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(cluster)) - 1)
+    numbered = prefix_scan(sums, keys, [F.col(cluster)], {"rank": F.lit(1).cast("long")}).withColumn("i", F.col("rank") - 1).drop("rank", "rank_total")
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
     places = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
     drawn = places.select(*keys, "b", (draw(seed, F.col("b"), F.col("j")) % F.col("c")).alias("i")).groupBy(*keys, "b", "i").agg(F.count(F.lit(1)).alias("w"))
@@ -68,3 +65,55 @@ def patient_equalized_rate(events: DataFrame, keys: list[str], cluster: str, eve
     """Mean of each cluster's own rate, and clusters with any event."""
     per = cluster_sums(events, keys, cluster, event)
     return per.groupBy(*keys).agg(F.avg(F.col("events") / F.col("n")).alias("equalized_rate"), F.count_if(F.col("events") > 0).alias("with_event"), F.count(F.lit(1)).alias("clusters"))
+
+
+def bootstrap_metrics(pred: DataFrame, keys: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
+    """B2: (b, keys, auroc, brier) of every replicate of a clustered bootstrap; ``keys`` start with the label.
+
+    Records fall to (cluster, keys, score) counts first. Drawn weights meet those counts and are summed by (b, keys,
+    score) before anything is shuffled, so the shuffle is of replicates times distinct scores. A replicate with one
+    class has a null auroc: it is invalid, and counted as such by ``intervals_of``.
+    """
+    hist = pred.groupBy(cluster, *keys, "prob").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("target").cast("long")).alias("pos"))
+    clusters = pred.select(cluster).distinct().withColumn("all", F.lit(0))
+    numbered = prefix_scan(clusters, ["all"], [F.col(cluster)], {"rank": F.lit(1).cast("long")}).select(cluster, (F.col("rank") - 1).alias("i"))
+    count = numbered.agg(F.count(F.lit(1)).alias("c"))
+    places = count.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    weights = places.select("b", (draw(seed, F.col("b"), F.col("j")) % F.col("c")).alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("w"))
+    drawn = weights.join(numbered, "i").join(hist, cluster)
+    cells = drawn.groupBy("b", *keys, "prob").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
+    neg = F.col("n") - F.col("pos")
+    cum = prefix_scan(cells, ["b", *keys], [F.col("prob")], {"neg_to": neg, "pos_to": F.col("pos")})
+    won = F.sum(F.col("pos") * (F.col("neg_to") - neg / 2))
+    p = F.col("prob")
+    loss = F.sum(F.col("pos") * (1 - p) * (1 - p) + neg * p * p)
+    out = cum.groupBy("b", *keys).agg(won.alias("won"), loss.alias("loss"), F.max("pos_to_total").alias("P"), F.max("neg_to_total").alias("Q"))
+    return out.select("b", *keys, F.when((F.col("P") > 0) & (F.col("Q") > 0), F.col("won") / (F.col("P") * F.col("Q"))).alias("auroc"), (F.col("loss") / (F.col("P") + F.col("Q"))).alias("brier"))
+
+
+def intervals_of(replicates: DataFrame, keys: list[str], metric: str, least: int, confidence: float = 0.95) -> DataFrame:
+    """B2: percentile interval, numbers of valid and invalid replicates, and a status."""
+    tail = (1 - confidence) / 2
+    v = F.col(metric)
+    out = replicates.groupBy(*keys).agg(F.count(v).alias("valid"), F.count_if(v.isNull()).alias("invalid"), F.percentile(metric, [tail, 1 - tail]).alias("q"))
+    status = F.when(F.col("valid") == 0, "undefined").when(F.col("valid") < least, "insufficient").when(F.col("q")[0] == F.col("q")[1], "degenerate").otherwise("ok")
+    return out.select(*keys, "valid", "invalid", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), status.alias("status"))
+
+
+def paired_bootstrap(pred: DataFrame, model: str, a: str, b: str, keys: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
+    """Metric of one model (or case) less that of another, replicate by replicate, under the same draws."""
+    both = bootstrap_metrics(pred.where(F.col(model).isin(a, b)), [*keys, model], cluster, replicates, seed)
+    wide = both.groupBy("b", *keys).pivot(model, [a, b]).agg(F.first("auroc").alias("auroc"), F.first("brier").alias("brier"))
+    return wide.select("b", *keys, *[(F.col(f"{a}_{m}") - F.col(f"{b}_{m}")).alias(m) for m in ("auroc", "brier")])
+
+
+def gate_plan(spark, sizes: list[int], rates: list[float], limit: float, target: float, z: float = 1.6448536269514722) -> DataFrame:
+    """For each design (n, rate) the most events that pass a Wilson bound of ``limit``, the chance to pass, and
+    whether it reaches ``target``. Binomial terms are summed from logs of factorials, row by row of the grid."""
+    grid = spark.createDataFrame([(n, r) for n in sizes for r in rates], "n int, rate double")
+    k = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    steps = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("k"), F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.when(F.col("k") > 0, F.log((F.col("n") - F.col("k") + i) / i)).otherwise(0.0))
+    term = F.exp(steps + F.col("k") * F.log("rate") + (F.col("n") - F.col("k")) * F.log(1 - F.col("rate")))
+    ok = wilson_upper(F.col("k"), F.col("n"), z) <= limit
+    out = k.groupBy("n", "rate").agg(F.max(F.when(ok, F.col("k"))).alias("max_events"), F.sum(F.when(ok, term).otherwise(0.0)).alias("pass_probability"))
+    return out.withColumn("reaches", F.col("pass_probability") >= target)
