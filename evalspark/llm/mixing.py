@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.bytesets import word_counts
-from evalspark.plans.scratch import fresh, materialise
+from evalspark.plans.scratch import materialise
 
 #: Level for whatever isn't named by the targets.
 OTHER = "*"
@@ -153,10 +153,9 @@ def mix_weights(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFram
 
 def sample_mix(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFrame:
     """The sampled documents, with their own columns."""
-    named = {n: fresh(docs, f"__{n}") for n in (*CELL, "n_tokens")}
     cols = cell_columns(targets)
-    counted = docs.select(*[cols[n].alias(n) for n in (*CELL, "n_tokens")])
-    p = calibrate(counted, targets).select(*[F.col(c).alias(named[c]) for c in CELL], F.col("probability").alias("__p"))
-    celled = docs.withColumns({named[c]: cols[c] for c in CELL})
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return celled.join(F.broadcast(p), [named[c] for c in CELL]).where(uniform(F.col("doc_id"), F.xxhash64("text"), targets.seed) < F.col("__p")).select(*own)
+    p = calibrate(docs.select(*[cols[n].alias(n) for n in (*CELL, "n_tokens")]), targets).select(*CELL, "probability")
+    # the row travels as one struct, so that no column of docs can clash with the cells'
+    rows = docs.select(F.struct("*").alias("doc"), *[cols[c].alias(c) for c in CELL]).join(F.broadcast(p), CELL)
+    taken = uniform(F.col("doc.doc_id"), F.xxhash64("doc.text"), targets.seed) < F.col("probability")
+    return rows.where(taken).select("doc.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.docstats import CLASSES, COMMON_WORDS, N_COMMON, document_stats
-from evalspark.plans.scratch import fresh, materialise
+from evalspark.plans.scratch import materialise
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -102,9 +102,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The documents that ``quality_rules`` keeps, with their own columns; all columns of ``docs`` are preserved."""
-    counts = document_stats(F.col("text"), F.col("lang"))
-    stats = materialise(docs.select("lang", counts.alias("s")), "docstats")
-    s = fresh(docs, "__stats")
-    with_stats = docs.withColumn(s, counts)
-    v = fresh(with_stats, "__verdict")
-    return judged(with_stats, refined_references(stats, "lang", "s"), "lang", s, v).where(F.col(v)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    counts = document_stats(F.col("text"), F.col("lang")).alias("s")
+    stats = materialise(docs.select("lang", counts), "docstats")
+    # the row travels as one struct, so that no column of docs can clash with the rules'
+    rows = docs.select(F.struct("*").alias("doc"), "lang", counts)
+    return judged(rows, refined_references(stats, "lang", "s"), "lang", "s", "v").where("v.kept").select("doc.*")

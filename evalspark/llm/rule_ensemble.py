@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.docstats import document_stats
-from evalspark.plans.scratch import fresh, materialise
+from evalspark.plans.scratch import materialise
 
 #: Documented bound of the sample of labelled rows that the model is fitted on.
 MAX_TRAIN_ROWS = 20_000
@@ -128,12 +128,11 @@ def score_column(intercept: float, rules: list[tuple[tuple, float]], s: Column)
     return 1 / (1 + F.exp(-total))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, out: str) -> DataFrame:
-    """``docs`` with the score in column ``out``; labels, lang, source and doc_id are no inputs of it."""
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as the struct ``doc``, with its ``score``; labels, lang, source and doc_id are no inputs."""
     intercept, rules = fit_rules(training_rows(docs, labels))
-    s = fresh(docs, "__stats")
-    scored = docs.withColumn(s, document_stats(F.col("text"), F.lit(None).cast("string")))
-    return scored.withColumn(out, score_column(intercept, rules, F.col(s))).drop(s)
+    counted = docs.select(F.struct("*").alias("doc"), document_stats(F.col("text"), F.lit(None).cast("string")).alias("s"))
+    return counted.select("doc", score_column(intercept, rules, F.col("s")).alias("score"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,11 +141,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored as texts without words; equal texts get equal scores; a null doc_id is scored and
     not held out; an empty table gives an empty result; other columns are ignored.
     """
-    scored = score_documents(docs.select("doc_id", "text"), labels, "score")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    doc_id = F.col("doc.doc_id")
+    scored = score_documents(docs.select("doc_id", "text"), labels)
+    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of at least 0.7, with their own columns."""
-    out = fresh(docs, "__score")
-    return score_documents(docs, labels, out).where(F.col(out) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score_documents(docs, labels).where(F.col("score") >= THRESHOLD).select("doc.*")
