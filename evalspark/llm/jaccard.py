@@ -32,6 +32,12 @@ NUM, DEN = 75, 100
 WIDTH = 5
 #: Extra share of tokens that elimination looks at, in hundredths of a set.
 SLACK = 10
+#: Rounds in which members of a segment meet a hub, and the hubs that a class meets in odd ones.
+HUB_ROUNDS, SPOKES = 2, 4
+#: Segments of more members than this are compared by families, in blocks of about BLOCK members and COLUMNS tokens.
+CROWDED, BLOCK, COLUMNS = 32, 512, 4096
+#: Bits of a class's sketch.
+SKETCH = 1024
 #: Segments for each token of a band's smallest set; bands below FINE have a segment for each token.
 SEGMENTS, FINE = 0.75, 128
 
@@ -119,7 +125,19 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = (lo == batch.column("lo").to_numpy()) & (hi == batch.column("hi").to_numpy())
         raw = tokens.tobytes()
         blobs = pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), _longs(np.diff(ends)), blobs], ["cid", "size", "tokens"]).filter(pa.array(same))
+        sketches = pa.array([_sketch(tokens[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), _longs(np.diff(ends)), blobs, sketches], ["cid", "size", "tokens", "sketch"]).filter(pa.array(same))
+
+
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each of SKETCH buckets. Two sketches differ in no more bits than their sets in tokens."""
+    bucket = (mixed(tokens ^ np.uint64(0x9E6C63D0876A9F35)) >> np.uint64(32)) % np.uint64(SKETCH)
+    return np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8).tobytes()
+
+
+def _differing(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(v.as_py() for v in c), np.uint8).reshape(-1, SKETCH // 8) for c in (a, b))
+    return pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64))
 
 
 def band_of(size: int) -> int:
@@ -174,8 +192,8 @@ def _segment_rows(deletions: bool):
 SEGMENT_ROWS = "key long, cid long, size long, band long, gap long, seg long, gone long"
 
 
-def allocated(sets: DataFrame) -> DataFrame:
-    """Rows (key, cid, size, probe, crowd) of segments that several classes share.
+def plain_allocation(sets: DataFrame) -> DataFrame:
+    """Rows (key, cid, size, band, probe, crowd, mass) of segments that several classes share.
 
     ``gap`` is what a class must probe beyond its segments: H + 1 less their number. With c shared segments it must
     probe gap + c of those, and takes the least crowded.
@@ -186,7 +204,60 @@ def allocated(sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("cid", "band")
     rank = F.row_number().over(own.orderBy("crowd", "key"))
     probe = rank <= F.col("gap") + F.count(F.lit(1)).over(own)
-    return materialise(shared.select("key", "cid", "size", probe.alias("probe"), "crowd"), "segments")
+    # how much of a class is shared, and how widely: greatest for the original of a group of edited copies
+    mass = F.round(F.sum("crowd").over(own) / F.col("size"), 3)
+    return materialise(shared.select("key", "cid", "size", "band", probe.alias("probe"), "crowd", mass.alias("mass")), "segments")
+
+
+def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Classes that would probe a crowded segment choose again, now with one-deletion neighbourhoods.
+
+    A segment probed for equal content bears no difference and counts once; probed also for content that differs by
+    one token it bears one and counts twice. Its price is the number of members that the probe would meet. A class
+    takes the H + 1 cheapest counts. Its partners all share a segment that it probed before, so only the members of
+    those segments are indexed by deletions. Neighbourhoods get keys of their own, which hold contents and contents
+    less a token alike. Classes of which more segments are crowded than they must probe are edited copies: what the
+    edits changed lies one token from the crowd as well, so they have nothing cheaper to choose and stay as they are.
+    """
+    crowded = F.count_if(F.col("crowd") > CROWDED)
+    probes = F.count_if(F.col("probe") & (F.col("crowd") > CROWDED))
+    few = crowded <= F.max("size") * (2 * (DEN - NUM)) / (DEN + NUM)
+    hard = rows.groupBy("cid", "band").agg(probes.alias("p"), few.alias("few")).where("p > 0 AND few").select("cid", "band")
+    zone = rows.join(rows.where("probe").join(hard, ["cid", "band"], "left_semi").select("key").distinct(), "key", "left_semi").select("cid").distinct()
+    near = materialise(sets.join(zone, "cid", "left_semi").mapInArrow(_segment_rows(True), SEGMENT_ROWS), "neighbourhoods")
+    members = near.groupBy("key").agg(F.count_if(F.col("gone") == 0).alias("n_full"), F.count_if(F.col("gone") == 1).alias("n_gone")).where("n_full + n_gone > 1")
+    chooser = near.join(hard, ["cid", "band"], "left_semi").join(members, "key", "left")
+    equal = F.greatest(F.coalesce("n_full", F.lit(0)) - 1, F.lit(0))
+    meets = F.when(F.col("gone") == 0, F.coalesce("n_gone", F.lit(0))).otherwise(F.coalesce("n_full", F.lit(0)))
+    prices = chooser.groupBy("cid", "band", "seg").agg(
+        F.max(F.when(F.col("gone") == 0, equal)).alias("once"), F.sum(meets).alias("more"), F.max("gap").alias("gap"), F.max(F.when(F.col("gone") == 0, F.col("key"))).alias("key")
+    )
+    # the second count never costs less than the first, so it is never taken alone
+    counts = prices.select("cid", "band", "seg", "key", "gap", F.posexplode(F.array(F.col("once"), F.greatest("once", "more"))).alias("again", "price"))
+    own = Window.partitionBy("cid", "band")
+    rank = F.row_number().over(own.orderBy("price", "again", "key"))
+    segments = F.count_if(F.col("again") == 0).over(own)
+    chosen = materialise(counts.withColumn("taken", rank <= F.col("gap") + segments).select("cid", "band", "seg", "key", "again", "taken"), "allocation")
+    first = chosen.where("again = 0 AND taken").select("cid", "band", "key", F.lit(True).alias("first"))
+    kept = rows.join(hard.withColumn("hard", F.lit(True)), ["cid", "band"], "left").join(first, ["cid", "band", "key"], "left")
+    kept = kept.withColumn("probe", F.when(F.col("hard"), F.coalesce("first", F.lit(False))).otherwise(F.col("probe")))
+    second = chosen.where("again = 1 AND taken").select("cid", "band", "seg", F.lit(True).alias("second"))
+    wide = near.join(second, ["cid", "band", "seg"], "left").withColumn("probe", F.coalesce("second", F.lit(False)))
+    met = wide.groupBy("key").agg(F.bool_or("probe").alias("probed"), F.count(F.lit(1)).alias("crowd")).where("probed AND crowd > 1")
+    masses = rows.groupBy("cid").agg(F.max("mass").alias("mass"))
+    around = wide.join(met.select("key", "crowd"), "key").join(masses, "cid").select(F.xxhash64("key", F.lit("neighbourhood")).alias("key"), "cid", "size", "probe", "crowd", "mass")
+    return materialise(kept.select("key", "cid", "size", "probe", "crowd", "mass").unionByName(around), "allocated")
+
+
+def allocated(sets: DataFrame) -> DataFrame:
+    """Rows (key, cid, size, probe, crowd, mass) after both allocations.
+
+    A class could only run short of segments (fewer than H + 1 that aren't empty) if its tokens met in far fewer
+    segments than hashing makes them: 7 standard deviations at the least set size that has segments of several tokens,
+    and more beyond; smaller sets have a segment for each token.
+    """
+    rows = plain_allocation(sets)
+    return cheaper_allocation(rows, sets)
 
 
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -199,12 +270,18 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) of classes that link, by exact comparison."""
-    left = sets.select(F.col("cid").alias("x"), F.col("size").alias("nx"), F.col("tokens").alias("tx"))
-    right = sets.select(F.col("cid").alias("y"), F.col("size").alias("ny"), F.col("tokens").alias("ty"))
-    both = F.arrow_udf(_common, "bigint")(F.col("tx"), F.col("ty"))
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", both.alias("both"))
-    return joined.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+    """Those of the pairs (x, y) of classes that link, by exact comparison.
+
+    Pairs whose sketches differ in more bits than linked sets may in tokens are out before any tokens are moved.
+    """
+    cols = lambda side, *names: sets.select(*[F.col(n).alias(n + side) for n in ("cid", *names)])
+    met = pairs.join(cols("1", "size", "sketch"), F.col("x") == F.col("cid1")).join(cols("2", "size", "sketch"), F.col("y") == F.col("cid2"))
+    may = F.floor((F.col("size1") + F.col("size2")) * (DEN - NUM) / (DEN + NUM) + 1e-9)
+    close = met.where(F.arrow_udf(_differing, "bigint")(F.col("sketch1"), F.col("sketch2")) <= may).select("x", "y", "size1", "size2")
+    held = materialise(close, "close-pairs")
+    both = F.arrow_udf(_common, "bigint")(F.col("tokens1"), F.col("tokens2"))
+    joined = held.join(cols("1", "tokens"), F.col("x") == F.col("cid1")).join(cols("2", "tokens"), F.col("y") == F.col("cid2")).select("x", "y", "size1", "size2", both.alias("both"))
+    return joined.where(DEN * F.col("both") >= NUM * (F.col("size1") + F.col("size2") - F.col("both"))).select("x", "y")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -215,40 +292,107 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def hub_pairs(rows: DataFrame) -> DataFrame:
-    """Each member of a segment with the segment's first member, if either probes it."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct("cid", "size", "probe")).alias("hub"))
-    met = rows.join(hubs, "key").where((F.col("cid") != F.col("hub.cid")) & (F.col("probe") | F.col("hub.probe")) & _near(F.col("size"), F.col("hub.size")))
+def hub_pairs(rows: DataFrame, round_: int) -> DataFrame:
+    """Pairs of a probing member of a segment with the segment's hub, if they are in different components.
+
+    In even rounds the hub is the member of the greatest mass, so that a group of edited copies meets the text it was
+    made from. In odd rounds each segment has a hub of its own by hash, and a class meets those of SPOKES segments.
+    """
+    order = F.struct("mass", "cid") if round_ % 2 == 0 else F.struct(F.xxhash64("key", "cid", F.lit(round_)).alias("mass"), "cid")
+    hubs = rows.groupBy("key").agg(F.max_by(F.struct("cid", "size", "comp"), order).alias("hub"))
+    probes = rows.where("probe")
+    if round_ % 2:
+        pick = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("key", F.lit(round_)), "key"))
+        probes = probes.withColumn("i", pick).where(F.col("i") <= SPOKES).drop("i")
+    met = probes.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & _near(F.col("size"), F.col("hub.size")))
     return _pairs(met.select(F.col("cid").alias("x"), F.col("hub.cid").alias("y")))
 
 
 def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component of each class by the links so far: its own id without one."""
     comps = components(links)
-    return rows.drop("comp").join(comps, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cid")).drop("node")
+    joined = rows.drop("comp").join(comps, F.col("cid") == F.col("node"), "left")
+    return materialise(joined.withColumn("comp", F.coalesce("comp", "cid")).drop("node"), "labelled")
+
 
+def unsettled(rows: DataFrame) -> DataFrame:
+    """(key, hub) of segments that are probed and have members in several components; the hub is as in even rounds."""
+    by_key = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("probe").alias("p"), F.max(F.struct("mass", "cid")).alias("hub"))
+    return by_key.where("a < b AND p").select("key", F.col("hub.cid").alias("hub"))
 
-def outside(rows: DataFrame) -> DataFrame:
-    """Members of a segment that are not in the component of its first member."""
-    hubs = rows.groupBy("key").agg(F.min_by("comp", "cid").alias("main"))
-    return rows.join(hubs, "key").where(F.col("comp") != F.col("main")).drop("main")
 
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """In segments of at most CROWDED members: pairs in different components of which the larger (by size, then id)
+    probes the segment.
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of members of a segment in different components of which one probes it."""
-    few = outside(rows)
-    other = rows.select("key", F.col("cid").alias("c2"), F.col("size").alias("s2"), F.col("probe").alias("p2"), F.col("comp").alias("m2"))
-    met = few.join(other, "key").where((F.col("comp") != F.col("m2")) & (F.col("probe") | F.col("p2")) & _near(F.col("size"), F.col("s2")))
-    return _pairs(met.select(F.col("cid").alias("x"), F.col("c2").alias("y")))
+    That is enough: what a class probes is chosen to meet every partner of at most its own size.
+    """
+    few = rows.where(F.col("crowd") <= CROWDED).join(unsettled(rows).select("key"), "key")
+    cols = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("cid", "size", "comp")]
+    order = F.struct("size2", "cid2") < F.struct("size1", "cid1")
+    differ = (F.col("comp1") != F.col("comp2")) & order & _near(F.col("size1"), F.col("size2"))
+    met = few.where("probe").select("key", *cols(1)).join(few.select("key", *cols(2)), "key").where(differ)
+    return _pairs(met.select(F.col("cid1").alias("x"), F.col("cid2").alias("y")))
+
+
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between two blocks of a family, by products of 0/1 matrices over the tokens that both blocks have.
+
+    Of the links of a class with the members of one component the first is returned.
+    """
+    x, y, nx, ny, cx, cy = (t.column(c).to_numpy() for c in ("cid", "size", "comp") for t in (left, right))
+    empty = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
+    if not len(x) or not len(y):
+        return empty
+    tokens = [[np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("tokens")] for t in (left, right)]
+    flat_ = [np.concatenate(t) for t in tokens]
+    owner = [np.repeat(np.arange(len(t)), [len(v) for v in t]) for t in tokens]
+    shared = np.intersect1d(*flat_)
+    both = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        part = shared[at : at + COLUMNS]
+        hot = []
+        for t, o, n in zip(flat_, owner, (len(x), len(y))):
+            place = np.minimum(np.searchsorted(part, t), len(part) - 1)
+            hit = part[place] == t
+            m = np.zeros((n, len(part)), np.float32)
+            m[o[hit], place[hit]] = 1
+            hot.append(m)
+        both += hot[0] @ hot[1].T  # whole numbers below 2 ** 24, so exact
+    smaller = (ny[None, :] < nx[:, None]) | (ny[None, :] == nx[:, None]) & (y[None, :] < x[:, None])
+    ok = (DEN * both.astype(np.int64) >= NUM * (nx[:, None] + ny[None, :] - both.astype(np.int64))) & (cx[:, None] != cy[None, :]) & smaller
+    i, j = np.nonzero(ok)
+    first = np.unique(np.stack([x[i], cy[j]], 1), axis=0, return_index=True)[1] if len(i) else i
+    return pa.table({"x": pa.array(np.minimum(x[i], y[j])[first]), "y": pa.array(np.maximum(x[i], y[j])[first])})
+
+
+def family_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components in segments of more than CROWDED members, without making a row for each pair.
+
+    Segments with one hub form a family. Its probing members are compared with all its members, block against block,
+    so a task holds two blocks, and only links come out.
+    """
+    crowded = rows.where(F.col("crowd") > CROWDED).join(unsettled(rows), "key")
+    members = materialise(crowded.groupBy("hub", "cid", "size", "comp").agg(F.bool_or("probe").alias("probe")), "families")
+    blocks = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    placed = members.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int")).join(sets.select("cid", "tokens"), "cid")
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    cols = ["hub", "i", "j", "cid", "size", "comp", "tokens"]
+    left = placed.where("probe").withColumn("i", F.col("own")).withColumn("j", every).select(*cols)
+    right = placed.withColumn("j", F.col("own")).withColumn("i", every).select(*cols)
+    at = ["hub", "i", "j"]
+    return left.groupBy(*at).cogroup(right.toDF(*cols).groupBy(*at)).applyInArrow(_block_links, "x long, y long")
 
 
 def linked_classes(sets: DataFrame) -> DataFrame:
     """Links (x, y) that connect the same components as all links between classes do."""
-    rows = allocated(sets)
-    links = materialise(verified(hub_pairs(rows), sets), "hub-links")
-    rest = materialise(outside(labelled(rows, links)), "outside")
-    links = materialise(links.unionByName(verified(hub_pairs(rest), sets)), "hub-links")
-    all_rows = materialise(labelled(rows, links), "labelled")
-    return materialise(links.unionByName(verified(cross_pairs(all_rows), sets)), "links")
+    rows = allocated(sets).withColumn("comp", F.col("cid"))
+    links = None
+    for round_ in range(HUB_ROUNDS):
+        found = verified(hub_pairs(rows, round_), sets)
+        links = materialise(found if links is None else links.unionByName(found), "links")
+        rows = labelled(rows, links)
+    return materialise(links.unionByName(verified(open_pairs(rows), sets)).unionByName(family_links(rows, sets)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -263,7 +407,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialise(texts.mapInArrow(_members, "doc_id long, n_shingles long, lo long, hi long"), "members")
     left = survivors(texts.where("doc_id IS NOT NULL").select("text"), members)
     chosen = texts.join(left.select("doc_id", "cid", "lo", "hi"), "doc_id").select("text", "cid", "lo", "hi")
-    sets = materialise(chosen.mapInArrow(_sets, "cid long, size long, tokens binary").dropDuplicates(["cid"]), "sets")
+    sets = materialise(chosen.mapInArrow(_sets, "cid long, size long, tokens binary, sketch binary").dropDuplicates(["cid"]), "sets")
     comps = components(linked_classes(sets))
     classes = left.join(comps, F.col("cid") == F.col("node")).select("lo", "hi", "comp", F.col("doc_id").alias("rep"))
     least = classes.groupBy("comp").agg(F.min("rep").alias("least"))
