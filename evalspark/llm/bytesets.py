@@ -42,7 +42,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, to keep a kernel's arrays small; a longer text is alone in its range."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -87,9 +87,9 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     """
     out = np.empty(len(starts), np.uint64)
     at = 0
-    while at < len(starts):  # in pieces of about 4 MB, at word ends
+    while at < len(starts):  # in pieces of about 1 MB, at word ends
         lo = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, lo + (1 << 22), "right")))
+        to = max(at + 1, int(np.searchsorted(ends, lo + (1 << 20), "right")))
         piece = raw[lo : ends[to - 1]]
         codes = _RANDOM[(_LOWER[piece] if lower else piece)]
         powers = _powers(len(piece) + 1)
