@@ -8,10 +8,11 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Equal set
    most H tokens, so of any H + 1 segments that are not empty one is equal in both. All segments are indexed by their
    content.
 3. *Allocation.* A class must probe H + 1 segments. Those that no other class has cost nothing; of the others it takes
-   the ones with the fewest members. Where a class would have to probe crowded segments, segments with a
-   one-deletion neighbourhood count twice: each of them bears one difference.
-4. *Verification.* Candidates are compared exactly. Crowded segments first meet only a hub each; members that are then in
-   one component need no further comparison, all others are compared with each other.
+   the ones with the fewest members. Members of a segment first meet only a hub each; a segment whose members are then
+   in one component needs no further comparison and costs nothing either. Where a class would still have to probe
+   crowded segments it chooses again, and segments with a one-deletion neighbourhood count twice: each of them bears
+   one difference.
+4. *Verification.* Candidates are compared exactly: pairs with hubs, then all members of different components.
 """
 
 from __future__ import annotations
@@ -165,10 +166,15 @@ def views(size: int) -> list[tuple[int, int]]:
 
 def _segment_rows(deletions: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, cid, size, band, gap, seg, gone): the content of each segment, and without each of its tokens."""
+        """(key, cid, size, band, gap, seg, gone): the content of each segment, and without each of its tokens.
+
+        With deletions also whether the class chooses again in that band, and its comp and mass.
+        """
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for cid, blob in zip(batch.column("cid").to_pylist(), batch.column("tokens")):
+            rows, again = [], []
+            masks = batch.column("bands").to_pylist() if deletions else [0] * len(batch)
+            for at_row, (cid, blob, mask) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("tokens"), masks)):
                 tokens = np.frombuffer(blob.as_buffer(), np.uint64)
                 for band, differ in views(len(tokens)):
                     ordered, starts = segments_of(tokens, band)
@@ -182,9 +188,19 @@ def _segment_rows(deletions: bool):
                         key, seg = np.concatenate([key, sums[of] - piece[long_]]), np.concatenate([seg, of])
                         gone = np.concatenate([gone, np.ones(len(of), np.int64)])
                     n = len(key)
+                    rows.append(np.full(n, at_row))
+                    again.append(np.full(n, bool(mask >> band & 1)))
                     for at, x in enumerate((mixed(key), np.full(n, cid), np.full(n, len(tokens)), np.full(n, band), np.full(n, differ + 1 - len(starts)), seg, gone)):
                         cols[at].append(x)
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(c)) if c else _longs(np.zeros(0, np.int64)) for c in cols], ["key", "cid", "size", "band", "gap", "seg", "gone"])
+            if not rows:
+                continue
+            arrays = [_longs(np.concatenate(c)) for c in cols]
+            names = ["key", "cid", "size", "band", "gap", "seg", "gone"]
+            if deletions:
+                place = pa.array(np.concatenate(rows))
+                arrays += [pa.array(np.concatenate(again)), batch.column("comp").take(place), batch.column("mass").take(place)]
+                names += ["hard", "comp", "mass"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
@@ -193,7 +209,11 @@ SEGMENT_ROWS = "key long, cid long, size long, band long, gap long, seg long, go
 
 
 def plain_allocation(sets: DataFrame) -> DataFrame:
-    """Rows (key, cid, size, band, probe, crowd, mass) of segments that several classes share.
+    """Rows (key, cid, size, band, probe, crowd, mass, comp) of segments that several classes share.
+
+    Each class is a component of its own here. A class could only run short of segments (fewer than H + 1 that aren't
+    empty) if its tokens met in far fewer segments than hashing makes them: 7 standard deviations at the least set size
+    that has segments of several tokens, and more beyond; smaller sets have a segment for each token.
 
     ``gap`` is what a class must probe beyond its segments: H + 1 less their number. With c shared segments it must
     probe gap + c of those, and takes the least crowded.
@@ -206,58 +226,61 @@ def plain_allocation(sets: DataFrame) -> DataFrame:
     probe = rank <= F.col("gap") + F.count(F.lit(1)).over(own)
     # how much of a class is shared, and how widely: greatest for the original of a group of edited copies
     mass = F.round(F.sum("crowd").over(own) / F.col("size"), 3)
-    return materialise(shared.select("key", "cid", "size", "band", probe.alias("probe"), "crowd", mass.alias("mass")), "segments")
+    return materialise(shared.select("key", "cid", "size", "band", probe.alias("probe"), "crowd", mass.alias("mass"), F.col("cid").alias("comp")), "segments")
 
 
 def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Classes that would probe a crowded segment choose again, now with one-deletion neighbourhoods.
-
-    A segment probed for equal content bears no difference and counts once; probed also for content that differs by
-    one token it bears one and counts twice. Its price is the number of members that the probe would meet. A class
-    takes the H + 1 cheapest counts. Its partners all share a segment that it probed before, so only the members of
-    those segments are indexed by deletions. Neighbourhoods get keys of their own, which hold contents and contents
-    less a token alike. Classes of which more segments are crowded than they must probe are edited copies: what the
-    edits changed lies one token from the crowd as well, so they have nothing cheaper to choose and stay as they are.
+    """Rows (key, cid, size, probe, crowd, mass, comp) of the segments that are still to be searched.
+
+    ``rows`` are labelled with the components found through hubs. A segment whose members are all in one component
+    needs no search and is free. Classes that would probe a crowded one of the others choose again, now with
+    one-deletion neighbourhoods. A segment probed for equal content bears no difference and counts once; probed also
+    for content that differs by one token it bears one and counts twice. Its price is the number of members that the
+    probe would meet, none where they are all in one component. A class takes the H + 1 cheapest counts. Its partners
+    in other components all share an unsettled segment that it probed before, so only the members of those segments
+    are indexed by deletions. Neighbourhoods get keys of their own, which hold contents and contents less a token
+    alike. Classes of which more segments are crowded than they must probe are edited copies: what the edits changed
+    lies one token from the crowd as well, so they have nothing cheaper to choose and stay as they are.
     """
+    live = materialise(rows.join(unsettled(rows).select("key"), "key"), "unsettled")
     crowded = F.count_if(F.col("crowd") > CROWDED)
     probes = F.count_if(F.col("probe") & (F.col("crowd") > CROWDED))
     few = crowded <= F.max("size") * (2 * (DEN - NUM)) / (DEN + NUM)
-    hard = rows.groupBy("cid", "band").agg(probes.alias("p"), few.alias("few")).where("p > 0 AND few").select("cid", "band")
-    zone = rows.join(rows.where("probe").join(hard, ["cid", "band"], "left_semi").select("key").distinct(), "key", "left_semi").select("cid").distinct()
-    near = materialise(sets.join(zone, "cid", "left_semi").mapInArrow(_segment_rows(True), SEGMENT_ROWS), "neighbourhoods")
-    members = near.groupBy("key").agg(F.count_if(F.col("gone") == 0).alias("n_full"), F.count_if(F.col("gone") == 1).alias("n_gone")).where("n_full + n_gone > 1")
-    chooser = near.join(hard, ["cid", "band"], "left_semi").join(members, "key", "left")
-    equal = F.greatest(F.coalesce("n_full", F.lit(0)) - 1, F.lit(0))
-    meets = F.when(F.col("gone") == 0, F.coalesce("n_gone", F.lit(0))).otherwise(F.coalesce("n_full", F.lit(0)))
-    prices = chooser.groupBy("cid", "band", "seg").agg(
-        F.max(F.when(F.col("gone") == 0, equal)).alias("once"), F.sum(meets).alias("more"), F.max("gap").alias("gap"), F.max(F.when(F.col("gone") == 0, F.col("key"))).alias("key")
-    )
+    hard = materialise(live.groupBy("cid", "band").agg(probes.alias("p"), few.alias("few")).where("p > 0 AND few").select("cid", "band"), "hard")
+    met_before = live.where("probe").join(hard, ["cid", "band"], "left_semi").select("key").distinct()
+    zone = live.join(met_before, "key", "left_semi").groupBy("cid").agg(F.max("comp").alias("comp"), F.max("mass").alias("mass"))
+    masks = hard.groupBy("cid").agg(F.sum(F.expr("shiftleft(1L, cast(band as int))")).alias("bands"))
+    zone = zone.join(masks, "cid", "left").withColumn("bands", F.coalesce("bands", F.lit(0).cast("long")))
+    near = materialise(sets.select("cid", "tokens").join(zone, "cid").mapInArrow(_segment_rows(True), SEGMENT_ROWS + ", hard boolean, comp long, mass double"), "neighbourhoods")
+    members = materialise(
+        near.groupBy("key").agg(F.count_if(F.col("gone") == 0).alias("n_full"), F.count_if(F.col("gone") == 1).alias("n_gone"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+        .where("a < b").select("key", "n_full", "n_gone"), "neighbourhood-members",
+    )
+    chooser = near.where("hard")
+    # what meets no other component is free: only the rest is joined with its members
+    at, none = ["cid", "band", "seg", "gap"], F.lit(0).cast("long")
+    crowds = live.join(hard, ["cid", "band"], "left_semi").select("cid", "band", "key", (F.col("crowd") - 1).alias("others"))
+    free = chooser.where("gone = 0").join(crowds, ["cid", "band", "key"], "left").select(*at, "key", F.coalesce("others", none).alias("once"), none.alias("more"))
+    equal = F.when(F.col("gone") == 0, F.col("n_full") - 1).otherwise(0)
+    meets = F.when(F.col("gone") == 0, F.col("n_gone")).otherwise(F.col("n_full"))
+    priced = chooser.join(members, "key").select(*at, F.when(F.col("gone") == 0, F.col("key")).alias("key"), equal.alias("once"), meets.alias("more"))
+    prices = free.unionByName(priced).groupBy(*at).agg(F.max("key").alias("key"), F.max("once").alias("once"), F.sum("more").alias("more"))
     # the second count never costs less than the first, so it is never taken alone
     counts = prices.select("cid", "band", "seg", "key", "gap", F.posexplode(F.array(F.col("once"), F.greatest("once", "more"))).alias("again", "price"))
     own = Window.partitionBy("cid", "band")
     rank = F.row_number().over(own.orderBy("price", "again", "key"))
     segments = F.count_if(F.col("again") == 0).over(own)
-    chosen = materialise(counts.withColumn("taken", rank <= F.col("gap") + segments).select("cid", "band", "seg", "key", "again", "taken"), "allocation")
-    first = chosen.where("again = 0 AND taken").select("cid", "band", "key", F.lit(True).alias("first"))
-    kept = rows.join(hard.withColumn("hard", F.lit(True)), ["cid", "band"], "left").join(first, ["cid", "band", "key"], "left")
+    chosen = materialise(counts.withColumn("taken", rank <= F.col("gap") + segments).where("taken").select("cid", "band", "seg", "key", "again"), "allocation")
+    first = chosen.where("again = 0").select("cid", "band", "key", F.lit(True).alias("first"))
+    kept = live.join(hard.withColumn("hard", F.lit(True)), ["cid", "band"], "left").join(first, ["cid", "band", "key"], "left")
     kept = kept.withColumn("probe", F.when(F.col("hard"), F.coalesce("first", F.lit(False))).otherwise(F.col("probe")))
-    second = chosen.where("again = 1 AND taken").select("cid", "band", "seg", F.lit(True).alias("second"))
-    wide = near.join(second, ["cid", "band", "seg"], "left").withColumn("probe", F.coalesce("second", F.lit(False)))
-    met = wide.groupBy("key").agg(F.bool_or("probe").alias("probed"), F.count(F.lit(1)).alias("crowd")).where("probed AND crowd > 1")
-    masses = rows.groupBy("cid").agg(F.max("mass").alias("mass"))
-    around = wide.join(met.select("key", "crowd"), "key").join(masses, "cid").select(F.xxhash64("key", F.lit("neighbourhood")).alias("key"), "cid", "size", "probe", "crowd", "mass")
-    return materialise(kept.select("key", "cid", "size", "probe", "crowd", "mass").unionByName(around), "allocated")
-
-
-def allocated(sets: DataFrame) -> DataFrame:
-    """Rows (key, cid, size, probe, crowd, mass) after both allocations.
-
-    A class could only run short of segments (fewer than H + 1 that aren't empty) if its tokens met in far fewer
-    segments than hashing makes them: 7 standard deviations at the least set size that has segments of several tokens,
-    and more beyond; smaller sets have a segment for each token.
-    """
-    rows = plain_allocation(sets)
-    return cheaper_allocation(rows, sets)
+    second = chosen.where("again = 1").select("cid", "band", "seg", F.lit(True).alias("second"))
+    probed = chooser.join(second.drop("second"), ["cid", "band", "seg"], "left_semi").select("key").distinct()
+    met = members.join(probed, "key").select("key", (F.col("n_full") + F.col("n_gone")).alias("crowd"))
+    around = near.join(met, "key").join(second, ["cid", "band", "seg"], "left").withColumn("probe", F.coalesce("second", F.lit(False)))
+    around = around.withColumn("key", F.xxhash64("key", F.lit("neighbourhood")))
+    cols = ["key", "cid", "size", "probe", "crowd", "mass", "comp"]
+    return materialise(kept.select(*cols).unionByName(around.select(*cols)), "allocated")
 
 
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -369,30 +392,37 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
 def family_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components in segments of more than CROWDED members, without making a row for each pair.
 
-    Segments with one hub form a family. Its probing members are compared with all its members, block against block,
-    so a task holds two blocks, and only links come out.
+    Segments with one hub form a family. Pairs across components have a member outside the family's largest component,
+    so the probing members out of it are compared with all members, and its probing members with those out of it:
+    block against block, so that a task holds two blocks, and only links come out.
     """
     crowded = rows.where(F.col("crowd") > CROWDED).join(unsettled(rows), "key")
     members = materialise(crowded.groupBy("hub", "cid", "size", "comp").agg(F.bool_or("probe").alias("probe")), "families")
-    blocks = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    placed = members.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int")).join(sets.select("cid", "tokens"), "cid")
-    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    cols = ["hub", "i", "j", "cid", "size", "comp", "tokens"]
-    left = placed.where("probe").withColumn("i", F.col("own")).withColumn("j", every).select(*cols)
-    right = placed.withColumn("j", F.col("own")).withColumn("i", every).select(*cols)
-    at = ["hub", "i", "j"]
+    parts = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    n_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = parts.where("most < all").select("hub", "main", n_blocks(F.col("all")).alias("n_all"), n_blocks(F.col("all") - F.col("most")).alias("n_out"))
+    placed = members.join(blocks, "hub").withColumn("out", F.col("comp") != F.col("main")).join(sets.select("cid", "tokens"), "cid")
+    block = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    at = ["hub", "kind", "i", "j"]
+    cols = [*at, "cid", "size", "comp", "tokens"]
+    mine, other = F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_all")), F.when(F.col("out"), F.col("n_all")).otherwise(F.col("n_out"))
+    left = placed.where("probe").withColumn("kind", F.when(F.col("out"), 0).otherwise(1)).withColumn("i", block(mine)).withColumn("j", every(other)).select(*cols)
+    against_all = placed.withColumn("kind", F.lit(0)).withColumn("j", block(F.col("n_all"))).withColumn("i", every(F.col("n_out"))).select(*cols)
+    against_out = placed.where("out").withColumn("kind", F.lit(1)).withColumn("j", block(F.col("n_out"))).withColumn("i", every(F.col("n_all"))).select(*cols)
+    right = against_all.unionByName(against_out)
     return left.groupBy(*at).cogroup(right.toDF(*cols).groupBy(*at)).applyInArrow(_block_links, "x long, y long")
 
 
 def linked_classes(sets: DataFrame) -> DataFrame:
     """Links (x, y) that connect the same components as all links between classes do."""
-    rows = allocated(sets).withColumn("comp", F.col("cid"))
-    links = None
+    rows, links = plain_allocation(sets), None
     for round_ in range(HUB_ROUNDS):
         found = verified(hub_pairs(rows, round_), sets)
         links = materialise(found if links is None else links.unionByName(found), "links")
         rows = labelled(rows, links)
-    return materialise(links.unionByName(verified(open_pairs(rows), sets)).unionByName(family_links(rows, sets)), "links")
+    left = cheaper_allocation(rows, sets)
+    return materialise(links.unionByName(verified(open_pairs(left), sets)).unionByName(family_links(left, sets)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
