@@ -10,8 +10,8 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Equal set
 3. *Allocation.* A class must probe H + 1 segments. Those that no other class has cost nothing; of the others it takes
    the ones with the fewest members. Members of a segment first meet only a hub each; a segment whose members are then
    in one component needs no further comparison and costs nothing either. Where a class would still have to probe
-   crowded segments it chooses again, and segments with a one-deletion neighbourhood count twice: each of them bears
-   one difference.
+   crowded segments it chooses again, and segments of several tokens with a one-deletion neighbourhood count twice:
+   each of them bears one difference.
 4. *Verification.* Candidates are compared exactly: pairs with hubs, then all members of different components.
 """
 
@@ -168,11 +168,12 @@ def _segment_rows(deletions: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, cid, size, band, gap, seg, gone): the content of each segment, and without each of its tokens.
 
-        With deletions also whether the class chooses again in that band, and its comp and mass.
+        With deletions also whether the segment may count twice (it has several tokens), whether the class chooses
+        again in that band, and its comp and mass.
         """
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            rows, again = [], []
+            rows, again, twice = [], [], []
             masks = batch.column("bands").to_pylist() if deletions else [0] * len(batch)
             for at_row, (cid, blob, mask) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("tokens"), masks)):
                 tokens = np.frombuffer(blob.as_buffer(), np.uint64)
@@ -190,6 +191,7 @@ def _segment_rows(deletions: bool):
                     n = len(key)
                     rows.append(np.full(n, at_row))
                     again.append(np.full(n, bool(mask >> band & 1)))
+                    twice.append(lens[seg] > 1)
                     for at, x in enumerate((mixed(key), np.full(n, cid), np.full(n, len(tokens)), np.full(n, band), np.full(n, differ + 1 - len(starts)), seg, gone)):
                         cols[at].append(x)
             if not rows:
@@ -198,8 +200,8 @@ def _segment_rows(deletions: bool):
             names = ["key", "cid", "size", "band", "gap", "seg", "gone"]
             if deletions:
                 place = pa.array(np.concatenate(rows))
-                arrays += [pa.array(np.concatenate(again)), batch.column("comp").take(place), batch.column("mass").take(place)]
-                names += ["hard", "comp", "mass"]
+                arrays += [pa.array(np.concatenate(twice)), pa.array(np.concatenate(again)), batch.column("comp").take(place), batch.column("mass").take(place)]
+                names += ["twice", "hard", "comp", "mass"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
@@ -235,7 +237,8 @@ def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
     ``rows`` are labelled with the components found through hubs. A segment whose members are all in one component
     needs no search and is free. Classes that would probe a crowded one of the others choose again, now with
     one-deletion neighbourhoods. A segment probed for equal content bears no difference and counts once; probed also
-    for content that differs by one token it bears one and counts twice. Its price is the number of members that the
+    for content that differs by one token it bears one and counts twice; a segment of one token never does, as a
+    partner that lacks the token has nothing there to be found by. Its price is the number of members that the
     probe would meet, none where they are all in one component. A class takes the H + 1 cheapest counts. Its partners
     in other components all share an unsettled segment that it probed before, so only the members of those segments
     are indexed by deletions. Neighbourhoods get keys of their own, which hold contents and contents less a token
@@ -251,14 +254,14 @@ def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
     zone = live.join(met_before, "key", "left_semi").groupBy("cid").agg(F.max("comp").alias("comp"), F.max("mass").alias("mass"))
     masks = hard.groupBy("cid").agg(F.sum(F.expr("shiftleft(1L, cast(band as int))")).alias("bands"))
     zone = zone.join(masks, "cid", "left").withColumn("bands", F.coalesce("bands", F.lit(0).cast("long")))
-    near = materialise(sets.select("cid", "tokens").join(zone, "cid").mapInArrow(_segment_rows(True), SEGMENT_ROWS + ", hard boolean, comp long, mass double"), "neighbourhoods")
+    near = materialise(sets.select("cid", "tokens").join(zone, "cid").mapInArrow(_segment_rows(True), SEGMENT_ROWS + ", twice boolean, hard boolean, comp long, mass double"), "neighbourhoods")
     members = materialise(
         near.groupBy("key").agg(F.count_if(F.col("gone") == 0).alias("n_full"), F.count_if(F.col("gone") == 1).alias("n_gone"), F.min("comp").alias("a"), F.max("comp").alias("b"))
         .where("a < b").select("key", "n_full", "n_gone"), "neighbourhood-members",
     )
     chooser = near.where("hard")
     # what meets no other component is free: only the rest is joined with its members
-    at, none = ["cid", "band", "seg", "gap"], F.lit(0).cast("long")
+    at, none = ["cid", "band", "seg", "gap", "twice"], F.lit(0).cast("long")
     crowds = live.join(hard, ["cid", "band"], "left_semi").select("cid", "band", "key", (F.col("crowd") - 1).alias("others"))
     free = chooser.where("gone = 0").join(crowds, ["cid", "band", "key"], "left").select(*at, "key", F.coalesce("others", none).alias("once"), none.alias("more"))
     equal = F.when(F.col("gone") == 0, F.col("n_full") - 1).otherwise(0)
@@ -266,7 +269,8 @@ def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
     priced = chooser.join(members, "key").select(*at, F.when(F.col("gone") == 0, F.col("key")).alias("key"), equal.alias("once"), meets.alias("more"))
     prices = free.unionByName(priced).groupBy(*at).agg(F.max("key").alias("key"), F.max("once").alias("once"), F.sum("more").alias("more"))
     # the second count never costs less than the first, so it is never taken alone
-    counts = prices.select("cid", "band", "seg", "key", "gap", F.posexplode(F.array(F.col("once"), F.greatest("once", "more"))).alias("again", "price"))
+    both = F.when(F.col("twice"), F.array(F.col("once"), F.greatest("once", "more"))).otherwise(F.array("once"))
+    counts = prices.select("cid", "band", "seg", "key", "gap", F.posexplode(both).alias("again", "price"))
     own = Window.partitionBy("cid", "band")
     rank = F.row_number().over(own.orderBy("price", "again", "key"))
     segments = F.count_if(F.col("again") == 0).over(own)
