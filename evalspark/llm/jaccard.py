@@ -241,7 +241,7 @@ def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
     partner that lacks the token has nothing there to be found by. Its price is the number of members that the
     probe would meet, none where they are all in one component. A class takes the H + 1 cheapest counts. Its partners
     in other components all share an unsettled segment that it probed before, so only the members of those segments
-    are indexed by deletions. Neighbourhoods get keys of their own, which hold contents and contents less a token
+    (the zone) are indexed by deletions, and only they are met in a chosen segment that nobody probed before. Neighbourhoods get keys of their own, which hold contents and contents less a token
     alike. Classes of which more segments are crowded than they must probe are edited copies: what the edits changed
     lies one token from the crowd as well, so they have nothing cheaper to choose and stay as they are.
     """
@@ -284,7 +284,11 @@ def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
     around = near.join(met, "key").join(second, ["cid", "band", "seg"], "left").withColumn("probe", F.coalesce("second", F.lit(False)))
     around = around.withColumn("key", F.xxhash64("key", F.lit("neighbourhood")))
     cols = ["key", "cid", "size", "probe", "crowd", "mass", "comp"]
-    return materialise(kept.select(*cols).unionByName(around.select(*cols)), "allocated")
+    # segments chosen now that nobody probed before: the zone has all members that are to be met there
+    unseen = first.select("key").distinct().join(live.select("key").distinct(), "key", "left_anti")
+    priced_at = members.where("n_full > 1").join(unseen, "key").select("key", F.col("n_full").alias("crowd"))
+    brought = near.where("gone = 0").join(priced_at, "key").join(first, ["cid", "band", "key"], "left").withColumn("probe", F.coalesce("first", F.lit(False)))
+    return materialise(kept.select(*cols).unionByName(brought.select(*cols)).unionByName(around.select(*cols)), "allocated")
 
 
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:

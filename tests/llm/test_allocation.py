@@ -36,3 +36,13 @@ def test_truncated_copies_of_crowded_classes(spark):
     for size, tail in ((50, 16), (90, 30), (240, 80)):
         template = draw(size)
         _check(spark, [template] + [np.concatenate([template, draw(tail)]) for _ in range(40)])
+
+
+def test_choice_of_a_segment_that_nobody_probed(spark):
+    """The class of 100 tokens leaves its crowd's segments for ones that only outsiders and its shorter copy have."""
+    draw = _tokens(2)
+    template, other = draw(71), draw(9)
+    short = np.concatenate([template, other])
+    crowd = [np.concatenate([template, draw(29)]) for _ in range(38)]
+    outsiders = [np.concatenate([other, draw(91)]) for _ in range(50)]
+    _check(spark, [np.concatenate([short, draw(20)]), short, *crowd, *outsiders])
