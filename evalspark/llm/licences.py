@@ -1,7 +1,7 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-Normalised sentences are looked up among known licence sentences; the sequence of identifiers found is matched against
-ordered rules, the more specific ones first.
+Normalised sentences are looked up among known licence sentences, on a line of their own or wrapped over several; the
+sequence of identifiers found is matched against ordered rules, the more specific ones first.
 """
 
 from __future__ import annotations
@@ -56,10 +56,24 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SENTENCE_END = r"[.!?]+([ \t\r\n]|\z)"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text in order. A sentence ends at a line's end or at a mark that a blank follows."""
-    lines = F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), SENTENCE_END, "\n"), "\n")
-    return F.transform(lines, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+#: Stands for a sentence's end at a mark; one in the text itself is a blank.
+_MARK = "\x01"
+
+
+def boundaries(text: Column) -> Column:
+    """Normalised text: words, a line feed where a line or clause (at ;) ends, and _MARK at a mark that a blank follows.
+
+    Other characters are blanks, and one separator is left between words: the strongest there was.
+    """
+    marked = F.regexp_replace(F.translate(text, _UPPER + _MARK, _LOWER + " "), SENTENCE_END, _MARK)
+    plain = F.regexp_replace(F.replace(marked, F.lit(";"), F.lit("\n")), f"[^a-z0-9\n{_MARK}]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, f"[ \n]*{_MARK}[ \n{_MARK}]*", _MARK), " ?\n[ \n]*", "\n")
+
+
+def _known_pattern() -> str:
+    """A known sentence from boundary to boundary. Line ends inside it are blanks, since licence texts are wrapped."""
+    texts = sorted((t for ts in SENTENCES.values() for t in ts), key=len, reverse=True)
+    return f"(?<![^\n{_MARK}])(?:" + "|".join(t.replace(" ", "[ \n]") for t in texts) + f")(?![^\n{_MARK}])"
 
 
 def sentence_ids(text: Column) -> Column:
@@ -68,7 +82,9 @@ def sentence_ids(text: Column) -> Column:
     anchored = F.lit(False)
     for a in ANCHORS:
         anchored = anchored | low.contains(a)
-    ids = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    framed = boundaries(F.concat(F.lit("\n"), text, F.lit("\n")))
+    found = F.regexp_extract_all(framed, F.lit(_known_pattern()), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     return F.when(F.coalesce(anchored, F.lit(False)), ids).otherwise(F.array().cast("array<string>"))
 
 
@@ -95,6 +111,7 @@ def _quoted(x: str) -> str:
 
 
 def licence_sql() -> str:
+    """The scan of sentences that stand on one line, as in the given tables; wrapped ones are beyond this SQL."""
     pairs = [(t, name) for name, texts in SENTENCES.items() for t in texts]
     known = "MAP {" + ", ".join(f"{_quoted(t)}: {_quoted(n)}" for t, n in pairs) + "}"
     whens = " ".join(f"WHEN contains(chain, {_quoted(_chain(ids))}) THEN {i}" for i, (_, ids) in enumerate(RULES))
