@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.jaccard import near_duplicates
+from evalspark.llm.jaccard import leaders, text_hash
 from evalspark.llm.mixing import sample_mix
 from evalspark.llm.packing import pack
 from evalspark.llm.quality_rules import keep_clean
@@ -31,12 +31,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of links, that with the smallest doc_id (one row of it, if rows repeat).
 
-    Documents without a doc_id are kept: they belong to no group.
+    Where one doc_id has several texts, each is judged as a document of its own. Documents without a doc_id are kept: they belong to no group.
     """
-    groups = near_duplicates(docs)
-    leaders = materialise(groups.where("component_id = doc_id").select("doc_id").distinct(), "leaders")
+    first = materialise(leaders(docs).toDF("first_id", "first_text"), "leaders")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(leaders, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id"])
+    hashed = docs.select(F.struct(*own).alias("row"), "doc_id", text_hash(F.col("text")).alias("text_hash"))
+    met = hashed.join(first, (F.col("doc_id") == F.col("first_id")) & (F.col("text_hash") == F.col("first_text")), "left_semi")
+    kept = met.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()).select(*own))
 
 

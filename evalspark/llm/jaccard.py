@@ -67,7 +67,8 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         tokens, ends = shingle_sets(batch.column("text"), WIDTH)
         lo, hi = _fingerprints(tokens, ends)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _longs(np.diff(ends)), _longs(lo), _longs(hi)], ["doc_id", "n_shingles", "lo", "hi"])
+        cols = [batch.column("doc_id"), batch.column("text_hash"), _longs(np.diff(ends)), _longs(lo), _longs(hi)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n_shingles", "lo", "hi"])
 
 
 def _first_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,25 +434,49 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     return materialise(links.unionByName(verified(open_pairs(left), sets)).unionByName(family_links(left, sets)), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, or its own).
+def text_hash(text: Column) -> Column:
+    """Tells apart the texts of one doc_id."""
+    return F.xxhash64(text)
 
-    Texts without words (null, empty or blank) have an empty set and link with nothing. Equal sets link, so copies and
-    repeated rows share a component. Rows without a doc_id are counted but not linked: their component is null. If one
-    doc_id has several texts, each row belongs to its own text's component. An empty table gives an empty result;
-    other columns are ignored. Sets are compared by 64-bit token hashes and equal sets found by 128 bits of them.
-    """
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` with text_hash, the set's fingerprint (lo, hi) and comp: its component's number,
+    null where its class has no link."""
     texts = docs.select("doc_id", "text")
-    members = materialise(texts.mapInArrow(_members, "doc_id long, n_shingles long, lo long, hi long"), "members")
+    members = materialise(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(_members, "doc_id long, text_hash long, n_shingles long, lo long, hi long"), "members")
     left = survivors(texts.where("doc_id IS NOT NULL").select("text"), members)
     chosen = texts.join(left.select("doc_id", "cid", "lo", "hi"), "doc_id").select("text", "cid", "lo", "hi")
     sets = materialise(chosen.mapInArrow(_sets, "cid long, size long, tokens binary, sketch binary").dropDuplicates(["cid"]), "sets")
     comps = components(linked_classes(sets))
     classes = left.join(comps, F.col("cid") == F.col("node")).select("lo", "hi", "comp", F.col("doc_id").alias("rep"))
     least = classes.groupBy("comp").agg(F.min("rep").alias("least"))
-    by_class = classes.join(least, "comp").select("lo", "hi", "least")
+    by_class = classes.join(least, "comp").select("lo", "hi", "least", "comp")
     copies = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("copy"))
-    roots = copies.join(by_class, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("least", "copy").alias("root"))
+    roots = copies.join(by_class, ["lo", "hi"], "left").select("lo", "hi", "comp", F.coalesce("least", "copy").alias("root"))
     named = members.join(roots, ["lo", "hi"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root"))
-    return named.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    return named.select("doc_id", "text_hash", "n_shingles", "lo", "hi", "comp", component.cast("long").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, or its own).
+
+    Texts without words (null, empty or blank) have an empty set and link with nothing. Equal sets link, so copies and
+    repeated rows share a component. Rows without a doc_id are counted but not linked: their component is null. If one
+    doc_id has several texts, each row belongs to its own text's component. An empty table gives an empty result;
+    other columns are ignored. Sets are compared by 64-bit token hashes and equal sets found by 128 bits of them.
+    """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def leaders(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of one text of each component, that with the smallest doc_id, and of each text without words.
+
+    Components are told apart by themselves and not by their component_id, which two of them share where one doc_id
+    has several texts. Rows without a doc_id are left out.
+    """
+    rows = _grouped(docs).where("doc_id IS NOT NULL")
+    linked = F.col("comp").isNotNull()
+    group = F.struct("comp", F.when(~linked, F.col("lo")).alias("lo"), F.when(~linked, F.col("hi")).alias("hi")).alias("component")
+    first = rows.where("n_shingles > 0").groupBy(group).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    return first.select("least.doc_id", "least.text_hash").unionByName(rows.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
