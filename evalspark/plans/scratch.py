@@ -37,19 +37,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors and fixes whatever is not stable under recomputation
-    (range samples, generated ids). The files stay until the cluster clears its checkpoint folder.
+    (range samples, generated ids). The files stay until ``discard`` or the cluster clears its checkpoint folder.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/evalspark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._evalspark_path = path
+    return out
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have yet (Spark compares names without case)."""
-    taken = {c.lower() for c in df.columns}
-    name, i = base, 0
-    while name.lower() in taken:
-        i += 1
-        name = f"{base}_{i}"
-    return name
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``materialise`` returned, once all that was read from them is written as well.
+
+    Other frames, those derived from such a table included, are left alone.
+    """
+    for df in tables:
+        if path := getattr(df, "_evalspark_path", None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
