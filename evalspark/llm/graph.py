@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.plans.scratch import materialise
+from evalspark.plans.scratch import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,8 +20,11 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("near"))
         stepped = labels.join(near, F.col("node") == F.col("x")).select("node", "comp", F.least("comp", "near").alias("next"))
         own = stepped.select(F.col("node").alias("via"), F.col("next").alias("far"))
-        jumped = stepped.join(own, F.col("next") == F.col("via")).select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") < F.col("comp")).alias("moved"))
-        fixed = materialise(jumped, "labels")
-        labels = fixed.select("node", "comp")
-        if fixed.where("moved").isEmpty():
-            return labels
+        best = F.least("next", "far")
+        jumped = stepped.join(own, F.col("next") == F.col("via")).select("node", best.alias("comp"), (best < F.col("comp")).alias("moved"))
+        last, labels = labels, materialise(jumped, "labels")
+        settled = labels.where("moved").isEmpty()
+        discard(last)
+        if settled:
+            discard(both)
+            return labels.select("node", "comp")

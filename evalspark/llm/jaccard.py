@@ -24,159 +24,61 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.bytesets import mixed, shingle_sets, slices
+from evalspark.llm.bytesets import mixed
 from evalspark.llm.graph import components
-from evalspark.plans.scratch import materialise
+from evalspark.llm.shingles import DEN, NUM, SKETCH, class_sets, corpus, longs, segments_of, survivors, views
+from evalspark.plans.scratch import discard, materialise
 
-#: Links need 100 * intersection >= 75 * union.
-NUM, DEN = 75, 100
-WIDTH = 5
-#: Extra share of tokens that elimination looks at, in hundredths of a set.
-SLACK = 10
+#: Least hashes by which classes meet before segments are made.
+FIRST_KEYS = 8
 #: Rounds in which members of a segment meet a hub, and the hubs that a class meets in odd ones.
 HUB_ROUNDS, SPOKES = 2, 4
 #: Segments of more members than this are compared by families, in blocks of about BLOCK members and COLUMNS tokens.
 CROWDED, BLOCK, COLUMNS = 32, 512, 4096
-#: Bits of a class's sketch.
-SKETCH = 1024
-#: Segments for each token of a band's smallest set; bands below FINE have a segment for each token.
-SEGMENTS, FINE = 0.75, 128
-
-
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in slices(batch.column("text")):
-            yield batch.slice(a, b - a)
-
-
-def _fingerprints(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set: sums of two scramblings of its tokens."""
-    out = []
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-        sums = np.zeros(len(tokens) + 1, np.uint64)
-        np.cumsum(mixed(tokens ^ np.uint64(salt)), out=sums[1:])
-        out.append((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
-    return out[0], out[1]
-
-
-def _longs(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
-
-
-def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        tokens, ends = shingle_sets(batch.column("text"), WIDTH)
-        lo, hi = _fingerprints(tokens, ends)
-        cols = [batch.column("doc_id"), batch.column("text_hash"), _longs(np.diff(ends)), _longs(lo), _longs(hi)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n_shingles", "lo", "hi"])
-
-
-def _first_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, lo, n) of each set's first tokens, combined inside a slice before they are shuffled.
-
-    A token of one class here comes as it is (n = 0). One of several classes comes once, as evidence (n = -1), and each
-    of its classes counts it in a row of its own (n = how many such tokens); so no token is shuffled more than once for
-    each slice.
-    """
-    for batch in _slices(batches):
-        tokens, ends = shingle_sets(batch.column("text"), WIDTH)
-        sizes = np.diff(ends)
-        lo = _fingerprints(tokens, ends)[0]
-        once = np.unique(lo, return_index=True)[1]
-        first = np.zeros(len(lo), bool)
-        first[once] = True
-        take = np.where(first, sizes - (-(-NUM * sizes // DEN)) + (-(-SLACK * sizes // 100)), 0)
-        own = np.repeat(np.arange(len(sizes)), sizes)
-        use = np.arange(len(tokens)) - ends[own] < take[own]
-        token, doc = tokens[use], own[use]
-        order = np.argsort(token, kind="stable")
-        token, doc = token[order], doc[order]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-        many = np.diff(np.r_[starts, len(token)]) > 1
-        shared = np.repeat(many, np.diff(np.r_[starts, len(token)]))
-        counts = np.bincount(doc[shared], minlength=len(sizes))
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                _longs(np.concatenate([token[starts], mixed(lo[seen].view(np.uint64))])),
-                _longs(np.concatenate([lo[doc[starts]], lo[seen]])),
-                _longs(np.concatenate([np.where(many, -1, 0), counts[seen]])),
-            ],
-            ["token", "lo", "n"],
-        )
-
-
-def survivors(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """Classes that may have a link: cid, lo, hi, n_shingles, doc_id (of one document with that set)."""
-    by_token = Window.partitionBy("token")
-    rows = texts.mapInArrow(_first_tokens, "token long, lo long, n long")
-    judged = rows.select("lo", "n", (F.min("lo").over(by_token) < F.max("lo").over(by_token)).alias("several"), F.min("n").over(by_token).alias("evidence"))
-    hit = F.when(F.col("n") > 0, F.col("n")).when((F.col("n") == 0) & (F.col("several") | (F.col("evidence") < 0)), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    counts = judged.groupBy("lo").agg(F.sum(hit).alias("hits")).where("hits > 0")
-    classes = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
-    # a partner may be smaller by NUM / DEN, and so may its extra share
-    needed = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_shingles") * (SLACK * NUM) / (100.0 * DEN) - 1e-9))
-    left = classes.join(counts, "lo").where(F.col("hits") >= needed).select("lo", "hi", "n_shingles", "doc_id")
-    return materialise(left.withColumn("cid", F.monotonically_increasing_id()), "survivors")
-
-
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        tokens, ends = shingle_sets(batch.column("text"), WIDTH)
-        lo, hi = _fingerprints(tokens, ends)
-        same = (lo == batch.column("lo").to_numpy()) & (hi == batch.column("hi").to_numpy())
-        raw = tokens.tobytes()
-        blobs = pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-        sketches = pa.array([_sketch(tokens[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), _longs(np.diff(ends)), blobs, sketches], ["cid", "size", "tokens", "sketch"]).filter(pa.array(same))
-
-
-def _sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each of SKETCH buckets. Two sketches differ in no more bits than their sets in tokens."""
-    bucket = (mixed(tokens ^ np.uint64(0x9E6C63D0876A9F35)) >> np.uint64(32)) % np.uint64(SKETCH)
-    return np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8).tobytes()
-
 
 def _differing(a: pa.Array, b: pa.Array) -> pa.Array:
     x, y = (np.frombuffer(b"".join(v.as_py() for v in c), np.uint8).reshape(-1, SKETCH // 8) for c in (a, b))
     return pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64))
 
 
-def band_of(size: int) -> int:
-    return size.bit_length() - 1
-
+def _min_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least of each set's tokens in FIRST_KEYS scramblings."""
+    salts = mixed(np.arange(1, FIRST_KEYS + 1, dtype=np.uint64))
+    for batch in batches:
+        blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+        if blobs:
+            least = np.array([mixed(blob ^ salt).min() for blob in blobs for salt in salts]) + np.tile(salts, len(blobs))
+            place = pa.array(np.repeat(np.arange(len(blobs)), FIRST_KEYS))
+            cols = [longs(least), *(batch.column(c).take(place) for c in ("cid", "size", "mass"))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "cid", "size", "mass"])
 
-def segments_of(tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set's tokens ordered by segment, and the start of each segment that isn't empty."""
-    if (1 << band) < FINE:
-        return tokens, np.arange(len(tokens))
-    scrambled = mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(int(SEGMENTS * (1 << band)))
-    order = np.argsort(scrambled, kind="stable")
-    seg = scrambled[order]
-    return tokens[order], np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
 
+def first_links(sets: DataFrame) -> DataFrame:
+    """Links of classes with the class of the greatest mass of those that share a least hash.
 
-def views(size: int) -> list[tuple[int, int]]:
-    """(band, differences that a partner of at most this size may have) for each band that such partners are in."""
-    band = band_of(size)
-    out = [(band, 2 * size * (DEN - NUM) // (DEN + NUM))]
-    if -(-NUM * size // DEN) < (1 << band):
-        out.append((band - 1, (size + (1 << band) - 1) * (DEN - NUM) // (DEN + NUM)))
-    return out
+    Most links are found so, and cheaply. What matters for the result comes after: segments, which now need to be
+    searched only where they are in several components.
+    """
+    rows = sets.select("tokens", "cid", "size", "mass").mapInArrow(
+        _min_hashes, "key long, cid long, size long, mass double"
+    )
+    named = rows.withColumns({"comp": F.col("cid"), "probe": F.lit(True)})
+    return materialise(verified(hub_pairs(named, 0), sets), "links")
 
 
 def _segment_rows(deletions: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, cid, size, band, gap, seg, gone): the content of each segment, and without each of its tokens.
+        """(key, cid, size, band, gap, seg, gone, comp, mass): the content of each segment.
 
-        With deletions also whether the segment may count twice (it has several tokens), whether the class chooses
-        again in that band, and its comp and mass.
+        With deletions also without each of its tokens (gone = 1), and whether the segment may count twice (it has
+        several tokens) and whether the class chooses again in that band.
         """
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             rows, again, twice = [], [], []
             masks = batch.column("bands").to_pylist() if deletions else [0] * len(batch)
-            for at_row, (cid, blob, mask) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("tokens"), masks)):
+            of_row = zip(batch.column("cid").to_pylist(), batch.column("tokens"), masks)
+            for at_row, (cid, blob, mask) in enumerate(of_row):
                 tokens = np.frombuffer(blob.as_buffer(), np.uint64)
                 for band, differ in views(len(tokens)):
                     ordered, starts = segments_of(tokens, band)
@@ -193,103 +95,176 @@ def _segment_rows(deletions: bool):
                     rows.append(np.full(n, at_row))
                     again.append(np.full(n, bool(mask >> band & 1)))
                     twice.append(lens[seg] > 1)
-                    for at, x in enumerate((mixed(key), np.full(n, cid), np.full(n, len(tokens)), np.full(n, band), np.full(n, differ + 1 - len(starts)), seg, gone)):
+                    whole = (cid, len(tokens), band, differ + 1 - len(starts))
+                    for at, x in enumerate((mixed(key), *(np.full(n, v) for v in whole), seg, gone)):
                         cols[at].append(x)
             if not rows:
                 continue
-            arrays = [_longs(np.concatenate(c)) for c in cols]
-            names = ["key", "cid", "size", "band", "gap", "seg", "gone"]
+            place = pa.array(np.concatenate(rows))
+            arrays = [longs(np.concatenate(c)) for c in cols] + [batch.column(c).take(place) for c in ("comp", "mass")]
+            names = ["key", "cid", "size", "band", "gap", "seg", "gone", "comp", "mass"]
             if deletions:
-                place = pa.array(np.concatenate(rows))
-                arrays += [pa.array(np.concatenate(twice)), pa.array(np.concatenate(again)), batch.column("comp").take(place), batch.column("mass").take(place)]
-                names += ["twice", "hard", "comp", "mass"]
+                arrays += [pa.array(np.concatenate(twice)), pa.array(np.concatenate(again))]
+                names += ["twice", "hard"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-SEGMENT_ROWS = "key long, cid long, size long, band long, gap long, seg long, gone long"
+SEGMENT_ROWS = "key long, cid long, size long, band long, gap long, seg long, gone long, comp long, mass double"
 
 
-def plain_allocation(sets: DataFrame) -> DataFrame:
-    """Rows (key, cid, size, band, probe, crowd, mass, comp) of segments that several classes share.
+def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component of each class by the links so far: its own id without one."""
+    joined = rows.join(components(links), F.col("cid") == F.col("node"), "left")
+    return joined.withColumn("comp", F.coalesce("comp", "cid")).drop("node")
 
-    Each class is a component of its own here. A class could only run short of segments (fewer than H + 1 that aren't
-    empty) if its tokens met in far fewer segments than hashing makes them: 7 standard deviations at the least set size
-    that has segments of several tokens, and more beyond; smaller sets have a segment for each token.
 
-    ``gap`` is what a class must probe beyond its segments: H + 1 less their number. With c shared segments it must
-    probe gap + c of those, and takes the least crowded.
+def plain_allocation(sets: DataFrame) -> DataFrame:
+    """Rows (key, cid, size, band, probe, crowd, mass, comp) of segments that classes of several components share.
+
+    ``sets`` has the component of each class. Segments whose members are all in one component need no search and are
+    free. ``gap`` is what a class must probe beyond its segments: H + 1 less their number. With c segments that aren't
+    free it must probe gap + c of those, and takes the least crowded. A class with fewer than H + 1 segments probes all
+    it has here and meets its whole bands besides (``whole_bands``).
     """
-    rows = sets.mapInArrow(_segment_rows(False), SEGMENT_ROWS).select("key", "cid", "size", "band", "gap")
-    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    shared = rows.join(crowds, "key")
+    found = sets.select("cid", "tokens", "comp", "mass").mapInArrow(_segment_rows(False), SEGMENT_ROWS)
+    rows = found.drop("seg", "gone")
+    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    shared = rows.join(crowds.where("a < b").select("key", "crowd"), "key")
     own = Window.partitionBy("cid", "band")
     rank = F.row_number().over(own.orderBy("crowd", "key"))
     probe = rank <= F.col("gap") + F.count(F.lit(1)).over(own)
-    # how much of a class is shared, and how widely: greatest for the original of a group of edited copies
-    mass = F.round(F.sum("crowd").over(own) / F.col("size"), 3)
-    return materialise(shared.select("key", "cid", "size", "band", probe.alias("probe"), "crowd", mass.alias("mass"), F.col("cid").alias("comp")), "segments")
+    return materialise(shared.select("key", "cid", "size", "band", probe.alias("probe"), "crowd", "mass", "comp"), "segments")
 
 
-def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (key, cid, size, probe, crowd, mass, comp) of the segments that are still to be searched.
+def whole_bands(sets: DataFrame) -> DataFrame | None:
+    """Each band in which some class has fewer than H + 1 segments, as one segment that all its classes have and the
+    short ones probe: (key, cid, size, probe, crowd, mass). None where no class is short.
 
-    ``rows`` are labelled with the components found through hubs. A segment whose members are all in one component
-    needs no search and is free. Classes that would probe a crowded one of the others choose again, now with
-    one-deletion neighbourhoods. A segment probed for equal content bears no difference and counts once; probed also
-    for content that differs by one token it bears one and counts twice; a segment of one token never does, as a
-    partner that lacks the token has nothing there to be found by. Its price is the number of members that the
-    probe would meet, none where they are all in one component. A class takes the H + 1 cheapest counts. Its partners
-    in other components all share an unsettled segment that it probed before, so only the members of those segments
-    (the zone) are indexed by deletions, and only they are met in a chosen segment that nobody probed before. Neighbourhoods get keys of their own, which hold contents and contents less a token
-    alike. Classes of which more segments are crowded than they must probe are edited copies: what the edits changed
-    lies one token from the crowd as well, so they have nothing cheaper to choose and stay as they are.
+    Hashing fills far more segments than that (by 7 standard deviations at the least size), so there normally is none.
+    """
+    mask = sets.agg(F.bit_or("short")).first()[0]
+    if not mask:
+        return None
+    high = F.length(F.bin("size")).cast("long") - 1
+    lower = F.ceil(F.col("size") * NUM / DEN) < F.pow(F.lit(2.0), high)
+    in_bands = F.when(lower, F.array(high, high - 1)).otherwise(F.array(high))
+    rows = sets.select("cid", "size", "short", F.explode(in_bands).alias("band"))
+    bit = F.expr("shiftleft(1L, cast(band as int))")
+    rows = rows.where(bit.bitwiseAND(F.lit(mask)) != 0)
+    crowds = rows.groupBy("band").agg(F.count(F.lit(1)).alias("crowd"))
+    key, probe = F.xxhash64("band", F.lit("whole band")).alias("key"), (bit.bitwiseAND(F.col("short")) != 0).alias("probe")
+    # a row for each band: 63 at most
+    return rows.join(F.broadcast(crowds), "band").select(
+        key, "cid", "size", probe, "crowd", F.lit(0.0).alias("mass")
+    )
+
+
+def choosing_again(rows: DataFrame) -> DataFrame:
+    """The rows of segments that must still be searched, with ``hard``: the class chooses again in that band.
+
+    Those are classes that would probe a crowded segment. Classes of which more segments are crowded than they must
+    probe are edited copies: what the edits changed lies one token from the crowd as well, so they have nothing cheaper
+    to choose and stay as they are.
+    """
+    live = rows.join(unsettled(rows).select("key"), "key")
+    own = Window.partitionBy("cid", "band")
+    crowded = F.count_if(F.col("crowd") > CROWDED).over(own)
+    probes = F.count_if(F.col("probe") & (F.col("crowd") > CROWDED)).over(own)
+    few = crowded <= F.col("size") * (2 * (DEN - NUM)) / (DEN + NUM)
+    return materialise(live.withColumn("hard", (probes > 0) & few), "unsettled")
+
+
+def neighbourhoods(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Segments of the zone by content and by content less a token (``_segment_rows``).
+
+    The zone are the members of segments that a class which chooses again probed before: all its partners in other
+    components are among them.
     """
-    live = materialise(rows.join(unsettled(rows).select("key"), "key"), "unsettled")
-    crowded = F.count_if(F.col("crowd") > CROWDED)
-    probes = F.count_if(F.col("probe") & (F.col("crowd") > CROWDED))
-    few = crowded <= F.max("size") * (2 * (DEN - NUM)) / (DEN + NUM)
-    hard = materialise(live.groupBy("cid", "band").agg(probes.alias("p"), few.alias("few")).where("p > 0 AND few").select("cid", "band"), "hard")
-    met_before = live.where("probe").join(hard, ["cid", "band"], "left_semi").select("key").distinct()
-    zone = live.join(met_before, "key", "left_semi").groupBy("cid").agg(F.max("comp").alias("comp"), F.max("mass").alias("mass"))
-    masks = hard.groupBy("cid").agg(F.sum(F.expr("shiftleft(1L, cast(band as int))")).alias("bands"))
-    zone = zone.join(masks, "cid", "left").withColumn("bands", F.coalesce("bands", F.lit(0).cast("long")))
-    near = materialise(sets.select("cid", "tokens").join(zone, "cid").mapInArrow(_segment_rows(True), SEGMENT_ROWS + ", twice boolean, hard boolean, comp long, mass double"), "neighbourhoods")
-    members = materialise(
-        near.groupBy("key").agg(F.count_if(F.col("gone") == 0).alias("n_full"), F.count_if(F.col("gone") == 1).alias("n_gone"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-        .where("a < b").select("key", "n_full", "n_gone"), "neighbourhood-members",
+    met_before = live.where("probe AND hard").select("key").distinct()
+    bit = F.when(F.col("hard"), F.expr("shiftleft(1L, cast(band as int))")).otherwise(F.lit(0).cast("long"))
+    zone = live.join(met_before, "key", "left_semi").groupBy("cid").agg(
+        F.max("comp").alias("comp"), F.max("mass").alias("mass"), F.bit_or(bit).alias("bands")
     )
+    schema = SEGMENT_ROWS + ", twice boolean, hard boolean"
+    rows = sets.select("cid", "tokens").join(zone, "cid").mapInArrow(_segment_rows(True), schema)
+    return materialise(rows, "neighbourhoods")
+
+
+def neighbourhood_members(near: DataFrame) -> DataFrame:
+    """(key, n_full, n_gone) of contents that several components have: segments with it, and with a token more."""
+    counted = near.groupBy("key").agg(
+        F.count_if(F.col("gone") == 0).alias("n_full"), F.count_if(F.col("gone") == 1).alias("n_gone"),
+        F.min("comp").alias("a"), F.max("comp").alias("b"),
+    )
+    return materialise(counted.where("a < b").select("key", "n_full", "n_gone"), "neighbourhood-members")
+
+
+def second_choice(live: DataFrame, near: DataFrame, members: DataFrame) -> DataFrame:
+    """(cid, band, seg, key, again): the H + 1 cheapest counts of each class that chooses again.
+
+    A segment probed for equal content bears no difference and counts once; probed also for content that differs by one
+    token (``again`` = 1) it bears one and counts twice; a segment of one token never does, as a partner that lacks the
+    token has nothing there to be found by. The price is the number of members that the probe would meet, none where
+    they are all in one component.
+    """
     chooser = near.where("hard")
-    # what meets no other component is free: only the rest is joined with its members
     at, none = ["cid", "band", "seg", "gap", "twice"], F.lit(0).cast("long")
-    crowds = live.join(hard, ["cid", "band"], "left_semi").select("cid", "band", "key", (F.col("crowd") - 1).alias("others"))
-    free = chooser.where("gone = 0").join(crowds, ["cid", "band", "key"], "left").select(*at, "key", F.coalesce("others", none).alias("once"), none.alias("more"))
-    equal = F.when(F.col("gone") == 0, F.col("n_full") - 1).otherwise(0)
-    meets = F.when(F.col("gone") == 0, F.col("n_gone")).otherwise(F.col("n_full"))
-    priced = chooser.join(members, "key").select(*at, F.when(F.col("gone") == 0, F.col("key")).alias("key"), equal.alias("once"), meets.alias("more"))
-    prices = free.unionByName(priced).groupBy(*at).agg(F.max("key").alias("key"), F.max("once").alias("once"), F.sum("more").alias("more"))
+    crowds = live.where("hard").select("cid", "band", "key", (F.col("crowd") - 1).alias("others"))
+    # what meets no other component is free: only the rest is joined with its members
+    plain = chooser.where("gone = 0").join(crowds, ["cid", "band", "key"], "left")
+    free = plain.select(*at, "key", F.coalesce("others", none).alias("once"), none.alias("more"))
+    full = F.col("gone") == 0
+    equal, meets = F.when(full, F.col("n_full") - 1).otherwise(0), F.when(full, F.col("n_gone")).otherwise(F.col("n_full"))
+    met = chooser.join(members, "key")
+    priced = met.select(*at, F.when(full, F.col("key")).alias("key"), equal.alias("once"), meets.alias("more"))
+    prices = free.unionByName(priced).groupBy(*at).agg(
+        F.max("key").alias("key"), F.max("once").alias("once"), F.sum("more").alias("more")
+    )
     # the second count never costs less than the first, so it is never taken alone
     both = F.when(F.col("twice"), F.array(F.col("once"), F.greatest("once", "more"))).otherwise(F.array("once"))
     counts = prices.select("cid", "band", "seg", "key", "gap", F.posexplode(both).alias("again", "price"))
     own = Window.partitionBy("cid", "band")
     rank = F.row_number().over(own.orderBy("price", "again", "key"))
     segments = F.count_if(F.col("again") == 0).over(own)
-    chosen = materialise(counts.withColumn("taken", rank <= F.col("gap") + segments).where("taken").select("cid", "band", "seg", "key", "again"), "allocation")
+    chosen = counts.withColumn("taken", rank <= F.col("gap") + segments).where("taken")
+    return materialise(chosen.select("cid", "band", "seg", "key", "again"), "allocation")
+
+
+SEARCHED = ["key", "cid", "size", "probe", "crowd", "mass", "comp"]
+
+
+def cheaper_allocation(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (key, cid, size, probe, crowd, mass, comp) of the segments that are still to be searched.
+
+    ``rows`` are labelled with the components found through hubs. A segment whose members are all in one component
+    needs no search. Classes that would probe a crowded one of the others choose again, now with one-deletion
+    neighbourhoods, which get keys of their own that hold contents and contents less a token alike. What they choose
+    is searched in three parts: segments that were searched anyway, segments that nobody probed before (the zone has
+    all members that are to be met there), and neighbourhoods.
+    """
+    live = choosing_again(rows)
+    near = neighbourhoods(live, sets)
+    members = neighbourhood_members(near)
+    chosen = second_choice(live, near, members)
     first = chosen.where("again = 0").select("cid", "band", "key", F.lit(True).alias("first"))
-    kept = live.join(hard.withColumn("hard", F.lit(True)), ["cid", "band"], "left").join(first, ["cid", "band", "key"], "left")
-    kept = kept.withColumn("probe", F.when(F.col("hard"), F.coalesce("first", F.lit(False))).otherwise(F.col("probe")))
     second = chosen.where("again = 1").select("cid", "band", "seg", F.lit(True).alias("second"))
-    probed = chooser.join(second.drop("second"), ["cid", "band", "seg"], "left_semi").select("key").distinct()
-    met = members.join(probed, "key").select("key", (F.col("n_full") + F.col("n_gone")).alias("crowd"))
-    around = near.join(met, "key").join(second, ["cid", "band", "seg"], "left").withColumn("probe", F.coalesce("second", F.lit(False)))
-    around = around.withColumn("key", F.xxhash64("key", F.lit("neighbourhood")))
-    cols = ["key", "cid", "size", "probe", "crowd", "mass", "comp"]
-    # segments chosen now that nobody probed before: the zone has all members that are to be met there
+    no = F.lit(False)
+    kept = live.join(first, ["cid", "band", "key"], "left")
+    kept = kept.withColumn("probe", F.when(F.col("hard"), F.coalesce("first", no)).otherwise(F.col("probe")))
     unseen = first.select("key").distinct().join(live.select("key").distinct(), "key", "left_anti")
     priced_at = members.where("n_full > 1").join(unseen, "key").select("key", F.col("n_full").alias("crowd"))
-    brought = near.where("gone = 0").join(priced_at, "key").join(first, ["cid", "band", "key"], "left").withColumn("probe", F.coalesce("first", F.lit(False)))
-    return materialise(kept.select(*cols).unionByName(brought.select(*cols)).unionByName(around.select(*cols)), "allocated")
+    brought = near.where("gone = 0").join(priced_at, "key").join(first, ["cid", "band", "key"], "left")
+    brought = brought.withColumn("probe", F.coalesce("first", no))
+    probed = near.where("hard").join(second.drop("second"), ["cid", "band", "seg"], "left_semi").select("key").distinct()
+    met = members.join(probed, "key").select("key", (F.col("n_full") + F.col("n_gone")).alias("crowd"))
+    around = near.join(met, "key").join(second, ["cid", "band", "seg"], "left")
+    around = around.withColumns({"probe": F.coalesce("second", no), "key": F.xxhash64("key", F.lit("neighbourhood"))})
+    parts = kept.select(*SEARCHED).unionByName(brought.select(*SEARCHED)).unionByName(around.select(*SEARCHED))
+    out = materialise(parts, "allocated")
+    discard(live, near, members, chosen)
+    return out
 
 
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -306,13 +281,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Pairs whose sketches differ in more bits than linked sets may in tokens are out before any tokens are moved.
     """
-    cols = lambda side, *names: sets.select(*[F.col(n).alias(n + side) for n in ("cid", *names)])
-    met = pairs.join(cols("1", "size", "sketch"), F.col("x") == F.col("cid1")).join(cols("2", "size", "sketch"), F.col("y") == F.col("cid2"))
+
+    def with_sets(pairs: DataFrame, *names: str) -> DataFrame:
+        for side, at in (("1", "x"), ("2", "y")):
+            own = sets.select(*[F.col(n).alias(n + side) for n in ("cid", *names)])
+            pairs = pairs.join(own, F.col(at) == F.col("cid" + side)).drop("cid" + side)
+        return pairs
+
     may = F.floor((F.col("size1") + F.col("size2")) * (DEN - NUM) / (DEN + NUM) + 1e-9)
-    close = met.where(F.arrow_udf(_differing, "bigint")(F.col("sketch1"), F.col("sketch2")) <= may).select("x", "y", "size1", "size2")
-    held = materialise(close, "close-pairs")
+    differing = F.arrow_udf(_differing, "bigint")(F.col("sketch1"), F.col("sketch2"))
+    close = with_sets(pairs, "size", "sketch").where(differing <= may).select("x", "y", "size1", "size2")
     both = F.arrow_udf(_common, "bigint")(F.col("tokens1"), F.col("tokens2"))
-    joined = held.join(cols("1", "tokens"), F.col("x") == F.col("cid1")).join(cols("2", "tokens"), F.col("y") == F.col("cid2")).select("x", "y", "size1", "size2", both.alias("both"))
+    joined = with_sets(materialise(close, "close-pairs"), "tokens").select("x", "y", "size1", "size2", both.alias("both"))
     return joined.where(DEN * F.col("both") >= NUM * (F.col("size1") + F.col("size2") - F.col("both"))).select("x", "y")
 
 
@@ -340,17 +320,14 @@ def hub_pairs(rows: DataFrame, round_: int) -> DataFrame:
     return _pairs(met.select(F.col("cid").alias("x"), F.col("hub.cid").alias("y")))
 
 
-def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the component of each class by the links so far: its own id without one."""
-    comps = components(links)
-    joined = rows.drop("comp").join(comps, F.col("cid") == F.col("node"), "left")
-    return materialise(joined.withColumn("comp", F.coalesce("comp", "cid")).drop("node"), "labelled")
-
-
 def unsettled(rows: DataFrame) -> DataFrame:
-    """(key, hub) of segments that are probed and have members in several components; the hub is as in even rounds."""
-    by_key = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("probe").alias("p"), F.max(F.struct("mass", "cid")).alias("hub"))
-    return by_key.where("a < b AND p").select("key", F.col("hub.cid").alias("hub"))
+    """(key, family) of segments that are probed and have members in several components; ``family`` is the component
+    of the member with the greatest mass."""
+    by_key = rows.groupBy("key").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b"), F.bool_or("probe").alias("p"),
+        F.max(F.struct("mass", "comp")).alias("heaviest"),
+    )
+    return by_key.where("a < b AND p").select("key", F.col("heaviest.comp").alias("family"))
 
 
 def open_pairs(rows: DataFrame) -> DataFrame:
@@ -401,37 +378,61 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
 def family_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components in segments of more than CROWDED members, without making a row for each pair.
 
-    Segments with one hub form a family. Pairs across components have a member outside the family's largest component,
-    so the probing members out of it are compared with all members, and its probing members with those out of it:
-    block against block, so that a task holds two blocks, and only links come out.
+    Segments whose heaviest member is in one component form a family. Pairs across components have a member outside
+    the family's largest component, so the probing members out of it are compared with all members, and its probing
+    members with those out of it: block against block, so that a task holds two blocks, and only links come out.
     """
     crowded = rows.where(F.col("crowd") > CROWDED).join(unsettled(rows), "key")
-    members = materialise(crowded.groupBy("hub", "cid", "size", "comp").agg(F.bool_or("probe").alias("probe")), "families")
-    parts = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    n_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    blocks = parts.where("most < all").select("hub", "main", n_blocks(F.col("all")).alias("n_all"), n_blocks(F.col("all") - F.col("most")).alias("n_out"))
-    placed = members.join(blocks, "hub").withColumn("out", F.col("comp") != F.col("main")).join(sets.select("cid", "tokens"), "cid")
-    block = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    at = ["hub", "kind", "i", "j"]
+    by_class = crowded.groupBy("family", "cid", "size", "comp").agg(F.bool_or("probe").alias("probe"))
+    members = materialise(by_class, "families")
+    parts = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")
+    )
+
+    def blocks_of(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
+    def block(n: Column) -> Column:
+        return F.pmod(F.xxhash64("cid"), n).cast("int")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    n_all, n_out, out = F.col("n_all"), F.col("n_out"), F.col("out")
+    blocks = parts.where("most < all").select(
+        "family", "main", blocks_of(F.col("all")).alias("n_all"), blocks_of(F.col("all") - F.col("most")).alias("n_out")
+    )
+    placed = members.join(blocks, "family").withColumn("out", F.col("comp") != F.col("main"))
+    placed = placed.join(sets.select("cid", "tokens"), "cid")
+    at = ["family", "kind", "i", "j"]
     cols = [*at, "cid", "size", "comp", "tokens"]
-    mine, other = F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_all")), F.when(F.col("out"), F.col("n_all")).otherwise(F.col("n_out"))
-    left = placed.where("probe").withColumn("kind", F.when(F.col("out"), 0).otherwise(1)).withColumn("i", block(mine)).withColumn("j", every(other)).select(*cols)
-    against_all = placed.withColumn("kind", F.lit(0)).withColumn("j", block(F.col("n_all"))).withColumn("i", every(F.col("n_out"))).select(*cols)
-    against_out = placed.where("out").withColumn("kind", F.lit(1)).withColumn("j", block(F.col("n_out"))).withColumn("i", every(F.col("n_all"))).select(*cols)
-    right = against_all.unionByName(against_out)
+    mine, other = F.when(out, n_out).otherwise(n_all), F.when(out, n_all).otherwise(n_out)
+    kind = F.when(out, 0).otherwise(1)
+    left = placed.where("probe").withColumns({"kind": kind, "i": block(mine)}).withColumn("j", every(other)).select(*cols)
+    against_all = placed.withColumns({"kind": F.lit(0), "j": block(n_all)}).withColumn("i", every(n_out))
+    against_out = placed.where(out).withColumns({"kind": F.lit(1), "j": block(n_out)}).withColumn("i", every(n_all))
+    right = against_all.select(*cols).unionByName(against_out.select(*cols))
+    # renamed columns are new ones, since both sides come from the same table
     return left.groupBy(*at).cogroup(right.toDF(*cols).groupBy(*at)).applyInArrow(_block_links, "x long, y long")
 
 
 def linked_classes(sets: DataFrame) -> DataFrame:
     """Links (x, y) that connect the same components as all links between classes do."""
-    rows, links = plain_allocation(sets), None
+    links = first_links(sets)
+    rows = plain_allocation(with_components(sets, links))
     for round_ in range(HUB_ROUNDS):
         found = verified(hub_pairs(rows, round_), sets)
-        links = materialise(found if links is None else links.unionByName(found), "links")
-        rows = labelled(rows, links)
+        before, links = links, materialise(links.unionByName(found), "links")
+        last, rows = rows, materialise(with_components(rows.drop("comp"), links), "labelled")
+        discard(before, last)
     left = cheaper_allocation(rows, sets)
-    return materialise(links.unionByName(verified(open_pairs(left), sets)).unionByName(family_links(left, sets)), "links")
+    whole = whole_bands(sets)
+    if whole is not None:
+        left = left.unionByName(materialise(with_components(whole, links), "whole-bands"))
+    found = verified(open_pairs(left), sets).unionByName(family_links(left, sets))
+    out = materialise(links.unionByName(found), "links")
+    discard(rows, left, links)
+    return out
 
 
 def text_hash(text: Column) -> Column:
@@ -442,20 +443,21 @@ def text_hash(text: Column) -> Column:
 def _grouped(docs: DataFrame) -> DataFrame:
     """The rows of ``near_duplicates`` with text_hash, the set's fingerprint (lo, hi) and comp: its component's number,
     null where its class has no link."""
-    texts = docs.select("doc_id", "text")
-    members = materialise(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(_members, "doc_id long, text_hash long, n_shingles long, lo long, hi long"), "members")
-    left = survivors(texts.where("doc_id IS NOT NULL").select("text"), members)
-    chosen = texts.join(left.select("doc_id", "cid", "lo", "hi"), "doc_id").select("text", "cid", "lo", "hi")
-    sets = materialise(chosen.mapInArrow(_sets, "cid long, size long, tokens binary, sketch binary").dropDuplicates(["cid"]), "sets")
+    texts = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+    found = corpus(texts)
+    left = survivors(texts, found)
+    sets = class_sets(texts, left)
     comps = components(linked_classes(sets))
+    discard(sets)
     classes = left.join(comps, F.col("cid") == F.col("node")).select("lo", "hi", "comp", F.col("doc_id").alias("rep"))
     least = classes.groupBy("comp").agg(F.min("rep").alias("least"))
     by_class = classes.join(least, "comp").select("lo", "hi", "least", "comp")
-    copies = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("copy"))
-    roots = copies.join(by_class, ["lo", "hi"], "left").select("lo", "hi", "comp", F.coalesce("least", "copy").alias("root"))
-    named = members.join(roots, ["lo", "hi"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root"))
-    return named.select("doc_id", "text_hash", "n_shingles", "lo", "hi", "comp", component.cast("long").alias("component_id"))
+    root = F.coalesce("least", "doc_id").alias("root")
+    roots = found.classes.join(by_class, ["lo", "hi"], "left").select("lo", "hi", "comp", root)
+    named = found.members.join(roots, ["lo", "hi"], "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root"))
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(own).cast("long").alias("component_id")
+    return named.select("doc_id", "text_hash", "n_shingles", "lo", "hi", "comp", component)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
