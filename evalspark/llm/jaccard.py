@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.bytesets import mixed
 from evalspark.llm.graph import components
-from evalspark.llm.shingles import DEN, NUM, SKETCH, class_sets, corpus, longs, segments_of, survivors, views
+from evalspark.llm.shingles import DEN, NUM, SKETCH, class_sets, corpus, longs, segments_of, sliced, survivors, views
 from evalspark.plans.scratch import discard, materialise
 
 #: Least hashes by which classes meet before segments are made.
@@ -44,7 +44,7 @@ def _differing(a: pa.Array, b: pa.Array) -> pa.Array:
 def _min_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least of each set's tokens in FIRST_KEYS scramblings."""
     salts = mixed(np.arange(1, FIRST_KEYS + 1, dtype=np.uint64))
-    for batch in batches:
+    for batch in sliced(batches, "tokens"):
         blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
         if blobs:
             least = np.array([mixed(blob ^ salt).min() for blob in blobs for salt in salts]) + np.tile(salts, len(blobs))
@@ -73,7 +73,7 @@ def _segment_rows(deletions: bool):
         With deletions also without each of its tokens (gone = 1), and whether the segment may count twice (it has
         several tokens) and whether the class chooses again in that band.
         """
-        for batch in batches:
+        for batch in sliced(batches, "tokens"):
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             rows, again, twice = [], [], []
             masks = batch.column("bands").to_pylist() if deletions else [0] * len(batch)

@@ -34,9 +34,10 @@ SKETCH = 1024
 SEGMENTS, FINE = 0.75, 128
 
 
-def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of about 1 MB of a column of texts or bytes."""
     for batch in batches:
-        for a, b in slices(batch.column("text")):
+        for a, b in slices(batch.column(column)):
             yield batch.slice(a, b - a)
 
 
@@ -246,10 +247,13 @@ SETS = "cid long, size long, mass double, tokens binary, sketch binary, short lo
 def class_sets(texts: DataFrame, left: DataFrame) -> DataFrame:
     """The sets of the classes ``left``: cid, size, mass, tokens, sketch and short (``short_bands``).
 
-    They are bucketed by cid: pairs come to them, and the tokens of all sets are shuffled this once only.
+    They are bucketed by cid: pairs come to them, and the tokens of all sets are shuffled this once only. Spark reads a
+    bucketed table in place if it has at least as many buckets as a shuffle has partitions. The classes grow with the
+    corpus, so they are hashed and not broadcast, and the texts need no sort.
     """
     n_bytes = left.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * 8
-    buckets = max(left.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // BUCKET_BYTES))
-    rows = texts.select("doc_id", "text").join(left.select("doc_id", "cid", "lo", "hi", "mass"), "doc_id")
+    buckets = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    chosen = left.select("doc_id", "cid", "lo", "hi", "mass").hint("shuffle_hash")
+    rows = texts.select("doc_id", "text").join(chosen, "doc_id")
     sets = rows.select("text", "cid", "lo", "hi", "mass").mapInArrow(_sets, SETS)
     return materialise_buckets(sets.repartition(buckets, "cid").dropDuplicates(["cid"]), "sets", "cid", buckets)
