@@ -77,13 +77,65 @@ def adjust_to_prior(p: Column, source: Column, target: Column) -> Column:
     return sigmoid(logit(p) + logit(target) - logit(source))
 
 
-def trust_decision(evidence: dict[str, Column]) -> Column:
-    """The first failing check in fixed order names the state; missing evidence fails."""
-    order = [("integrity", "INVALID"), ("contract", "INVALID"), ("quality", "REACQUIRE"), ("distribution", "ABSTAIN"), ("gate", "ABSTAIN"), ("conformal", "REVIEW"), ("coherence", "REVIEW")]
-    failed = [(name, state, ~F.coalesce(evidence[name], F.lit(False))) for name, state in order]
-    state = F.coalesce(*[F.when(bad, F.lit(s)) for _, s, bad in failed], F.lit("ACCEPT"))
-    reason = F.coalesce(*[F.when(bad, F.lit(n)) for n, _, bad in failed])
-    return F.struct(state.alias("state"), reason.alias("reason"))
+#: Fixed: labels that can't hold together.
+INCOMPATIBLE = (("NORM", "MI"), ("NORM", "STTC"), ("NORM", "HYP"))
+
+
+def incoherent_labels(supported: Column, pairs: tuple[tuple[str, str], ...] = INCOMPATIBLE) -> Column:
+    """Of an array of supported labels those in a pair that can't hold together, in their order."""
+
+    def clashes(label: Column) -> Column:
+        out = F.lit(False)
+        for a, b in pairs:
+            both = F.array_contains(supported, a) & F.array_contains(supported, b)
+            out = out | (both & label.isin(a, b))
+        return out
+
+    return F.filter(supported, clashes)
+
+
+def trust_decision(
+    integrity: Column, contract: Column, quality: Column, distribution: Column, gate: Column | None, decisions: Column,
+    pairs: tuple[tuple[str, str], ...] | None = INCOMPATIBLE,
+) -> Column:
+    """A struct of decision, reason, uncertain_labels and incoherent_labels; the first check that fails decides.
+
+    ``quality`` is a status (PASS, LIMITED, REACQUIRE, INVALID), ``decisions`` an array of structs of label and decision
+    (SUPPORTED, NOT_SUPPORTED, UNCERTAIN); ``gate`` None leaves the gate out, ``pairs`` None the coherence check.
+    Missing evidence has states of its own: an input without quality evidence is invalid, one without distribution
+    evidence unsupported, and without gate or label decisions there is no prediction. A null flag of integrity or
+    contract counts as false.
+    """
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    none = F.array().cast("array<string>")
+    labels = lambda what: F.transform(F.filter(decisions, lambda d: d["decision"] == what), lambda d: d["label"])
+    uncertain = F.coalesce(labels("UNCERTAIN"), none)
+    incoherent = incoherent_labels(labels("SUPPORTED"), pairs) if pairs else none
+    checks = [
+        (no(integrity), "INVALID_INPUT", "RELEASE_INTEGRITY_UNVERIFIED"),
+        (no(contract), "INVALID_INPUT", "INPUT_CONTRACT_INVALID"),
+        (quality.isNull(), "INVALID_INPUT", "QUALITY_COMPONENT_UNAVAILABLE"),
+        (quality == "INVALID", "INVALID_INPUT", "SIGNAL_QUALITY_INVALID"),
+        (quality.isin("LIMITED", "REACQUIRE"), "REACQUIRE", "SIGNAL_REACQUISITION_REQUIRED"),
+        (distribution.isNull(), "UNSUPPORTED_INPUT", "DISTRIBUTION_COMPONENT_UNAVAILABLE"),
+        (~distribution, "UNSUPPORTED_INPUT", "OUTSIDE_VALIDATED_DISTRIBUTION"),
+    ]
+    if gate is not None:
+        checks.append((gate.isNull(), "ABSTAIN", "UNCERTAINTY_COMPONENT_UNAVAILABLE"))
+        checks.append((~gate, "ABSTAIN", "LEGACY_ENTROPY_GATE_REJECTED"))
+    checks += [
+        (decisions.isNull(), "ABSTAIN", "UNCERTAINTY_COMPONENT_UNAVAILABLE"),
+        (F.size(uncertain) > 0, "ABSTAIN", "CONFORMAL_SET_UNCERTAIN"),
+        (F.size(incoherent) > 0, "ABSTAIN", "LABEL_SET_INCOHERENT"),
+    ]
+    number = F.coalesce(*[F.when(failed, F.lit(i)) for i, (failed, _, _) in enumerate(checks)], F.lit(len(checks)))
+    states = F.array(*[F.lit(x) for _, x, _ in checks], F.lit("PREDICTION_ALLOWED"))
+    reasons = F.array(*[F.lit(x) for _, _, x in checks], F.lit("ALL_TRUST_GATES_PASSED"))
+    return F.struct(
+        states[number].alias("decision"), reasons[number].alias("reason"),
+        F.when(number == len(checks) - 2, uncertain).otherwise(none).alias("uncertain_labels"),
+        F.when(number == len(checks) - 1, incoherent).otherwise(none).alias("incoherent_labels"),
+    )
 
 
 def aliased_frequency(f: Column, fs: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.expressions import adjust_to_prior
+from evalspark.plans.prims import prefix_scan
 from evalspark.plans.scratch import materialise
 
 GRID = 32
@@ -51,29 +52,48 @@ def fit_temperature(pred: DataFrame, keys: list[str], low: float = 0.05, high: f
     return losses.select(*keys, F.when(F.col("l1") - F.col("l") > 1e-12, 1 / F.col("best")).otherwise(1.0).alias("temperature"))
 
 
-def newton_logistic(rows: DataFrame, keys: list[str], ridge: float, steps: int = 12) -> list[tuple]:
-    """Slope a and intercept b of sigmoid(a * logit + b) for every key, pulled towards (1, 0) by ``ridge``.
+#: Newton steps at most, and the gradient under which a fit has converged.
+NEWTON_STEPS, NEWTON_TOLERANCE = 40, 1e-8
+
+
+def newton_logistic(rows: DataFrame, keys: list[str], ridge: float, fixed_slope: bool = False) -> DataFrame:
+    """(keys, slope, intercept, reason) of sigmoid(slope * logit + intercept) for every key, drawn to (1, 0) by ``ridge``.
 
     Each Newton step is one aggregate of gradient and Hessian over all keys; a step is halved until the key's own
-    objective falls (tried at the next aggregate).
+    objective falls (tried at the next aggregate). A key is done when its gradient is below NEWTON_TOLERANCE. Keys
+    without both classes, keys whose classes are separated by a logit (they have no finite fit) and keys that haven't
+    converged after NEWTON_STEPS have null values and say so. With ``fixed_slope`` the slope stays 1.
     """
     spark = rows.sparkSession
-    kept = rows.select(*keys, "logit", F.col("target").cast("double").alias("y")).persist()
+    y = F.col("target").cast("double")
+    kept = rows.select(*keys, "logit", y.alias("y")).persist()
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    inf = float("inf")
     try:
-        have = [tuple(r) for r in kept.select(*keys).distinct().collect()]  # one row for each model and label
-        at = {k: (1.0, 0.0) for k in have}
-        best = {k: (math.inf, (1.0, 0.0)) for k in have}
-        types = dict(rows.dtypes)
-        schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", a double, b double"
-        for _ in range(steps):
-            params = spark.createDataFrame([(*k, *v) for k, v in at.items()], schema)
-            z = F.col("a") * F.col("logit") + F.col("b")
+        low = lambda v: F.coalesce(F.min(F.when(F.col("y") == v, F.col("logit"))), F.lit(inf))
+        high = lambda v: F.coalesce(F.max(F.when(F.col("y") == v, F.col("logit"))), F.lit(-inf))
+        seen = kept.groupBy(*keys).agg(F.sum("y"), F.count(F.lit(1)), low(1), high(1), low(0), high(0)).collect()
+        reasons, at = {}, {}  # a row for each model and label
+        for r in seen:
+            k, (ones, n, low1, high1, low0, high0) = tuple(r[: len(keys)]), r[len(keys) :]
+            apart = not fixed_slope and ridge < 1e-6 and (low1 > high0 or low0 > high1)
+            reasons[k] = "one_class" if ones in (0, n) else "separated" if apart else "not_converged"
+            if reasons[k] == "not_converged":
+                at[k] = (1.0, 0.0)
+        best = {k: (inf, v) for k, v in at.items()}
+        for _ in range(NEWTON_STEPS):
+            if not at:
+                break
+            params = spark.createDataFrame([(*k, *v) for k, v in at.items()], schema + ", __a double, __b double")
+            x = F.col("logit")
+            z = F.col("__a") * x + F.col("__b")
             p = 1 / (1 + F.exp(-z))
             v = p * (1 - p)
-            x = F.col("logit")
             sums = kept.join(F.broadcast(params), keys).groupBy(*keys).agg(
-                F.avg(softplus_loss(z, F.col("y"))), F.avg((p - F.col("y")) * x), F.avg(p - F.col("y")), F.avg(v * x * x), F.avg(v * x), F.avg(v)
-            )
+                F.avg(softplus_loss(z, F.col("y"))), F.avg((p - F.col("y")) * x), F.avg(p - F.col("y")),
+                F.avg(v * x * x), F.avg(v * x), F.avg(v),
+            )
             for r in sums.collect():
                 k, (loss, ga, gb, haa, hab, hbb) = tuple(r[: len(keys)]), r[len(keys) :]
                 a, b = at[k]
@@ -83,26 +103,36 @@ def newton_logistic(rows: DataFrame, keys: list[str], ridge: float, steps: int =
                     at[k] = ((a + a0) / 2, (b + b0) / 2)
                     continue
                 best[k] = (loss, (a, b))
-                step = np.linalg.solve([[haa + ridge, hab], [hab, hbb + ridge]], [ga + ridge * (a - 1), gb + ridge * b])
-                at[k] = (max(float(a - step[0]), 1e-3), float(b - step[1]))
+                ga, gb = (0.0 if fixed_slope else ga + ridge * (a - 1)), gb + ridge * b
+                if max(abs(ga), abs(gb)) < NEWTON_TOLERANCE:
+                    reasons[k] = None
+                    del at[k]
+                elif fixed_slope:
+                    at[k] = (a, b - float(gb / (hbb + ridge)))
+                else:
+                    step = np.linalg.solve([[haa + ridge, hab], [hab, hbb + ridge]], [ga, gb])
+                    at[k] = (max(float(a - step[0]), 1e-3), float(b - step[1]))
     finally:
         kept.unpersist()
-    return [(*k, *v[1]) for k, v in best.items()]
+    out = [(*k, *(best[k][1] if why is None else (None, None)), why) for k, why in reasons.items()]
+    return spark.createDataFrame(out, schema + ", slope double, intercept double, reason string")
 
 
 def fit_sigmoid_scaling(pred: DataFrame, keys: list[str], ridge: float = 1e-3) -> DataFrame:
-    """M3: slope and intercept of each label's probability map."""
-    types = dict(pred.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", slope double, intercept double"
-    return pred.sparkSession.createDataFrame(newton_logistic(pred, keys, ridge), schema)
+    """M3: slope and intercept of each label's probability map; 1 and 0 (the identity) where no fit can be had."""
+    fit = newton_logistic(pred, keys, ridge)
+    return fit.select(*keys, F.coalesce("slope", F.lit(1.0)).alias("slope"), F.coalesce("intercept", F.lit(0.0)).alias("intercept"), "reason")
 
 
 def weak_calibration(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """Observed to expected ratio, and calibration slope and intercept; null where one class is missing."""
-    ratio = pred.groupBy(*keys).agg((F.sum("target") / F.sum("prob")).alias("oe_ratio"), F.min("target").alias("a"), F.max("target").alias("b"))
-    fit = fit_sigmoid_scaling(pred, keys, 1e-9)
-    both = F.col("a") < F.col("b")
-    return ratio.join(F.broadcast(fit), keys).select(*keys, "oe_ratio", F.when(both, F.col("slope")).alias("slope"), F.when(both, F.col("intercept")).alias("intercept"))
+    """Observed to expected ratio, calibration slope and intercept, and calibration in the large (the intercept
+    at slope 1); null where a fit can't be had, with the reason."""
+    ratio = pred.groupBy(*keys).agg((F.sum("target") / F.sum("prob")).alias("oe_ratio"))
+    fit = newton_logistic(pred, keys, 1e-9)
+    large = newton_logistic(pred, keys, 0.0, fixed_slope=True).select(*keys, F.col("intercept").alias("in_the_large"))
+    # one row for each model and label in each of these
+    met = ratio.join(F.broadcast(fit), keys).join(F.broadcast(large), keys)
+    return met.select(*keys, "oe_ratio", "slope", "intercept", "in_the_large", "reason")
 
 
 def estimate_label_shift(target: DataFrame, keys: list[str], source_prior: str, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
@@ -160,38 +190,73 @@ def fit_mahalanobis(vectors: DataFrame, column: str, shrink: float = 0.1, ridge:
 
 
 def score_mahalanobis(vectors: DataFrame, column: str, mean: np.ndarray, precision: np.ndarray) -> DataFrame:
-    """Squared distance of each vector."""
+    """Squared distance of each vector; null for a null vector, one of another length or with a null in it."""
     @F.pandas_udf("double")
     def distance(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(float) - mean
-        return pd.Series(((x @ precision) * x).sum(1))
+        good = np.array([x is not None and len(x) == len(mean) and None not in list(x) for x in v], bool)
+        out = pd.Series([None] * len(v), dtype=object)
+        if good.any():
+            x = np.stack(v[good].to_numpy()).astype(float) - mean
+            out[good] = ((x @ precision) * x).sum(1)
+        return out
 
     return vectors.withColumn("distance", distance(column))
 
 
-def brier_decomposition(pred: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    """A10: reliability, resolution, uncertainty, within-bin variance and covariance over bins that never part ties.
+def tie_aware_bins(hist: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """``hist`` (keys, prob, n, pos) with ``__bin``: near equal-mass bins of which none parts a tie.
 
-    Scores are counted by tie, each tie goes whole to the equal-mass bin of its middle rank; the parts add up to the
-    Brier score.
+    Cuts fall between distinct scores, each as near as can be to its place (i * n / bins), in order, with room kept for
+    those after it; with no more scores than bins each has its own. The distance to a place falls and then rises along
+    the scores, so the best allowed cut is the best of all held to the allowed range: one aggregate finds the best of
+    all for every place, and the ranges are settled on that short array.
     """
-    from evalspark.plans.prims import prefix_scan
+    cum = prefix_scan(hist, keys, [F.col("prob")], {"__seen": F.col("n"), "__d": F.lit(1).cast("long")})
+    wanted = F.least(F.lit(bins).cast("long"), F.col("__seen_total")) - 1
+    cum = cum.withColumns({"__wanted": wanted, "__last": F.col("__d_total") - 1})
+    inner = F.col("__d") <= F.col("__last")
+
+    def nearest(i: int) -> Column:
+        away = F.abs(F.col("__seen") - F.lit(i) * F.col("__seen_total") / (F.col("__wanted") + 1))
+        return F.min(F.when(inner, F.struct(away.alias("away"), F.col("__d").alias("d"))))["d"]
 
+    best = F.array(*[nearest(i) for i in range(1, bins)]).alias("__best")
+    places = cum.groupBy(*keys).agg(best, F.first("__wanted").alias("__w"), F.first("__last").alias("__m"))
+
+    def settle(cuts: Column, d: Column) -> Column:
+        i, last = F.size(cuts) + 1, F.coalesce(F.try_element_at(cuts, F.lit(-1)), F.lit(0).cast("long"))
+        held = F.least(F.greatest(d, last + 1), F.col("__m") - (F.col("__w") - i))
+        return F.concat(cuts, F.array(held))
+
+    asked = F.slice("__best", F.lit(1), F.col("__w").cast("int"))
+    start = F.array().cast("array<bigint>")
+    cuts = F.when(F.col("__m") > F.col("__w"), F.aggregate(asked, start, settle))
+    met = cum.join(F.broadcast(places.select(*keys, cuts.alias("__cuts"))), keys)
+    held = F.size(F.filter("__cuts", lambda c: c < F.col("__d")))
+    own = F.when(F.col("__cuts").isNull(), F.col("__d") - 1).otherwise(held)
+    return met.select(*hist.columns, own.cast("int").alias("__bin"))
+
+
+def brier_decomposition(pred: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """A10: reliability, resolution, uncertainty, within-bin variance and covariance over bins that never part ties;
+    the parts add up to the Brier score. ``keys`` are models and labels: a few rows, which are broadcast."""
     hist = pred.groupBy(*keys, "prob").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("target").cast("long")).alias("pos"))
-    cum = prefix_scan(hist, keys, [F.col("prob")], {"seen": F.col("n")})
-    middle = (F.col("seen") - F.col("n") / 2) / F.col("seen_total")
     p, n, y = F.col("prob"), F.col("n"), F.col("pos")
-    cells = cum.groupBy(*keys, F.least(F.floor(middle * bins), F.lit(bins - 1)).alias("bin")).agg(F.sum(n).alias("m"), F.sum(p * n).alias("sp"), F.sum(y).alias("sy"), F.sum(p * p * n).alias("spp"), F.sum(p * y).alias("spy"))
+    cells = tie_aware_bins(hist, keys, bins).groupBy(*keys, "__bin").agg(
+        F.sum(n).alias("m"), F.sum(p * n).alias("sp"), F.sum(y).alias("sy"), F.sum(p * p * n).alias("spp"), F.sum(p * y).alias("spy")
+    )
     mp, my = F.col("sp") / F.col("m"), F.col("sy") / F.col("m")
     total = cells.groupBy(*keys).agg((F.sum("sy") / F.sum("m")).alias("base"))
     met = cells.join(total, keys)
     m = F.col("m")
     out = met.groupBy(*keys).agg(
-        F.sum(m).alias("n"), F.sum(m * (mp - my) * (mp - my)).alias("r"), F.sum(m * (my - F.col("base")) * (my - F.col("base"))).alias("s"), F.first("base").alias("base"),
+        F.count(F.lit(1)).alias("bins"), F.sum(m).alias("n"), F.sum(m * (mp - my) * (mp - my)).alias("r"),
+        F.sum(m * (my - F.col("base")) * (my - F.col("base"))).alias("s"), F.first("base").alias("base"),
         F.sum(F.col("spp") - m * mp * mp).alias("v"), F.sum(F.col("spy") - m * mp * my).alias("c"),
     )
+    whole = (F.col("r") - F.col("s") + F.col("v") - 2 * F.col("c")) / F.col("n") + F.col("base") * (1 - F.col("base"))
     return out.select(
-        *keys, (F.col("r") / F.col("n")).alias("reliability"), (F.col("s") / F.col("n")).alias("resolution"), (F.col("base") * (1 - F.col("base"))).alias("uncertainty"),
-        (F.col("v") / F.col("n")).alias("within_variance"), (F.col("c") / F.col("n")).alias("within_covariance"),
-        ((F.col("r") - F.col("s") + F.col("v") - 2 * F.col("c")) / F.col("n") + F.col("base") * (1 - F.col("base"))).alias("brier"),
+        *keys, "bins", (F.col("r") / F.col("n")).alias("reliability"), (F.col("s") / F.col("n")).alias("resolution"),
+        (F.col("base") * (1 - F.col("base"))).alias("uncertainty"), (F.col("v") / F.col("n")).alias("within_variance"),
+        (F.col("c") / F.col("n")).alias("within_covariance"), whole.alias("brier"),
     )

@@ -53,8 +53,9 @@ def frozen_set_diff(frozen: DataFrame, candidate: DataFrame, key: str, cols: lis
 
 
 def table_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Row count and an order-free sum of row hashes."""
-    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    """Row count and an order-free sum of row hashes; a row is hashed as JSON, which tells all values apart."""
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols]), {"ignoreNullFields": "false"})
+    row = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(row).cast("string").alias("fingerprint"))
 
 

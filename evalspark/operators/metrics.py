@@ -142,9 +142,93 @@ def seed_summary(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.median(v).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("seeds"))
 
 
+ECE_BINS = 15
+
+
+def metrics_of_hist(hist: DataFrame, keys: list[str], bins: int = ECE_BINS) -> DataFrame:
+    """A1 to A6 from one table of distinct scores: ``hist`` has keys, prob, n and pos (records and positives there).
+
+    One ascending prefix sum serves all: what lies above a score is the total less what lies below. Undefined metrics
+    are null, with the reason.
+    """
+    scored = hist.select(*keys, F.col("prob").alias("__p"), F.col("n").alias("__n"), F.col("pos").alias("__y"))
+    cum = prefix_scan(scored, keys, [F.col("__p")], {"__cn": F.col("__n"), "__cy": F.col("__y")})
+    p, n, y = F.col("__p"), F.col("__n"), F.col("__y")
+    neg, q, total, positives = n - y, clipped(F.col("__p")), F.col("__cn_total"), F.col("__cy_total")
+    neg_below, n_below, y_below = F.col("__cn") - F.col("__cy") - neg, F.col("__cn") - n, F.col("__cy") - y
+    in_bin = F.least(F.floor(p * bins), F.lit(bins - 1))
+    parts = {
+        "n": F.max(total), "positives": F.max(positives), "won": F.sum(y * (neg_below + neg / 2)),
+        "steps": F.sum(y * (positives - y_below) / (total - n_below)),
+        "squares": F.sum(y * (1 - p) * (1 - p) + neg * p * p), "logs": F.sum(-y * F.log(q) - neg * F.log(1 - q)),
+        "gaps": F.array(*[F.sum(F.when(in_bin == i, y - n * p).otherwise(0.0)) for i in range(bins)]),
+    }
+    sums = cum.groupBy(*keys).agg(*[c.alias(f"__m_{name}") for name, c in parts.items()])
+    s = lambda name: F.col(f"__m_{name}")
+    negatives = s("n") - s("positives")
+    reason = F.when(s("positives") == 0, "no_positives").when(negatives == 0, "no_negatives")
+    gaps = F.aggregate(s("gaps"), F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    return sums.select(
+        *keys, s("n").alias("n"), s("positives").alias("positives"), negatives.alias("negatives"),
+        (s("positives") / s("n")).alias("rate"), reason.alias("reason"),
+        F.when(reason.isNull(), s("won") / (s("positives") * negatives)).alias("auroc"),
+        F.when(s("positives") > 0, s("steps") / s("positives")).alias("average_precision"),
+        (s("squares") / s("n")).alias("brier"), (s("logs") / s("n")).alias("log_loss"), (gaps / s("n")).alias("ece"),
+    )
+
+
+#: Names of the metrics of ``metrics_of_hist`` that can be averaged over labels or resampled.
+METRICS = ("rate", "auroc", "average_precision", "brier", "log_loss", "ece")
+
+
 def evaluate_members(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """A1 to A7 side by side, one row a key."""
-    out = prevalence(pred, keys)
-    for part in (roc_auc(pred, keys), average_precision(pred, keys), pointwise(pred, keys), ece_fixed(pred, keys)):
-        out = out.join(part, keys)
-    return out
+    """A1 to A6 side by side, one row a key, from one histogram of scores."""
+    return metrics_of_hist(score_hist(pred, keys, "prob", "target"), keys)
+
+
+def probability_audit(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key (label last) A1 to A6, and a row with label null that has their means over the labels where
+    they are defined (A7), the records there being those of all labels together."""
+    rows = evaluate_members(pred, keys)
+    *outer, label = keys
+    whole = rows.groupBy(*outer).agg(
+        *[F.sum(c).alias(c) for c in ("n", "positives", "negatives")], *[F.avg(m).alias(m) for m in METRICS]
+    )
+    kind = dict(rows.dtypes)[label]
+    whole = whole.withColumns({label: F.lit(None).cast(kind), "reason": F.lit(None).cast("string")})
+    return rows.unionByName(whole)
+
+
+def subgroup_audit(
+    pred: DataFrame, groups: DataFrame, keys: list[str], gates: DataFrame | None = None, least: int = 1
+) -> DataFrame:
+    """A1 to A6 for each group of each attribute; ``groups`` is (record_id, attribute, group_value).
+
+    A null group is ``unknown``. Groups with fewer than ``least`` records have counts and the reason ``too_few``, but
+    no metrics. With ``gates`` (model_id, maximum_entropy) also the share of rows that each model's global gate
+    accepts, and the Brier score there; ``pred`` then has ``uncertainty`` and model_id is among the keys.
+    """
+    value = F.coalesce("group_value", F.lit("unknown")).alias("group_value")
+    met = pred.join(groups.select("record_id", "attribute", value), "record_id")
+    at = [*keys, "attribute", "group_value"]
+    rows = evaluate_members(met, at)
+    few = F.col("n") < least
+    rows = rows.withColumns({m: F.when(~few, F.col(m)) for m in METRICS[1:]})
+    rows = rows.withColumn("reason", F.when(few, F.lit("too_few")).otherwise(F.col("reason")))
+    if gates is None:
+        return rows
+    on = F.col("uncertainty") <= F.col("maximum_entropy")
+    error = (F.col("prob") - F.col("target")) * (F.col("prob") - F.col("target"))
+    # one gate for each model and target
+    gated = met.join(F.broadcast(gates.select("model_id", "maximum_entropy")), "model_id").groupBy(*at).agg(
+        F.avg(on.cast("double")).alias("coverage"), F.avg(F.when(on, error)).alias("accepted_brier")
+    )
+    return rows.join(gated, at)
+
+
+def metric_deltas(pred: DataFrame, case: str, baseline: str, keys: list[str]) -> DataFrame:
+    """A1 to A6 of each case less those of the baseline case, by ``keys``; cases without a baseline row go."""
+    rows = evaluate_members(pred, [*keys, case])
+    base = rows.where(F.col(case) == baseline).select(*keys, *[F.col(m).alias(f"__{m}") for m in METRICS])
+    met = rows.where(F.col(case) != baseline).join(base, keys)
+    return met.select(*keys, case, *[(F.col(m) - F.col(f"__{m}")).alias(f"delta_{m}") for m in METRICS])

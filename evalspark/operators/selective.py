@@ -101,20 +101,41 @@ def selective_points(losses: DataFrame, keys: list[str], names: list[str], cover
     return asked.drop("record_id")
 
 
+#: Places of a tie that are summed one by one; beyond them the asymptotic series is exact to double precision.
+HARMONIC = 32
+
+
+def harmonic_between(low: Column, high: Column) -> Column:
+    """The sum of 1 / j for j from low + 1 to high, in a few operations whatever the distance."""
+    at = F.greatest(low, F.lit(HARMONIC).cast("long"))
+    short = F.aggregate(
+        F.when(low < HARMONIC, F.sequence(low + 1, F.least(high, at))).otherwise(F.array().cast("array<bigint>")),
+        F.lit(0.0), lambda acc, j: acc + F.lit(1.0) / j,
+    )
+    rest = lambda n: 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n)
+    a, b = at.cast("double"), high.cast("double")
+    return short + F.when(high > at, F.log1p((b - a) / a) + rest(b) - rest(a)).otherwise(0.0)
+
+
 def area_under_risk(losses: DataFrame, keys: list[str], loss: str, order: str) -> DataFrame:
     """Expected areas under the selective risk (aurc) and the generalised risk (augrc) curve, ties averaged.
 
     Records tied in ``order`` enter in any order, so each brings their mean loss. A tie of m records after s loss in k
     records adds sum over j of (s + j * mean) / (k + j), which needs only the harmonic sum over those positions.
     """
-    ties = losses.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("m"), F.sum(loss).alias("l"))
-    run = prefix_scan(ties, keys, [F.col(order)], {"k": F.col("m"), "s": F.col("l")})
-    k0, s0, mean = F.col("k") - F.col("m"), F.col("s") - F.col("l"), F.col("l") / F.col("m")
-    # positions k0 + 1 to k one by one: the array is as long as one tie
-    harmonic = F.aggregate(F.sequence(k0 + 1, F.col("k")), F.lit(0.0), lambda acc, j: acc + F.lit(1.0) / j)
-    part = mean * F.col("m") + (s0 - mean * k0) * harmonic
-    general = F.col("m") * s0 + mean * F.col("m") * (F.col("m") + 1) / 2
-    return run.groupBy(*keys).agg((F.sum(part) / F.max("k_total")).alias("aurc"), (F.sum(general) / F.max("k_total") / F.max("k_total")).alias("augrc"))
+    ties = losses.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("__m"), F.sum(loss).cast("double").alias("__l"))
+    return area_of_ties(ties, keys, order)
+
+
+def area_of_ties(ties: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The areas of ``area_under_risk`` from one row for each tie: keys, order, records __m and summed loss __l."""
+    run = prefix_scan(ties, keys, [F.col(order)], {"__k": F.col("__m"), "__sum": F.col("__l")})
+    m, k = F.col("__m"), F.col("__k")
+    k0, s0, mean = k - m, F.col("__sum") - F.col("__l"), F.col("__l") / m
+    part = mean * m + (s0 - mean * k0) * harmonic_between(k0, k)
+    general = m * s0 + mean * m * (m + 1) / 2
+    n = F.max("__k_total")
+    return run.groupBy(*keys).agg((F.sum(part) / n).alias("aurc"), (F.sum(general) / n / n).alias("augrc"))
 
 
 def excess_aurc(losses: DataFrame, keys: list[str], loss: str) -> DataFrame:

@@ -109,16 +109,21 @@ def greedy_cells(df: DataFrame, cell: str, patient: str, record: str, size: int,
 
 
 def spectral_ratios(samples: Column, fs: float, bands: dict[str, tuple[float, float]]) -> Column:
-    """Q3: share of a Hann-windowed signal's power in each band."""
+    """Q3: share of a Hann-windowed signal's power in each band; null for a null, too short or not finite signal."""
     names = list(bands)
 
+    def shares(x: np.ndarray) -> list[float | None]:
+        x = np.asarray(x, float)
+        if len(x) < 2 or not np.isfinite(x).all():
+            return [None] * len(names)
+        power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
+        f, total = np.fft.rfftfreq(len(x), 1 / fs), max(power.sum(), 1e-30)
+        return [float(power[(f >= lo) & (f < hi)].sum() / total) for lo, hi in bands.values()]
+
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def run(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy()).astype(float)
-        power = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * np.hanning(x.shape[1]), axis=1)) ** 2
-        f = np.fft.rfftfreq(x.shape[1], 1 / fs)
-        total = np.maximum(power.sum(1), 1e-30)
-        return pd.DataFrame({n: power[:, (f >= lo) & (f < hi)].sum(1) / total for n, (lo, hi) in bands.items()})
+        rows = [[None] * len(names) if x is None else shares(x) for x in v]
+        return pd.DataFrame(rows, columns=names).astype(object)
 
     return run(samples)
 
@@ -137,18 +142,35 @@ def resample(samples: Column, down: int, taps: int = 31) -> Column:
     return run(samples)
 
 
-def batch_score(wave: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], labels: list[str]) -> DataFrame:
-    """Logits of a caller's frozen predictor over batches of records with aligned leads."""
+def batch_score(
+    wave: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], labels: list[str], leads: int, n_samples: int
+) -> DataFrame:
+    """Outputs of a caller's frozen predictor over batches of records, and ``reason``.
+
+    The predictor takes an array of records times leads * n_samples, leads in order. Every record comes back: one with
+    other leads than 0 to leads - 1 once each, another length, or a value that isn't finite, has null outputs and says
+    why.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if len(pdf):
-                out = predictor(np.stack(pdf["x"].to_numpy()).astype(float))
-                yield pd.DataFrame(out, columns=labels).assign(record_id=pdf["record_id"].to_numpy())
-
-    flat = wave.groupBy("record_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lead_idx", "samples"))), lambda x: x["samples"])).alias("x"), F.count(F.lit(1)).alias("n"))
-    most = flat.agg(F.max("n")).first()[0]
-    return flat.where(F.col("n") == most).select("record_id", "x").mapInPandas(run, "record_id long, " + ", ".join(f"{x} double" for x in labels)).select("record_id", *labels)
+            out = pd.DataFrame(np.nan, index=pdf.index, columns=labels, dtype=float).astype(object).where(lambda x: x.notna(), None)
+            use = pdf["reason"].isna()
+            if use.any():
+                out.loc[use, labels] = predictor(np.stack(pdf.loc[use, "x"].to_numpy()).astype(float))
+            yield out.assign(record_id=pdf["record_id"], reason=pdf["reason"])
+
+    lists = wave.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("lead_idx", "samples"))).alias("l"))
+    numbers = F.transform("l", lambda x: x["lead_idx"].cast("int"))
+    flat = F.flatten(F.transform("l", lambda x: F.transform(x["samples"], lambda v: v.cast("double"))))
+    odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    lengths = F.forall("l", lambda x: F.coalesce(F.size(x["samples"]) == n_samples, F.lit(False)))
+    reason = (
+        F.when(numbers != F.sequence(F.lit(0), F.lit(leads - 1)), "leads").when(~lengths, "length").when(odd, "not_finite")
+    )
+    rows = lists.withColumn("x", flat).select("record_id", reason.alias("reason"), "x")
+    schema = "record_id long, " + ", ".join(f"{x} double" for x in labels) + ", reason string"
+    return rows.mapInPandas(run, schema).select("record_id", *labels, "reason")
 
 
 def nearest_earlier_lead(wave: DataFrame) -> DataFrame:

@@ -48,8 +48,12 @@ def m11_m12_mahalanobis(spark, d):
 QUERIES = {q.__name__: q for q in (m2_fit_temperature, m3_fit_sigmoid_scaling, a12_weak_calibration, a10_brier_decomposition, m9_label_shift, m11_m12_mahalanobis)}
 
 ORACLE_SQL = {
-    "a10_brier_decomposition": with_fixtures(["pred"], """WITH h AS (SELECT model_id, label, prob, count(*) AS n, sum(target) AS y FROM pred WHERE seed = 2026 GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY model_id, label ORDER BY prob) AS seen, sum(n) OVER (PARTITION BY model_id, label) AS t FROM h),
-b AS (SELECT model_id, label, least(floor((seen - n / 2) / t * 10), 9) AS bin, sum(n) AS m, sum(prob * n) AS sp, sum(y) AS sy, sum(prob * prob * n) AS spp, sum(prob * y) AS spy FROM c GROUP BY ALL), g AS (SELECT *, sum(sy) OVER w / sum(m) OVER w AS base, sp / m AS mp, sy / m AS my FROM b WINDOW w AS (PARTITION BY model_id, label))
-SELECT model_id, label, round(sum(m * (mp - my) ** 2) / sum(m), 6) AS reliability, round(sum(m * (my - base) ** 2) / sum(m), 6) AS resolution, round(max(base * (1 - base)), 6) AS uncertainty, round(sum(spp - m * mp * mp) / sum(m), 6) AS within_variance, round(sum(spy - m * mp * my) / sum(m), 6) AS within_covariance,
-(SELECT round(avg((p.prob - p.target) ** 2), 6) FROM pred p WHERE p.seed = 2026 AND p.label = g.label) AS brier FROM g GROUP BY model_id, label"""),
+    "a10_brier_decomposition": "WITH RECURSIVE" + with_fixtures(["pred"], """WITH h AS (SELECT model_id, label, prob, count(*) AS n, sum(target) AS y FROM pred WHERE seed = 2026 GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER o AS seen, row_number() OVER o AS d, sum(n) OVER g AS t, count(*) OVER g - 1 AS m FROM h WINDOW g AS (PARTITION BY model_id, label), o AS (PARTITION BY model_id, label ORDER BY prob)),
+k AS (SELECT DISTINCT model_id, label, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cut FROM h UNION ALL
+  SELECT k.model_id, k.label, k.i + 1, min({'away': abs(c.seen - (k.i + 1) * c.t / 10.0), 'd': c.d}).d FROM k JOIN c ON c.model_id = k.model_id AND c.label = k.label AND c.d > k.cut AND c.d <= c.m - (9 - (k.i + 1)) WHERE k.i < 9 GROUP BY k.model_id, k.label, k.i),
+b AS (SELECT c.model_id, c.label, (SELECT count(*) FROM k WHERE k.model_id = c.model_id AND k.label = c.label AND k.i > 0 AND k.cut < c.d) AS bin, n, y, prob FROM c),
+e AS (SELECT model_id, label, bin, sum(n) AS m, sum(prob * n) AS sp, sum(y) AS sy, sum(prob * prob * n) AS spp, sum(prob * y) AS spy FROM b GROUP BY ALL), g AS (SELECT *, sum(sy) OVER w / sum(m) OVER w AS base, sp / m AS mp, sy / m AS my FROM e WINDOW w AS (PARTITION BY model_id, label))
+SELECT model_id, label, count(*) AS bins, round(sum(m * (mp - my) ** 2) / sum(m), 6) AS reliability, round(sum(m * (my - base) ** 2) / sum(m), 6) AS resolution, round(max(base * (1 - base)), 6) AS uncertainty, round(sum(spp - m * mp * mp) / sum(m), 6) AS within_variance, round(sum(spy - m * mp * my) / sum(m), 6) AS within_covariance,
+(SELECT round(avg((p.prob - p.target) ** 2), 6) FROM pred p WHERE p.seed = 2026 AND p.label = g.label) AS brier FROM g GROUP BY model_id, label""").removeprefix("WITH"),
 }

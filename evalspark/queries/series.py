@@ -130,6 +130,10 @@ def q5_limb_consistency(spark, d):
     return rounded(w.limb_consistency(_wave(spark, d)), 5)
 
 
+def q6_limb_reversal(spark, d):
+    return rounded(w.limb_reversal(_wave(spark, d), 0.1, -0.05, 0.5))
+
+
 def q7_record_quality(spark, d):
     return w.record_quality(w.lead_time_metrics(_wave(spark, d)), (("clip_fraction", 0.05, 0.10), ("flat_fraction", 0.10, 0.20)))
 
@@ -182,7 +186,7 @@ def x1_explode_wave(spark, d):
 QUERIES = {f.__name__: f for f in (
     j5_l1_timelines, l2_future_targets, l3_temporal_split, l4_evaluate_risk, l5_risk_bins, l6_follow_up, v9_no_future_leak, w8_last_encounter, t1_telemetry_window, t1_sliding, t1_session_windows,
     t2_t4_replay, t5_conflicting_keys, b1_bootstrap_rates, b1_b6_rate_gate, b5_upper_bound, b8_slice_gate, b9_equalized_rate, q1_wave_contract, q2_lead_time_metrics, q4_lead_findings,
-    q5_limb_consistency, q7_record_quality, q9_normalize, m10_normalization_stats, q10_corrupt, q11_quality_stress, q12_perturbation, q13_similarity, q16_wave_fingerprint, x1_explode_wave,
+    q5_limb_consistency, q6_limb_reversal, q7_record_quality, q9_normalize, m10_normalization_stats, q10_corrupt, q11_quality_stress, q12_perturbation, q13_similarity, q16_wave_fingerprint, x1_explode_wave,
 )}
 
 _TL = f"""tl AS (SELECT patient_id, max(occurred_at) FILTER (past) AS last_history_at, string_agg(CAST(encounter_id AS VARCHAR), ',' ORDER BY occurred_at, encounter_id) FILTER (past) AS history,
@@ -227,14 +231,25 @@ round(CASE WHEN max(all_pos) > 0 AND max(all_neg) > 0 THEN sum(pos * (before + (
     "t2_t4_replay": TEL(f"WITH r AS (SELECT count(*) AS total, {_COUNTS} FROM telemetry WHERE ts < TIMESTAMP '2024-01-08'), w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS total, {_COUNTS} FROM telemetry GROUP BY 1), x AS (SELECT w.start, w.total, {_ADV} AS adverse, {_PSI} AS psi FROM w, r), k AS (SELECT *, greatest({_STEP('adverse', t.RATE_STEPS)}, {_STEP('psi', t.PSI_STEPS)}) AS rank FROM x) SELECT start, total, round(adverse, 6) AS adverse, round(psi, 6) AS psi, CASE WHEN total < 30 THEN 'insufficient_evidence' ELSE ['none', 'notice', 'warning', 'major', 'critical'][rank + 1] END AS severity, CASE WHEN total < 30 THEN 'collect' WHEN rank >= 3 THEN 'stop' WHEN rank >= 1 THEN 'review' ELSE 'continue' END AS action FROM k"),
     "t5_conflicting_keys": TEL("SELECT event_id % 5000 AS key, count(DISTINCT decision) AS payloads FROM telemetry GROUP BY 1 HAVING count(DISTINCT decision) > 1"),
     "b1_bootstrap_rates": BIN(f"WITH {_RATES(20)} SELECT cohort, CAST(b AS INTEGER) AS b, round(rate, 6) AS rate FROM r"),
-    "b1_b6_rate_gate": BIN(f"WITH {_RATES(50)}, l AS (SELECT * FROM (VALUES ('source', 'at_most', 0.34), ('external', 'at_least', 0.5)) AS t(cohort, kind, lim)), q AS (SELECT cohort, quantile_cont(rate, 0.05) AS lo, quantile_cont(rate, 0.95) AS hi FROM r GROUP BY cohort), o AS (SELECT cohort, avg(event) AS rate FROM binary_events GROUP BY cohort) SELECT cohort, round(o.rate, 6) AS rate, kind, CAST(lim AS DOUBLE) AS \"limit\", CASE WHEN kind = 'at_most' THEN hi <= lim ELSE lo >= lim END AS passed FROM q JOIN l USING (cohort) JOIN o USING (cohort)"),
+    "b1_b6_rate_gate": BIN(f"WITH {_RATES(50)}, l AS (SELECT * FROM (VALUES ('source', 'at_most', 0.34), ('external', 'at_least', 0.5)) AS t(cohort, kind, lim)), q AS (SELECT cohort, quantile_cont(rate, 0.05) AS lo, quantile_cont(rate, 0.95) AS hi FROM r GROUP BY cohort), o AS (SELECT cohort, avg(event) AS rate, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, count(DISTINCT cluster_id) AS clusters FROM binary_events GROUP BY cohort) SELECT cohort, n, events, clusters, n - events AS without_event, round(o.rate, 6) AS rate, kind, CAST(lim AS DOUBLE) AS \"limit\", round(CASE WHEN kind = 'at_most' THEN hi ELSE lo END, 6) AS bound, CASE WHEN kind = 'at_most' THEN hi <= lim ELSE lo >= lim END AS passed FROM q JOIN l USING (cohort) JOIN o USING (cohort)"),
     "b5_upper_bound": BIN("WITH g AS (SELECT cohort, count(*) AS n, CAST(sum(event) AS BIGINT) AS k, 1.6448536269514722 AS z FROM binary_events GROUP BY 1) SELECT cohort, k, n, round((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS upper FROM g"),
     "b8_slice_gate": with_fixtures(["pred"], "WITH a AS (SELECT label, seed, avg(CASE WHEN (prob >= 0.5) = (target = 1) THEN 1.0 ELSE 0 END) AS v, count(*) AS n FROM pred GROUP BY 1, 2), r AS (SELECT x.label, x.n AS rn, y.n AS cn, x.v - y.v AS d FROM a x JOIN a y ON x.label = y.label AND x.seed = 2026 AND y.seed = 2027) SELECT label, rn, cn, round(d, 6) AS degradation, CASE WHEN rn < 30 OR cn < 30 THEN 'insufficient' WHEN d > 0.001 THEN 'fail' ELSE 'pass' END AS status FROM r UNION ALL SELECT '<ALL>', CAST(sum(rn) AS BIGINT), CAST(sum(cn) AS BIGINT), round(sum(d * rn) / sum(rn), 6), CASE WHEN sum(d * rn) / sum(rn) > 0.001 THEN 'fail' ELSE 'pass' END FROM r"),
     "b9_equalized_rate": BIN("WITH c AS (SELECT cohort, cluster_id, avg(event) AS r, sum(event) AS e FROM binary_events GROUP BY 1, 2) SELECT cohort, round(avg(r), 6) AS equalized_rate, count(*) FILTER (e > 0) AS with_event, count(*) AS clusters FROM c GROUP BY cohort"),
     "q1_wave_contract": WAV("SELECT record_id, count(*) AS n_leads, CASE WHEN count(*) <> 12 THEN 'lead_count' ELSE '' END AS issues FROM wave GROUP BY record_id"),
     "q2_lead_time_metrics": WAV(f"WITH {_MET} SELECT record_id, lead_idx, round(peak_to_peak, 5) AS peak_to_peak, round(sd, 5) AS sd, round(max_abs, 5) AS max_abs, round(flat_fraction, 5) AS flat_fraction, round(clip_fraction, 5) AS clip_fraction, CAST(clip_run AS INTEGER) AS clip_run, round(max_step, 5) AS max_step, round(spike_fraction, 5) AS spike_fraction FROM met"),
     "q4_lead_findings": WAV(f"WITH {_MET} SELECT record_id, lead_idx, 'clip_fraction' AS reason, CASE WHEN clip_fraction >= 0.10 THEN 2 ELSE 1 END AS rank FROM met WHERE clip_fraction >= 0.05"),
-    "q5_limb_consistency": WAV(f"WITH x AS (SELECT record_id, lead_idx, {_S} AS s FROM wave WHERE lead_idx < 3), p AS (SELECT a.record_id, a.s AS l0, b.s AS l1, c.s AS l2 FROM x a JOIN x b ON a.record_id = b.record_id AND a.lead_idx = 0 AND b.lead_idx = 1 JOIN x c ON a.record_id = c.record_id AND c.lead_idx = 2) SELECT record_id, round(sqrt(list_avg(list_transform(range(1, len(l0) + 1), lambda i: (l0[i] - l1[i] + l2[i]) ** 2)) / ((list_avg(list_transform(l0, lambda v: v * v)) + list_avg(list_transform(l1, lambda v: v * v)) + list_avg(list_transform(l2, lambda v: v * v))) / 3)), 5) AS limb_residual FROM p"),
+    "q5_limb_consistency": WAV(f"""WITH x AS (SELECT record_id, lead_idx, {_S} AS s FROM wave), p AS (SELECT record_id, {", ".join(f"max(s) FILTER (WHERE lead_idx = {i}) AS l{i}" for i in range(6))} FROM x GROUP BY 1),
+r AS (SELECT record_id, l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL AND l4 IS NOT NULL AND l5 IS NOT NULL AS whole, list_concat(list_transform(range(1, len(l0) + 1), lambda i: l0[i] + l2[i] - l1[i]), list_transform(range(1, len(l0) + 1), lambda i: l3[i] + (l0[i] + l1[i]) / 2),
+  list_transform(range(1, len(l0) + 1), lambda i: l4[i] - (l0[i] - l1[i] / 2)), list_transform(range(1, len(l0) + 1), lambda i: l5[i] - (l1[i] - l0[i] / 2))) AS res, list_concat(l0, l1, l2, l3, l4, l5) AS own FROM p)
+SELECT record_id, CASE WHEN whole THEN round(sqrt(list_avg(list_transform(res, lambda v: v * v))) / greatest(sqrt(list_avg(list_transform(own, lambda v: v * v))), power(2, -52)), 5) END AS limb_residual, CASE WHEN NOT whole THEN 'limb_leads_incomplete' END AS reason FROM r"""),
+    "q6_limb_reversal": WAV(f"""WITH x AS (SELECT record_id, lead_idx, {_S} AS s FROM wave), c AS (SELECT *, list_transform(s, lambda v: v - list_median(s)) AS d FROM x), q AS (SELECT *, list_filter(d, lambda v: abs(v) >= list_aggregate(list_transform(d, lambda z: abs(z)), 'quantile_cont', 0.9)) AS k FROM c),
+pol AS (SELECT record_id, lead_idx, s, list_sum(k) / list_sum(list_transform(k, lambda v: abs(v))) AS p FROM q), u AS (SELECT record_id, {", ".join(f"max(p) FILTER (WHERE lead_idx = {i}) AS p{i}, max(s) FILTER (WHERE lead_idx = {i}) AS l{i}" for i in (0, 1, 3, 5, 10, 11))} FROM pol GROUP BY 1),
+n AS (SELECT record_id, l0 IS NULL OR l1 IS NULL OR l3 IS NULL OR l5 IS NULL OR l10 IS NULL OR l11 IS NULL AS bad, p0 <= -0.1 AS a1, p3 >= 0.1 AS a2, p11 >= 0.1 AS a3, (SELECT corr(a, b) FROM (SELECT unnest(l0) AS a, unnest(l11) AS b)) <= -0.05 AS a4,
+  p1 <= -0.1 AS b1, p5 <= -0.1 AS b3, p10 >= 0.1 AS b4, (SELECT corr(a, b) FROM (SELECT unnest(l1) AS a, unnest(l10) AS b)) <= -0.05 AS b5 FROM u),
+m AS (SELECT *, CASE WHEN a1 AND a2 AND (2 + CAST(a3 AS INT) + CAST(a4 AS INT)) / 4.0 >= 0.5 THEN (2 + CAST(a3 AS INT) + CAST(a4 AS INT)) / 4.0 END AS sa, CASE WHEN b1 AND a2 AND b3 AND (3 + CAST(b4 AS INT) + CAST(b5 AS INT)) / 5.0 >= 0.5 THEN (3 + CAST(b4 AS INT) + CAST(b5 AS INT)) / 5.0 END AS sb FROM n)
+SELECT record_id, CASE WHEN bad THEN NULL WHEN sa IS NOT NULL AND (sb IS NULL OR sa >= sb) THEN 'right_arm_left_arm' WHEN sb IS NOT NULL THEN 'right_arm_left_leg' END AS kind, CASE WHEN NOT bad THEN round(CAST(greatest(sa, sb) AS DOUBLE), 6) END AS score,
+CASE WHEN bad OR (sa IS NULL AND sb IS NULL) THEN NULL WHEN sa IS NOT NULL AND (sb IS NULL OR sa >= sb) THEN concat('lead_i_dominantly_negative,avr_dominantly_positive', CASE WHEN a3 THEN ',v6_dominantly_positive' ELSE '' END, CASE WHEN a4 THEN ',lead_i_v6_inverse' ELSE '' END)
+  ELSE concat('lead_ii_dominantly_negative,avr_dominantly_positive,avf_dominantly_negative', CASE WHEN b4 THEN ',v5_dominantly_positive' ELSE '' END, CASE WHEN b5 THEN ',lead_ii_v5_inverse' ELSE '' END) END AS evidence, CASE WHEN bad THEN 'leads_incomplete' END AS reason FROM m"""),
     "q7_record_quality": WAV(f"WITH {_MET}, f AS (SELECT record_id, max(greatest(CASE WHEN clip_fraction >= 0.10 THEN 2 WHEN clip_fraction >= 0.05 THEN 1 ELSE 0 END, CASE WHEN flat_fraction >= 0.20 THEN 2 WHEN flat_fraction >= 0.10 THEN 1 ELSE 0 END)) AS rank, bool_or(clip_fraction >= 0.05) AS c, bool_or(flat_fraction >= 0.10) AS l FROM met GROUP BY 1) SELECT record_id, ['ACCEPTABLE', 'LIMITED', 'REACQUIRE'][rank + 1] AS status, rank < 2 AS allowed, concat_ws(',', CASE WHEN c THEN 'clip_fraction' END, CASE WHEN l THEN 'flat_fraction' END) AS reasons FROM f"),
     "q9_normalize": WAV(f"WITH s AS (SELECT lead_idx, avg(v) AS m, stddev_pop(v) AS sd FROM (SELECT lead_idx, CAST(unnest(samples) AS DOUBLE) AS v FROM wave) GROUP BY 1) SELECT record_id, lead_idx, round(list_sum(list_transform({_S}, lambda v: ((v - m) / sd) ** 2)), 4) AS energy FROM wave JOIN s USING (lead_idx)"),
     "m10_normalization_stats": WAV("SELECT lead_idx, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM (SELECT lead_idx, CAST(unnest(samples) AS DOUBLE) AS v FROM wave) GROUP BY 1"),

@@ -109,7 +109,7 @@ def q15_batch_score(spark, d):
     def predictor(x):
         return np.stack([x.mean(1), x.std(1)], 1)
 
-    return rounded(s.batch_score(fixture(spark, d, "wave"), predictor, ["level", "spread"]), 6)
+    return rounded(s.batch_score(fixture(spark, d, "wave"), predictor, ["level", "spread"], 12, 64), 6)
 
 
 def q17_normalize_attributions(spark, d):

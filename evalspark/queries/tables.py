@@ -128,17 +128,28 @@ def c15_threshold_proximity(spark, d):
 
 
 def c18_trust_decision(spark, d):
-    i = F.col("record_id")
-    e = {n: (i % k) != 0 for n, k in (("integrity", 31), ("contract", 29), ("quality", 7), ("distribution", 11), ("gate", 5), ("conformal", 3), ("coherence", 13))}
-    e["coherence"] = F.when(i % 17 == 0, None).otherwise(e["coherence"])
-    return _man(spark, d).select("record_id", x.trust_decision(e).alias("t")).select("record_id", "t.state", "t.reason")
+    """Evidence from record ids, label decisions from the predictions: above 0.6 supported, below 0.4 not."""
+    i, p = F.col("record_id"), F.col("prob")
+    said = F.when(p >= 0.6, "SUPPORTED").when(p < 0.4, "NOT_SUPPORTED").otherwise("UNCERTAIN")
+    label = F.element_at(F.array(*[F.lit(n) for n in _LABELS]), F.col("li").cast("int"))
+    lists = _pred(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("li", label.alias("label"), said.alias("decision")))).alias("l"))
+    lists = lists.select("record_id", F.transform("l", lambda x_: F.struct(x_["label"].alias("label"), x_["decision"].alias("decision"))).alias("decisions"))
+    quality = F.when(i % 37 == 0, None).when(i % 7 == 0, "INVALID").when(i % 13 == 0, "LIMITED").otherwise("PASS")
+    support, gate = F.when(i % 17 == 0, None).otherwise(i % 11 != 0), F.when(i % 23 == 0, None).otherwise(i % 5 != 0)
+    t = x.trust_decision(i % 31 != 0, i % 29 != 0, quality, support, gate, F.col("decisions"))
+    rows = lists.select("record_id", t.alias("t"))
+    joined = lambda c: F.concat_ws(",", c)
+    return rows.select("record_id", "t.decision", "t.reason", joined("t.uncertain_labels").alias("uncertain"), joined("t.incoherent_labels").alias("incoherent"))
+
+
+_LABELS = ("NORM", "MI", "STTC", "CD", "HYP")
 
 
 def c19_incoherent_labels(spark, d):
-    yes = F.collect_set(F.when(F.col("prob") >= 0.5, F.col("li")))
-    lists = _pred(spark, d).groupBy("record_id").agg(yes.alias("l"))
-    pairs = F.array(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b")), F.struct(F.lit(1).alias("a"), F.lit(5).alias("b")))
-    return lists.withColumn("p", F.explode(pairs)).where(F.array_contains("l", F.col("p.a")) & F.array_contains("l", F.col("p.b"))).select("record_id", F.col("p.a").alias("label_a"), F.col("p.b").alias("label_b"))
+    label = F.element_at(F.array(*[F.lit(n) for n in _LABELS]), F.col("li").cast("int"))
+    yes = F.array_sort(F.collect_list(F.when(F.col("prob") >= 0.5, F.struct("li", label.alias("label")))))
+    lists = _pred(spark, d).groupBy("record_id").agg(F.transform(yes, lambda x_: x_["label"]).alias("l"))
+    return lists.select("record_id", F.concat_ws(",", x.incoherent_labels(F.col("l"))).alias("incoherent")).where("incoherent <> ''")
 
 
 def c21_aliased_frequency(spark, d):
@@ -309,8 +320,17 @@ ORACLE_SQL = {
     "c8_stateless_seed": MAN("SELECT record_id, CAST(CAST('0x' || substr(sha256('7|' || CAST(record_id AS VARCHAR) || '|noise'), 1, 15) AS UBIGINT) AS BIGINT) AS seed FROM manifest"),
     "c10_c16_maps": PRED(f"SELECT record_id, label, round({_SIG('logit / 1.7')}, 6) AS tempered, round({_SIG('1.2 * logit - 0.3')}, 6) AS scaled, round(ln(prob) - ln(1 - prob), 6) AS logit, round(-(abs(logit) / 2 + ln(1 + exp(-abs(logit)))), 6) AS energy, round({_SIG('logit + ln(0.4 / 0.6) - ln(0.2 / 0.8)')}, 6) AS adjusted, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS decision FROM pred WHERE seed = 2026"),
     "c15_threshold_proximity": PRED("SELECT record_id, round(-min(abs(prob - 0.5)), 6) AS proximity FROM pred WHERE seed = 2026 GROUP BY record_id"),
-    "c18_trust_decision": MAN("WITH f AS (SELECT record_id, CASE WHEN record_id % 31 = 0 THEN 'integrity' WHEN record_id % 29 = 0 THEN 'contract' WHEN record_id % 7 = 0 THEN 'quality' WHEN record_id % 11 = 0 THEN 'distribution' WHEN record_id % 5 = 0 THEN 'gate' WHEN record_id % 3 = 0 THEN 'conformal' WHEN record_id % 13 = 0 OR record_id % 17 = 0 THEN 'coherence' END AS reason FROM manifest) SELECT record_id, CASE WHEN reason IN ('integrity', 'contract') THEN 'INVALID' WHEN reason = 'quality' THEN 'REACQUIRE' WHEN reason IN ('distribution', 'gate') THEN 'ABSTAIN' WHEN reason IN ('conformal', 'coherence') THEN 'REVIEW' ELSE 'ACCEPT' END AS state, reason FROM f"),
-    "c19_incoherent_labels": PRED("WITH y AS (SELECT record_id, li FROM pred WHERE seed = 2026 AND prob >= 0.5) SELECT a.record_id, a.li AS label_a, b.li AS label_b FROM y a JOIN y b ON a.record_id = b.record_id AND a.li = 1 AND b.li IN (2, 5)"),
+    "c18_trust_decision": PRED("""WITH n AS (SELECT record_id, li, prob, ['NORM', 'MI', 'STTC', 'CD', 'HYP'][CAST(li AS INTEGER)] AS label FROM pred WHERE seed = 2026), u AS (
+  SELECT record_id, coalesce(string_agg(label, ',' ORDER BY li) FILTER (WHERE prob >= 0.4 AND prob < 0.6), '') AS un, coalesce(string_agg(label, ',' ORDER BY li) FILTER (WHERE prob >= 0.6), '') AS yes FROM n GROUP BY 1
+), v AS (SELECT record_id, un, CASE WHEN yes LIKE 'NORM,%' THEN CASE replace(replace(yes, ',CD', ''), 'NORM', '') WHEN '' THEN '' ELSE replace(yes, ',CD', '') END ELSE '' END AS inc FROM u),
+r AS (SELECT record_id, un, inc, CASE WHEN record_id % 31 = 0 THEN 'RELEASE_INTEGRITY_UNVERIFIED' WHEN record_id % 29 = 0 THEN 'INPUT_CONTRACT_INVALID' WHEN record_id % 37 = 0 THEN 'QUALITY_COMPONENT_UNAVAILABLE'
+  WHEN record_id % 7 = 0 THEN 'SIGNAL_QUALITY_INVALID' WHEN record_id % 13 = 0 THEN 'SIGNAL_REACQUISITION_REQUIRED' WHEN record_id % 17 = 0 THEN 'DISTRIBUTION_COMPONENT_UNAVAILABLE' WHEN record_id % 11 = 0 THEN 'OUTSIDE_VALIDATED_DISTRIBUTION'
+  WHEN record_id % 23 = 0 THEN 'UNCERTAINTY_COMPONENT_UNAVAILABLE' WHEN record_id % 5 = 0 THEN 'LEGACY_ENTROPY_GATE_REJECTED' WHEN un <> '' THEN 'CONFORMAL_SET_UNCERTAIN' WHEN inc <> '' THEN 'LABEL_SET_INCOHERENT' ELSE 'ALL_TRUST_GATES_PASSED' END AS reason FROM v)
+SELECT record_id, CASE WHEN reason IN ('RELEASE_INTEGRITY_UNVERIFIED', 'INPUT_CONTRACT_INVALID', 'QUALITY_COMPONENT_UNAVAILABLE', 'SIGNAL_QUALITY_INVALID') THEN 'INVALID_INPUT' WHEN reason = 'SIGNAL_REACQUISITION_REQUIRED' THEN 'REACQUIRE'
+  WHEN reason LIKE '%DISTRIBUTION%' THEN 'UNSUPPORTED_INPUT' WHEN reason = 'ALL_TRUST_GATES_PASSED' THEN 'PREDICTION_ALLOWED' ELSE 'ABSTAIN' END AS decision, reason,
+  CASE WHEN reason = 'CONFORMAL_SET_UNCERTAIN' THEN un ELSE '' END AS uncertain, CASE WHEN reason = 'LABEL_SET_INCOHERENT' THEN inc ELSE '' END AS incoherent FROM r"""),
+    "c19_incoherent_labels": PRED("""WITH y AS (SELECT record_id, li, ['NORM', 'MI', 'STTC', 'CD', 'HYP'][CAST(li AS INTEGER)] AS label FROM pred WHERE seed = 2026 AND prob >= 0.5), bad AS (SELECT DISTINCT a.record_id FROM y a JOIN y b USING (record_id) WHERE a.label = 'NORM' AND b.label IN ('MI', 'STTC', 'HYP'))
+SELECT record_id, string_agg(label, ',' ORDER BY li) AS incoherent FROM y JOIN bad USING (record_id) WHERE label <> 'CD' GROUP BY 1"""),
     "c21_aliased_frequency": "SELECT event_id, round(CASE WHEN round(value, 2) % 100.0 > 50 THEN 100.0 - round(value, 2) % 100.0 ELSE round(value, 2) % 100.0 END, 4) AS f FROM events",
     "x2_sql_functions": PRED(f"SELECT record_id, label, round({_SIG('logit')}, 6) AS s, round({_H}, 6) AS h, round(-(abs(logit) / 2 + ln(1 + exp(-abs(logit)))), 6) AS e FROM pred WHERE seed = 2026"),
     "j2_ontology_coverage": MAN(f"WITH u AS (SELECT DISTINCT dataset, unnest({_CODES}) AS code FROM manifest), dd AS (SELECT ds AS dataset, 'C' || CAST(k AS VARCHAR) AS code FROM (VALUES ('en'), ('de'), ('it')) AS t(ds), range(7) r(k)) SELECT *, 'missing' AS side FROM (SELECT DISTINCT * FROM u EXCEPT SELECT * FROM dd) UNION ALL SELECT *, 'extra' AS side FROM (SELECT * FROM dd EXCEPT SELECT * FROM u)"),
@@ -329,7 +349,7 @@ ORACLE_SQL = {
     "a25_score_quantiles": PRED("WITH q AS (SELECT label, quantile_cont(prob, [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]) AS q FROM pred WHERE seed = 2026 GROUP BY label) SELECT label, CAST(i AS INTEGER) AS i, round(q[i + 1], 6) AS value FROM q, range(10) t(i)"),
     "a26_manifest_summary": MAN(f"SELECT {_SPLIT} AS split, fold, count(*) AS n, count(DISTINCT patient_id) AS patients FROM manifest GROUP BY ROLLUP (split, fold)"),
     "a27_inventory": MAN("SELECT dataset, n_samples, count(*) AS n, count(*) FILTER (sex = 9) AS no_sex FROM manifest GROUP BY CUBE (dataset, n_samples)"),
-    "a30_table_fingerprint": MAN("SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', CAST(record_id AS VARCHAR), CAST(fold AS VARCHAR), record_path, CAST(age AS VARCHAR))), 1, 12) AS UBIGINT)) AS VARCHAR) AS fingerprint FROM manifest"),
+    "a30_table_fingerprint": MAN("""SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat('{"record_id":"', record_id, '","fold":"', fold, '","record_path":"', record_path, '","age":"', age, '"}')), 1, 12) AS UBIGINT)) AS VARCHAR) AS fingerprint FROM manifest"""),
     "u1_u5_sets": MAN("WITH a AS (SELECT DISTINCT patient_id FROM manifest WHERE fold <= 6), b AS (SELECT DISTINCT patient_id FROM manifest WHERE fold >= 5) SELECT 'union' AS part, count(*) AS n, CAST(sum(patient_id) AS BIGINT) AS total FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'overlap', count(*), CAST(coalesce(sum(patient_id), 0) AS BIGINT) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', count(*), CAST(coalesce(sum(patient_id), 0) AS BIGINT) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'distinct', count(DISTINCT fold), CAST(sum(DISTINCT fold) AS BIGINT) FROM manifest"),
     "u4_check_exhaustive": MAN("SELECT count(*) AS n, count(*) AS one_role FROM manifest"),
 }

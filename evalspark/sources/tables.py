@@ -10,8 +10,26 @@ from pyspark.sql import functions as F
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str, id_column: str) -> DataFrame:
-    """Typed CSV with a header; a row that doesn't fit the schema fails the read. Null ids are refused by filter."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path).where(F.col(id_column).isNotNull())
+    """Typed CSV with a header; a row that doesn't fit the schema, or has no id, fails the read."""
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    kept = F.coalesce(F.col(id_column), F.raise_error(F.lit(f"a row of the manifest has no {id_column}")).cast(dict(rows.dtypes)[id_column]))
+    return rows.withColumn(id_column, kept)
+
+
+def manifest_problems(rows: DataFrame, required: list[str], id_column: str) -> DataFrame:
+    """(id, problem, n) of a manifest that was read leniently: missing columns, null ids, repeated ids.
+
+    A missing column is named in the problem and has no id.
+    """
+    missing = [c for c in required if c not in rows.columns]
+    kind = dict(rows.dtypes).get(id_column, "string")
+    gone = rows.sparkSession.createDataFrame([(f"missing column {c}",) for c in missing], "problem string")
+    out = gone.select(F.lit(None).cast(kind).alias("id"), "problem", F.lit(1).cast("long").alias("n"))
+    if id_column not in rows.columns:
+        return out
+    counted = rows.groupBy(F.col(id_column).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    problem = F.when(F.col("id").isNull(), "null id").when(F.col("n") > 1, "repeated id")
+    return out.unionByName(counted.select("id", problem.alias("problem"), "n").where("problem IS NOT NULL"))
 
 
 def read_label_free(spark: SparkSession, path: str, columns: list[str], max_fold: int) -> DataFrame:
@@ -32,12 +50,26 @@ def read_statement_map(rows: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def long_predictions(wide: DataFrame, labels: list[str]) -> DataFrame:
-    """One row for each record and label from rows with aligned arrays; a wrong length gives no row."""
-    good = wide.where((F.size("targets") == len(labels)) & (F.size("logits") == len(labels)))
+    """One row for each record and label from rows with aligned arrays.
+
+    Rows of a wrong length are left out here; ``prediction_problems`` returns them.
+    """
+    good = wide.where(_aligned(labels))
     names = F.array(*[F.lit(x) for x in labels])
     return good.select("record_id", F.inline(F.arrays_zip(names.alias("label"), F.col("targets").alias("target"), F.col("logits").alias("logit"))))
 
 
+def _aligned(labels: list[str]):
+    return F.coalesce((F.size("targets") == len(labels)) & (F.size("logits") == len(labels)), F.lit(False))
+
+
+def prediction_problems(wide: DataFrame, labels: list[str]) -> DataFrame:
+    """(record_id, problem, targets, logits) of the rows that can't be aligned with the labels: lengths, -1 of null."""
+    sizes = [F.coalesce(F.size(c), F.lit(-1)).alias(c) for c in ("targets", "logits")]
+    problem = F.when(F.col("targets").isNull() | F.col("logits").isNull(), "missing array").otherwise("wrong length")
+    return wide.where(~_aligned(labels)).select("record_id", problem.alias("problem"), *sizes)
+
+
 def read_attributes_csv(spark: SparkSession, path: str, names: dict[str, str], sep: str) -> DataFrame:
     """A site's attribute table under our column names; all values stay text."""
     raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
