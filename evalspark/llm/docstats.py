@@ -29,12 +29,12 @@ COMMON_WORDS = {
 N_COMMON = 20
 
 STATS = pa.struct(
-    [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_pipes", "n_bangs")]
+    [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_pipes", "n_bangs", "n_common")]
     + [("class_hist", pa.list_(pa.int64())), ("word_hist", pa.list_(pa.int64()))]
 )
 STATS_DDL = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint,"
-    "n_distinct:bigint,n_pipes:bigint,n_bangs:bigint,class_hist:array<bigint>,word_hist:array<bigint>>"
+    "n_distinct:bigint,n_pipes:bigint,n_bangs:bigint,n_common:bigint,class_hist:array<bigint>,word_hist:array<bigint>>"
 )
 
 
@@ -85,6 +85,7 @@ def _stats_of_slice(texts: pa.Array, langs: pa.Array) -> pa.Array:
     hashes = word_hashes(raw, starts, ends, lower=False)
     windows = mixed(hashes[:-2] * _C1 + hashes[1:-1] * _C2 + hashes[2:] * _C3) if len(hashes) > 2 else hashes[:0]
     classes, tables, rows = _CLASS[raw], _word_tables(), []
+    everywhere = np.unique(np.concatenate([hashes for hashes, _ in tables.values()]))
     for i, lang in enumerate(langs.to_pylist()):
         a, b, lo, hi = first[i], first[i + 1], offsets[i], offsets[i + 1]
         n = int(b - a)
@@ -92,7 +93,10 @@ def _stats_of_slice(texts: pa.Array, langs: pa.Array) -> pa.Array:
         by_class = [*by[:4], by[4] + by[_PIPE], by[5] + by[_BANG], by[6]]
         n_lines, dup_lines = line_counts(raw[lo:hi].tobytes())
         own = np.sort(hashes[a:b])
-        known = [0] * N_COMMON
+        known, any_lang = [0] * N_COMMON, 0
+        if n:
+            at = np.minimum(np.searchsorted(everywhere, own), len(everywhere) - 1)
+            any_lang = int((everywhere[at] == own).sum())
         if lang in tables and n:
             table, place = tables[lang]
             at = np.minimum(np.searchsorted(table, own), len(table) - 1)
@@ -100,12 +104,15 @@ def _stats_of_slice(texts: pa.Array, langs: pa.Array) -> pa.Array:
         rows.append({
             "n_words": n, "word_chars": sum(by_class) - by_class[3], "n_symbols": by_class[4], "n_dup_lines": dup_lines,
             "n_repeat_words": repeat_words(windows[a : b - 2]) if n > 3 else 0, "n_lines": n_lines,
-            "n_distinct": int((own[1:] != own[:-1]).sum()) + 1 if n else 0, "n_pipes": by[_PIPE], "n_bangs": by[_BANG],
+            "n_distinct": int((own[1:] != own[:-1]).sum()) + 1 if n else 0, "n_pipes": by[_PIPE], "n_bangs": by[_BANG], "n_common": any_lang,
             "class_hist": by_class, "word_hist": [*known, n - sum(known)],
         })
     return pa.array(rows, STATS)
 
 
 def document_stats(text: Column, lang: Column) -> Column:
-    """A struct of counts for each whole text; a null text counts as an empty one."""
+    """A struct of counts for each whole text; a null text counts as an empty one.
+
+    ``word_hist`` counts the common words of the row's language, ``n_common`` those of any listed language.
+    """
     return F.arrow_udf(_stats_of, STATS_DDL)(text, lang)

@@ -9,34 +9,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def _redistribute(what: str, licence: str) -> str:
+    """The opening sentence of the notices of the Free Software Foundation."""
+    return (
+        f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu {licence} as "
+        "published by the free software foundation"
+    )
+
+
+def _later(version: str) -> str:
+    return f" either version {version} of the license or at your option any later version"
+
+
+def _named(*names: str) -> list[str]:
+    """The short notices with a licence's name."""
+    return [f"{start}licensed under {name}" for name in names for start in ("", "this work is ", "this project is ")] + [
+        f"released under {name}" for name in names
+    ]
+
+
 #: Fixed: known sentences (lower case, runs of other characters as one blank) by identifier.
 SENTENCES = {
-    "MIT-NAME": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "the mit license", "mit license"],
+    "MIT-NAME": [*_named("the mit license"), "the mit license", "mit license"],
     "MIT-GRANT": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
         "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
         "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
     ],
     "AS-IS": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "APACHE-NAME": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0", "apache license version 2 0"],
+    "APACHE-NAME": [*_named("the apache license version 2 0"), "licensed under the apache license version 2 0 the license", "apache license version 2 0"],
     "APACHE-COMPLY": ["you may not use this file except in compliance with the license"],
-    "APACHE-COPY": ["you may obtain a copy of the license at http www apache org licenses license 2 0"],
+    "APACHE-COPY": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
     "APACHE-BASIS": [
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
     ],
-    "GPL3-NAME": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
-    "GPL3-LATER": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
-    ],
+    "GPL2-NAME": _named("the gnu general public license version 2"),
+    "GPL2-LATER": [_redistribute("program", "general public license") + _later("2")],
+    "GPL2-ONLY": [_redistribute("program", "general public license version 2"), _redistribute("program", "general public license") + " version 2"],
+    "GPL3-NAME": _named("the gnu general public license version 3"),
+    "GPL3-LATER": [_redistribute("program", "general public license") + _later("3")],
     "GPL-WARRANTY": [
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
     ],
-    "CC-BY-NC-NAME": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "CC-BY-NAME": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "LGPL21-LATER": [_redistribute("library", "lesser general public license") + _later("2 1")],
+    "LGPL3-LATER": [_redistribute(x, "lesser general public license") + _later("3") for x in ("library", "program")],
+    "LGPL-WARRANTY": [
+        "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+    ],
+    "AGPL3-LATER": [_redistribute("program", "affero general public license") + _later("3")],
+    "AGPL3-NAME": _named("the gnu affero general public license version 3"),
+    # a sentence ends after "v." there
+    "MPL2-FORM": ["this source code form is subject to the terms of the mozilla public license v"],
+    "MPL2-COPY": [f"if a copy of the mpl was not distributed with this file you can obtain one at {x} mozilla org mpl 2 0" for x in ("http", "https")],
+    "EPL1": ["this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html"],
+    "EPL2": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
+    "CDDL": ["the contents of this file are subject to the terms of the common development and distribution license the license"],
+    "ISC-GRANT": [
+        f"permission to use copy modify and {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        for x in ("", "or ")
+    ],
+    "0BSD-GRANT": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "POSTGRES-GRANT": [
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above "
+        "copyright notice and this paragraph and the following two paragraphs appear in all copies"
+    ],
+    "ZLIB-GRANT": [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+    ],
+    "BSL-GRANT": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce "
+        "display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"
+    ],
+    "UNLICENSE": ["this is free and unencumbered software released into the public domain"],
+    "WTFPL": ["everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"],
+    "OFL": ["this font software is licensed under the sil open font license version 1 1"],
+    "CC0-NAME": _named("cc0 1 0", "the cc0 1 0 universal license"),
+    "CC-BY-NC-SA-NAME": _named("cc by nc sa 4 0", "a creative commons attribution noncommercial sharealike 4 0 international license"),
+    "CC-BY-NC-ND-NAME": _named("cc by nc nd 4 0", "a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    "CC-BY-NC-NAME": _named("cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license"),
+    "CC-BY-SA-NAME": _named("cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license"),
+    "CC-BY-ND-NAME": _named("cc by nd 4 0", "a creative commons attribution noderivatives 4 0 international license"),
+    "CC-BY-NAME": _named("cc by 4 0", "a creative commons attribution 4 0 international license"),
     "BSD-GRANT": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "BSD-SOURCE": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "BSD-BINARY": [
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    ],
+    "BSD-NAMES": [
+        f"neither the name of the {x} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+        for x in ("copyright holder", "university", "organization", "author")
+    ],
+    "BSD-AS-IS": [
+        f"this software is provided by the {x} and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed"
+        for x in ("copyright holders", "regents")
+    ],
 }
 #: Fixed: each known sentence holds one of these, so texts without them need no splitting.
-ANCHORS = ("licen", "permission", "warrant", "redistribut", "copyright")
+ANCHORS = ("licen", "released under", "permission", "permitted", "warrant", "redistribut", "copyright", "public domain", " mpl ")
 #: Ordered rules: licence and the identifiers that must follow each other; the first that fits names the document.
 RULES = [
     ("MIT", ["MIT-NAME", "MIT-GRANT", "AS-IS"]),
@@ -45,9 +115,37 @@ RULES = [
     ("GPL-3.0-or-later", ["GPL3-LATER", "GPL-WARRANTY"]),
     ("GPL-3.0-or-later", ["GPL3-LATER"]),
     ("GPL-3.0-only", ["GPL3-NAME"]),
+    ("GPL-2.0-or-later", ["GPL2-LATER", "GPL-WARRANTY"]),
+    ("GPL-2.0-or-later", ["GPL2-LATER"]),
+    ("GPL-2.0-only", ["GPL2-ONLY"]),
+    ("GPL-2.0-only", ["GPL2-NAME"]),
+    ("LGPL-2.1-or-later", ["LGPL21-LATER", "LGPL-WARRANTY"]),
+    ("LGPL-2.1-or-later", ["LGPL21-LATER"]),
+    ("LGPL-3.0-or-later", ["LGPL3-LATER"]),
+    ("AGPL-3.0-or-later", ["AGPL3-LATER"]),
+    ("AGPL-3.0-only", ["AGPL3-NAME"]),
+    ("MPL-2.0", ["MPL2-FORM", "MPL2-COPY"]),
+    ("MPL-2.0", ["MPL2-FORM"]),
+    ("EPL-1.0", ["EPL1"]),
+    ("EPL-2.0", ["EPL2"]),
+    ("CDDL-1.0", ["CDDL"]),
+    ("BSD-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES", "BSD-AS-IS"]),
+    ("BSD-2-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-AS-IS"]),
     ("Apache-2.0", ["APACHE-NAME"]),
-    ("BSD", ["BSD-GRANT", "AS-IS"]),
+    ("ISC", ["ISC-GRANT"]),
+    ("0BSD", ["0BSD-GRANT"]),
+    ("PostgreSQL", ["POSTGRES-GRANT"]),
+    ("Zlib", ["ZLIB-GRANT"]),
+    ("BSL-1.0", ["BSL-GRANT"]),
+    ("Unlicense", ["UNLICENSE"]),
+    ("WTFPL", ["WTFPL"]),
+    ("OFL-1.1", ["OFL"]),
+    ("CC0-1.0", ["CC0-NAME"]),
+    ("CC-BY-NC-SA-4.0", ["CC-BY-NC-SA-NAME"]),
+    ("CC-BY-NC-ND-4.0", ["CC-BY-NC-ND-NAME"]),
     ("CC-BY-NC-4.0", ["CC-BY-NC-NAME"]),
+    ("CC-BY-SA-4.0", ["CC-BY-SA-NAME"]),
+    ("CC-BY-ND-4.0", ["CC-BY-ND-NAME"]),
     ("CC-BY-4.0", ["CC-BY-NAME"]),
     ("MIT", ["MIT-NAME"]),
     ("BSD", ["BSD-GRANT"]),

@@ -152,7 +152,12 @@ def mix_weights(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFram
 
 
 def sample_mix(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFrame:
-    """The sampled documents, with their own columns."""
+    """The sampled documents, with their own columns, whatever those are called.
+
+    Null and empty texts have no tokens and are kept with their cell's probability (``fraction`` where the cell has no
+    tokens); rows with a null doc_id are sampled by their text; repeated rows stay or go together; an empty table gives
+    an empty result.
+    """
     cols = cell_columns(targets)
     p = calibrate(docs.select(*[cols[n].alias(n) for n in (*CELL, "n_tokens")]), targets).select(*CELL, "probability")
     # the row travels as one struct, so that no column of docs can clash with the cells'

@@ -1,13 +1,13 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is small; dynamic programming over it picks the bucket boundaries with the least
-padding. Inside each bucket documents fill batches up to a budget of padded tokens.
+Dynamic programming over the exact global histogram of lengths picks the bucket boundaries with the least padding. Inside each bucket documents fill batches up to a budget of padded tokens.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from itertools import accumulate
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.mixing import token_count
@@ -16,50 +16,61 @@ from evalspark.plans.scratch import materialise
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 32_768
-#: Lengths are told apart exactly up to EXACT, and by PER_OCTAVE steps a doubling above, so that the histogram is
-#: bounded (2,304 bins up to a thousand million tokens) whatever the corpus.
-EXACT, PER_OCTAVE = 1024, 64
-
 
-def length_bin(n: Column) -> Column:
-    above = F.floor(F.log2(n.cast("double") / EXACT) * PER_OCTAVE).cast("long")
-    return F.when(n <= EXACT, n.cast("long")).otherwise(F.lit(EXACT) + 1 + above)
 
+def boundaries(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
+    """Indices of the last lengths of ``n_buckets`` buckets (one for each length, if there are fewer), with the least
+    padding; ``lengths`` are distinct and rise, ``counts`` are their documents.
 
-def boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, n_buckets: int) -> list[int]:
-    """Indices of the last bins of at most ``n_buckets`` buckets, with the least padding.
-
-    A bucket pads its documents to the longest length in it. All three arrays go by bin, in rising order.
+    A bucket pads its documents to its longest length. With N and S as the documents and tokens up to an index, the
+    least padding of k buckets up to p is L(p) N(p) - S(p) plus the least, over the place q where the last one begins,
+    of best(k - 1, q) + S(q) - L(p) N(q). In L(p) those are lines of falling slope, and L(p) rises with p, so a hull of
+    lines gives all minima of a layer in one pass: time and memory are buckets times lengths.
     """
-    m = len(longest)
-    n, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sums)])
-    # cost[i, j]: padding of one bucket with the bins i to j
-    cost = longest[None, :] * (n[None, 1:] - n[:-1, None]).astype(float) - (total[None, 1:] - total[:-1, None])
-    cost[np.tril_indices(m, -1)] = np.inf
-    best, choice = cost[0].copy(), []
-    for _ in range(min(n_buckets, m) - 1):
-        through = np.concatenate([[np.inf], best[:-1]])[:, None] + cost
-        pick = through.argmin(axis=0)
-        new = through[pick, np.arange(m)]
-        better = new < best
-        choice.append(np.where(better, pick, -1))
-        best = np.where(better, new, best)
-    cuts, j = [m - 1], m - 1
-    for pick in reversed(choice):
-        if pick[j] > 0:
-            j = int(pick[j]) - 1
-            cuts.append(j)
+    m = len(lengths)
+    n = [0, *accumulate(counts)]
+    s = [0, *accumulate(x * c for x, c in zip(lengths, counts))]
+    best: list[int | None] = [0] + [None] * m
+    picks: list[list[int]] = []
+    for _ in range(min(n_buckets, m)):
+        new: list[int | None] = [None] * (m + 1)
+        pick, hull, at = [0] * (m + 1), [], 0
+        for p in range(1, m + 1):
+            if best[p - 1] is not None:
+                line = (-n[p - 1], best[p - 1] + s[p - 1], p - 1)
+                while len(hull) > 1 and _hidden(hull[-2], hull[-1], line):
+                    hull.pop()
+                hull.append(line)
+            if not hull:
+                continue
+            x = lengths[p - 1]
+            at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            new[p] = x * n[p] - s[p] + hull[at][0] * x + hull[at][1]
+            pick[p] = hull[at][2]
+        best = new
+        picks.append(pick)
+    cuts, p = [], m
+    for pick in reversed(picks):
+        cuts.append(p - 1)
+        p = pick[p]
     return cuts[::-1]
 
 
-def plan_buckets(lengths: DataFrame, n_buckets: int, budget: int) -> list[tuple[int, int, int, int]]:
-    """(bucket, greatest bin, padded length, documents in a batch) from the histogram of the column n_tokens."""
-    rows = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total")).collect()
-    if not rows:
-        return []
-    rows.sort(key=lambda r: r.bin)
-    arrays = [np.array([r[c] for r in rows], np.int64) for c in ("longest", "n", "total")]
-    return [(i, rows[j].bin, rows[j].longest, max(1, budget // max(1, rows[j].longest))) for i, j in enumerate(boundaries(*arrays, n_buckets))]
+def _hidden(a: tuple[int, int, int], b: tuple[int, int, int], c: tuple[int, int, int]) -> bool:
+    """Whether the line b is nowhere below both a and c; slopes fall from a to c."""
+    return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
+
+
+def plan_buckets(lengths: DataFrame, n_buckets: int, budget: int) -> list[tuple[int, int, int]]:
+    """(bucket, padded length, documents in a batch) from the exact histogram of the column n_tokens.
+
+    One row for each distinct length comes to the driver. A corpus of T tokens has less than sqrt(2 T) of them.
+    """
+    rows = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()
+    ends = boundaries([r.n_tokens for r in rows], [r.n for r in rows], n_buckets)
+    return [(i, rows[j].n_tokens, max(1, budget // max(1, rows[j].n_tokens))) for i, j in enumerate(ends)]
 
 
 def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
@@ -71,12 +82,14 @@ def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET
     result; other columns are ignored.
     """
     spark = docs.sparkSession
-    lengths = materialise(docs.select("doc_id", token_count(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
+    counted = docs.select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    lengths = materialise(counted.withColumn("row", F.monotonically_increasing_id()), "lengths")
     plan = plan_buckets(lengths, n_buckets, budget)
-    schema = "bucket int, last_bin long, bucket_length long, per_batch long"
+    schema = "bucket int, bucket_length long, per_batch long"
     limits = F.array(*[F.lit(p[1]).cast("long") for p in plan]) if plan else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(limits, lambda x: x < length_bin(F.col("n_tokens"))))
-    numbered = number_within(lengths.withColumn("bucket", bucket), "bucket", [F.xxhash64("doc_id"), F.col("row")], lengths.count(), "place")
+    bucket = F.size(F.filter(limits, lambda x: x < F.col("n_tokens")))
+    order = [F.xxhash64("doc_id"), F.col("row")]
+    numbered = number_within(lengths.withColumn("bucket", bucket), "bucket", F.lit(0), order, "place")
     # one row for each bucket
     sized = numbered.join(F.broadcast(spark.createDataFrame(plan, schema)), "bucket")
     batch = F.expr("place DIV per_batch")

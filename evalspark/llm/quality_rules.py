@@ -2,13 +2,13 @@
 
 Each document's histograms of character classes and of its language's common words are held against the language's
 references by Jensen-Shannon distance. References are sums over all documents of the language that pass the base
-rules, taken again over those that lie near the first sums, so that junk doesn't shape them. They are a few rows (one
-for each listed language and one for all others), whatever the corpus.
+rules, taken again over those that lie near the first sums, so that junk doesn't shape them, and mixed with what all
+languages share. They are a few rows (one for each listed language and one for all others), whatever the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.docstats import CLASSES, COMMON_WORDS, N_COMMON, document_stats
@@ -22,8 +22,8 @@ MAX_WORD_DISTANCE = 0.30
 #: A histogram is judged only from so many characters or words on.
 MIN_CLASS_CHARS = 200
 MIN_HIST_WORDS = 100
-#: A language's reference is used only if so many documents made it.
-MIN_REFERENCE_DOCS = 20
+#: How many documents of its own weigh as much in a language's reference as what all languages share.
+SHARED_DOCS = 20
 
 
 def profile_key(lang: Column) -> Column:
@@ -50,14 +50,39 @@ def js_distance(counts: Column, reference: Column) -> Column:
 
 
 def references(stats: DataFrame, lang: str, s: str) -> DataFrame:
-    """One row for each profile: summed histograms over its documents that pass the base rules."""
-    sums = [F.sum(F.col(s)["class_hist"][i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col(s)["word_hist"][i]).alias(f"w{i}") for i in range(N_COMMON + 1)]
-    return (
-        stats.where(~base_failed(F.col(s))).groupBy(profile_key(F.col(lang)).alias("__profile")).agg(F.count(F.lit(1)).alias("__docs"), *sums)
-        .select("__profile", "__docs", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("__class_ref"), F.array(*[f"w{i}" for i in range(N_COMMON + 1)]).alias("__word_ref"))
+    """One row for each profile: shares of histograms over its documents that pass the base rules.
+
+    The shares of n own documents count n / (n + SHARED_DOCS), those of all profiles together the rest, so that a thin
+    language is judged as well, and by much the same reference as before when it grows. Bins of common words go by
+    rank, so they can be shared between languages; the profile ``*`` has no such words.
+    """
+    classes, words = range(len(CLASSES)), range(N_COMMON + 1)
+    sums = [F.sum(F.col(s)["class_hist"][i]).alias(f"c{i}") for i in classes]
+    sums += [F.sum(F.col(s)["word_hist"][i]).alias(f"w{i}") for i in words]
+    own = stats.where(~base_failed(F.col(s))).groupBy(profile_key(F.col(lang)).alias("__profile"))
+    own = materialise(own.agg(F.count(F.lit(1)).alias("__docs"), *sums), "profile-sums")
+    listed = F.col("__profile") != "*"
+    # a row for each profile, so a handful stand in this window
+    together = Window.partitionBy(F.lit(0))
+    every_c = F.array(*[F.sum(f"c{i}").over(together) for i in classes])
+    every_w = F.array(*[F.sum(F.when(listed, F.col(f"w{i}")).otherwise(0)).over(together) for i in words])
+    weight = F.col("__docs") / (F.col("__docs") + SHARED_DOCS)
+
+    def mixed(mine: Column, all_: Column) -> Column:
+        return F.zip_with(_shares(mine), _shares(all_), lambda x, y: weight * x + (1 - weight) * y)
+
+    own = own.withColumns({"__c": every_c, "__w": every_w})
+    return own.select(
+        "__profile", mixed(F.array(*[f"c{i}" for i in classes]), F.col("__c")).alias("__class_ref"),
+        mixed(F.array(*[f"w{i}" for i in words]), F.col("__w")).alias("__word_ref"),
     )
 
 
+def _shares(counts: Column) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+
+
 def refined_references(stats: DataFrame, lang: str, s: str) -> DataFrame:
     """References over the documents that the first references keep; a few rows, written once."""
     first = materialise(references(stats, lang, s), "first-references")
@@ -72,15 +97,18 @@ def judged(stats: DataFrame, refs: DataFrame, lang: str, s: str, out: str) -> Da
     """
     c = F.col(s)
     joined = stats.withColumn("__key", profile_key(F.col(lang))).join(F.broadcast(refs), F.col("__key") == F.col("__profile"), "left")
-    enough = F.col("__docs") >= MIN_REFERENCE_DOCS
+    known = F.col("__profile").isNotNull()
     chars = F.aggregate(c["class_hist"], F.lit(0).cast("long"), lambda a, x: a + x)
-    by_class = F.when(enough & (chars >= MIN_CLASS_CHARS), js_distance(c["class_hist"], F.col("__class_ref")))
-    by_word = F.when(enough & (F.col("__profile") != "*") & (c["n_words"] >= MIN_HIST_WORDS), js_distance(c["word_hist"], F.col("__word_ref")))
-    kept = ~base_failed(c) & (F.coalesce(F.col("__class_d"), F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(F.col("__word_d"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    by_class = F.when(known & (chars >= MIN_CLASS_CHARS), js_distance(c["class_hist"], F.col("__class_ref")))
+    by_word = F.when(known & (F.col("__profile") != "*") & (c["n_words"] >= MIN_HIST_WORDS), js_distance(c["word_hist"], F.col("__word_ref")))
+    near = [F.coalesce(F.col(d), F.lit(0.0)) <= m for d, m in (("__class_d", MAX_CLASS_DISTANCE), ("__word_d", MAX_WORD_DISTANCE))]
+    verdict = F.struct(
+        base_failed(c).alias("base_failed"), F.col("__class_d").alias("class_distance"), F.col("__word_d").alias("word_distance"),
+        (~base_failed(c) & near[0] & near[1]).alias("kept"),
+    )
     return (
-        joined.withColumn("__class_d", by_class).withColumn("__word_d", by_word)
-        .withColumn(out, F.struct(base_failed(c).alias("base_failed"), F.col("__class_d").alias("class_distance"), F.col("__word_d").alias("word_distance"), kept.alias("kept")))
-        .drop("__key", "__profile", "__docs", "__class_ref", "__word_ref", "__class_d", "__word_d")
+        joined.withColumn("__class_d", by_class).withColumn("__word_d", by_word).withColumn(out, verdict)
+        .drop("__key", "__profile", "__class_ref", "__word_ref", "__class_d", "__word_d")
     )
 
 
@@ -101,7 +129,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with their own columns; all columns of ``docs`` are preserved."""
+    """The documents that ``quality_rules`` keeps, with their own columns, whatever those are called.
+
+    Null and empty texts go, as they fail the base rules; repeated rows are each judged alike, those with a null doc_id
+    too; an empty table gives an empty result.
+    """
     counts = document_stats(F.col("text"), F.col("lang")).alias("s")
     stats = materialise(docs.select("lang", counts), "docstats")
     # the row travels as one struct, so that no column of docs can clash with the rules'

@@ -12,9 +12,10 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.numbering import ROWS_PER_SALT, number_within
 from evalspark.plans.scratch import materialise
 
 Key = tuple[int, int, int]
@@ -23,8 +24,8 @@ LEAST = -(2**63)
 TOLERANCE = 0.005
 #: New probes for each unmet splitter in a pass.
 PROBES = 12
-#: A shard is cut into ranges of about so many rows, each numbered by one task.
-ROWS_PER_RANGE = 1 << 20
+#: A group is cut only if it holds more than this share of a shard's bytes.
+GROUP_SHARE = 0.05
 
 
 def _range_of(probes: list[Key]):
@@ -64,11 +65,13 @@ def _between(lo: Key, hi: Key, n: int) -> list[Key]:
     return [(*lo[:level], x, *([LEAST] * (2 - level))) for x in at]
 
 
-def splitters(keyed: DataFrame, targets: list[float], slack: float) -> list[Key]:
-    """A key for each target such that the rows below it hold the target's bytes, to within ``slack`` or one row.
+def splitters(keyed: DataFrame, targets: list[float], slack: float, whole: float) -> list[Key]:
+    """A key for each target such that the rows below it hold the target's bytes, to within ``slack``, or half a group
+    of at most ``whole`` bytes, or half a row.
 
     The first probes cut the space of hashes evenly. Every pass either meets a target or shrinks its interval, which
-    ends when one key is left; then the nearer side of that key is taken.
+    ends when a small group or one key is left; then its nearer side is taken. Targets are few (the shards), and so are
+    the ranges of a pass: PROBES for each target that is still open.
     """
     found: dict[int, Key] = {}
     start = 4 * (len(targets) + 1)
@@ -79,13 +82,15 @@ def splitters(keyed: DataFrame, targets: list[float], slack: float) -> list[Key]
         for r, size, _, lo, hi in counted:
             ends.append((below, below + size, r, lo, hi))
             below += size
+        starts = [e[0] for e in ends]
         new: set[Key] = set()
         for i, target in enumerate(targets):
             if i in found:
                 continue
-            lower, upper, r, lo, hi = ends[min(bisect_right([e[0] for e in ends], target) - 1, len(ends) - 1)]
+            lower, upper, r, lo, hi = ends[bisect_right(starts, target) - 1]
             before, after = lo, (hi[0], hi[1], hi[2] + 1)
-            if min(abs(target - lower), abs(upper - target)) <= slack or lo == hi:
+            small_group = lo[0] == hi[0] and upper - lower <= whole
+            if min(abs(target - lower), abs(upper - target)) <= slack or small_group or lo == hi:
                 found[i] = before if target - lower <= upper - target else _snap(after, r, probes)
             else:
                 new.update([lo, *_between(lo, hi, PROBES), after])
@@ -98,38 +103,28 @@ def _snap(after: Key, r: int, probes: list[Key]) -> Key:
     return probes[r] if r < len(probes) else after
 
 
-def histogram_sort(df: DataFrame, group: Column, row_id: Column, size: Column, n_shards: int, tolerance: float = TOLERANCE) -> DataFrame:
+def histogram_sort(
+    df: DataFrame, group: Column, row_id: Column, size: Column, n_shards: int, tolerance: float = TOLERANCE
+) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1), ``slot`` (gapless in the shard) and ``size``: shards of equal bytes.
 
-    Equal groups lie side by side. A group is cut only where its edge would miss the tolerance; no row is cut, so a
-    shard can be off by half of the largest row. Null ids come first; repeated rows are told apart by a tie number
-    that is fixed when the keyed rows are written. An empty ``df`` gives an empty result; with fewer rows than shards
-    some shards stay empty.
+    Equal groups lie side by side in one shard. Only a group of more than GROUP_SHARE of a shard is cut, where its edge
+    misses the tolerance; no row is cut, so a shard can be off by half of the largest row. Null ids come first;
+    repeated rows are told apart by a tie number that is fixed when the keyed rows are written. An empty ``df`` gives
+    an empty result; with fewer rows than shards some shards stay empty. In a shard slots follow the order of groups; a
+    piece of it with more rows than one task should number is dealt to several, each in order.
     """
-    keyed = materialise(
-        df.withColumns({"size": size.cast("long"), "h": F.xxhash64(group), "k": F.coalesce(row_id.cast("long"), F.lit(LEAST)), "t": F.monotonically_increasing_id()}),
-        "keyed",
-    )
+    key = {"h": F.xxhash64(group), "k": F.coalesce(row_id.cast("long"), F.lit(LEAST)), "t": F.monotonically_increasing_id()}
+    keyed = materialise(df.withColumns({"size": size.cast("long"), **key}), "keyed")
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    fine = max(1, math.ceil(rows / n_shards / ROWS_PER_RANGE))
     cuts: list[Key] = []
     if rows:
-        targets = [total * i / (n_shards * fine) for i in range(1, n_shards * fine)]
-        cuts = splitters(keyed, targets, tolerance * total / n_shards / fine)
-        cuts = sorted(cuts)
-    ranged = keyed.withColumn("r", _range_of(cuts)("h", "k", "t"))
-    by_range = Window.partitionBy("r").orderBy("h", "k", "t")
-    placed = ranged.withColumn("i", F.row_number().over(by_range) - 1)
-    counted = count_between(keyed, cuts) if rows else []
-    offsets, before, shard = [], 0, -1
-    for r, _, n, _, _ in counted:
-        if r // fine != shard:
-            shard, before = r // fine, 0
-        offsets.append((r, before))
-        before += n
-    # one row for each range, which rows / ROWS_PER_RANGE and the number of shards bound
-    starts = df.sparkSession.createDataFrame(offsets, "r long, before long")
-    return placed.join(F.broadcast(starts), "r").withColumn("shard", F.expr(f"CAST(r DIV {fine} AS INT)")).withColumn("slot", F.col("i") + F.col("before")).drop("r", "i", "before", "h", "k", "t")
+        targets, shard_bytes = [total * i / n_shards for i in range(1, n_shards)], total / n_shards
+        cuts = sorted(splitters(keyed, targets, tolerance * shard_bytes, GROUP_SHARE * shard_bytes))
+    placed = keyed.withColumn("shard", _range_of(cuts)("h", "k", "t").cast("int"))
+    bits = max(0, math.ceil(math.log2(max(1, rows / ROWS_PER_SALT))))
+    piece = F.shiftright("h", 64 - bits) if bits else F.lit(0)  # pieces in the order of hashes
+    return number_within(placed, "shard", piece, [F.col(c) for c in "hkt"], "slot").drop("h", "k", "t")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
@@ -139,6 +134,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     ignored.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    digest = docs.select("doc_id", F.xxhash64(body).alias("text_hash"), F.octet_length(body).alias("n_bytes"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
+    digest = docs.select(
+        "doc_id", F.xxhash64(body).alias("text_hash"), F.octet_length(body).alias("n_bytes"),
+        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+    )
     placed = histogram_sort(digest, F.col("text_hash"), F.col("doc_id"), F.col("n_bytes") + 16, n_shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)

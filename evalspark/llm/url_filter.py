@@ -1,14 +1,14 @@
 """URL filter: host and path rules, then a ratio of character language models, in DataFrame functions only.
 
-URLs that the rules allow or block teach two variable-order Markov models over a small alphabet. Each blends contexts
-of two, one and no characters by Witten-Bell weights, so a context never seen falls back to a shorter one. The
-difference of log-likelihoods for each character is held against a threshold, calibrated on labelled URLs that taught
-nothing.
+URLs that the rules allow or block teach two variable-order Markov models over a small alphabet, without the part that
+their rule fits, which would only teach the rule. Each model blends contexts of ORDER characters and fewer by Witten-Bell
+weights, so a context never seen falls back to a shorter one. The difference of log-likelihoods for each character is
+held against a threshold, calibrated on labelled URLs of hosts that taught nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +19,10 @@ from evalspark.plans.scratch import materialise
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that the models tell apart: letters, 0 for any digit, these marks, ! for all else, and begin and end.
-#: 37 of them, so a model has at most 37 ** 3 = 50,653 rows and may be broadcast.
+#: 36 of them, so contexts of 3 and a character give at most 36 ** 4 = 1,679,616 rows of 40 bytes, which may be broadcast.
 MARKS = "-./_%~"
 N_CHARACTERS = 26 + 1 + len(MARKS) + 1 + 2
+ORDER = 3
 #: Bins of the calibration: hundredths of a nat for each character, held to this many either side.
 BINS = 1000
 
@@ -47,87 +48,118 @@ def spelled(host: Column, path: Column) -> Column:
     return F.regexp_replace(low, "[^a-z0" + MARKS.replace("-", r"\-") + "]", "!")
 
 
-def trigrams(urls: DataFrame) -> DataFrame:
-    """Each character of ``s`` with the two before it (``^`` before the first, ``$`` as the last)."""
-    padded = F.concat(F.lit("^^"), F.col("s"), F.lit("$"))
-    return urls.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("s") + 1))).withColumn("g", F.substring(padded, F.col("i"), F.lit(3))).drop("i")
-
-
-def _model(counts: DataFrame, grams: DataFrame, name: str) -> DataFrame:
-    """log P(third character | first two) for each of ``grams``; ``counts``: (g, n) of one class."""
-    a, b, c = F.substring("g", 1, 2), F.substring("g", 2, 1), F.substring("g", 3, 1)
-    by = counts.select("g", "n", a.alias("ab"), F.substring("g", 2, 2).alias("bc"), b.alias("b"), c.alias("c"))
-    two = by.groupBy("ab").agg(F.sum("n").alias("n_ab"), F.count(F.lit(1)).alias("t_ab"))
-    pair = by.groupBy("bc").agg(F.sum("n").alias("n_bc"))
-    one = by.groupBy("b").agg(F.sum("n").alias("n_b"), F.countDistinct("c").alias("t_b"))
-    none = by.groupBy("c").agg(F.sum("n").alias("n_c"))
-    total = by.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    row = grams.select("g", a.alias("ab"), F.substring("g", 2, 2).alias("bc"), b.alias("b"), c.alias("c"))
-    for small, key in ((counts.select("g", "n"), "g"), (two, "ab"), (pair, "bc"), (one, "b"), (none, "c")):
-        row = row.join(F.broadcast(small), key, "left")
-    row = row.fillna(0)
-    p0 = (F.col("n_c") + 1) / F.lit(float(total + N_CHARACTERS))
-    p1 = F.when(F.col("n_b") > 0, (F.col("n_bc") + F.col("t_b") * p0) / (F.col("n_b") + F.col("t_b"))).otherwise(p0)
-    p2 = F.when(F.col("n_ab") > 0, (F.col("n") + F.col("t_ab") * p1) / (F.col("n_ab") + F.col("t_ab"))).otherwise(p1)
-    return row.select("g", F.log(p2).alias(name))
-
-
-def calibrated_threshold(scored: DataFrame) -> float:
+def beyond_rule(host: Column, path: Column) -> Column:
+    """The spelling of a URL without what its rule fits: the end of the host and the beginning of the path."""
+    out = F.lit(None).cast("string")
+    for _, h, p in sorted(RULES, key=lambda r: len(r[1] + r[2])):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        kept = F.substring(host, F.lit(1), F.length(host) - len(h)), F.substring(path, F.lit(len(p) + 1), F.length(path))
+        out = F.when(fits, spelled(*kept)).otherwise(out)
+    return out
+
+
+def grams(urls: DataFrame) -> DataFrame:
+    """Each character of ``s`` with the ORDER before it (``^`` before the first, ``$`` as the last)."""
+    padded = F.concat(F.lit("^" * ORDER), F.col("s"), F.lit("$"))
+    at = F.explode(F.sequence(F.lit(1), F.length("s") + 1))
+    return urls.withColumn("i", at).withColumn("g", F.substring(padded, F.col("i"), F.lit(ORDER + 1))).drop("i")
+
+
+def log_ratio(counted: DataFrame) -> DataFrame:
+    """(g, d): log P(last character | those before) by the allowed URLs less that by the blocked ones.
+
+    ``counted`` has each gram that occurs anywhere, with its counts ``allow`` and ``block`` in what teaches. The tables
+    that are joined go by at most ORDER characters, so they have at most 36 ** 3 rows.
+    """
+    labels = ("allow", "block")
+    totals = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in labels]).first()
+    rows = counted
+    for j in range(ORDER + 1):
+        full, context = F.substring("g", ORDER + 1 - j, j + 1), F.substring("g", ORDER + 1 - j, j)
+        if j == ORDER:
+            rows = rows.withColumns({f"n{j}_{x}": F.col(x) for x in labels}).withColumn("full", full)
+            by_full = counted.select(full.alias("full"), *labels)
+        else:
+            by_full = counted.groupBy(full.alias("full")).agg(*[F.sum(x).alias(x) for x in labels])
+            named = by_full.select("full", *[F.col(x).alias(f"n{j}_{x}") for x in labels])
+            rows = rows.withColumn("full", full).join(F.broadcast(named), "full")
+        sums = [f(x).alias(f"{c}{j}_{x}") for x in labels for c, f in (("c", F.sum), ("t", lambda x: F.count_if(F.col(x) > 0)))]
+        by_context = by_full.groupBy(F.substring("full", 1, j).alias("context")).agg(*sums)
+        rows = rows.withColumn("context", context).join(F.broadcast(by_context), "context").drop("full", "context")
+    logs = {}
+    for x in labels:
+        p = (F.col(f"n0_{x}") + 1) / F.lit(float(totals[x] + N_CHARACTERS))
+        for j in range(1, ORDER + 1):
+            n, c, t = (F.col(f"{k}{j}_{x}") for k in "nct")
+            p = F.when(c > 0, (n + t * p) / (c + t)).otherwise(p)
+        logs[x] = F.log(p)
+    return rows.select("g", (logs["allow"] - logs["block"]).alias("d"))
+
+
+def calibrated_threshold(scored_: DataFrame) -> float:
     """The score below which URLs are blocked, with the best balanced accuracy on (label, score); 0 without both classes.
 
     Only a histogram of at most 2 * (2 * BINS + 1) rows comes to the driver. Of equally good thresholds the lowest is
-    taken, which blocks least.
+    taken, in the middle between the scores on its two sides.
     """
     bins = F.least(F.greatest(F.floor(F.col("score") * 100), F.lit(-BINS)), F.lit(BINS)).cast("int")
-    rows = scored.groupBy("label", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    good, bad = sum(r.n for r in rows if r.label == "allow"), sum(r.n for r in rows if r.label == "block")
+    rows = scored_.groupBy("label", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {label: Counter({r.bin: r.n for r in rows if r.label == label}) for label in ("allow", "block")}
+    good, bad = (sum(counts[x].values()) for x in ("allow", "block"))
     if not good or not bad:
         return 0.0
     best, at, lost, caught = 0.5, -BINS / 100.0, 0, 0
-    for b in sorted({r.bin for r in rows}):
-        lost += sum(r.n for r in rows if r.bin == b and r.label == "allow")
-        caught += sum(r.n for r in rows if r.bin == b and r.label == "block")
+    filled = sorted({r.bin for r in rows})
+    for b, above in zip(filled, [*filled[1:], filled[-1] + 1]):
+        lost, caught = lost + counts["allow"][b], caught + counts["block"][b]
         if (now := (caught / bad + 1 - lost / good) / 2) > best + 1e-12:
-            best, at = now, (b + 1) / 100.0
+            best, at = now, (b + 1 + above) / 200.0
     return at
 
 
-def url_scores(urls: DataFrame) -> tuple[DataFrame, float]:
-    """Score of each distinct spelling ``s`` that has no label, and the threshold; ``urls``: (s, label or null).
+def scored(urls: DataFrame, ratio: DataFrame) -> DataFrame:
+    """``urls`` (s and other columns) with the mean of ``d`` over the characters of ``s`` as ``score``."""
+    return grams(urls).join(F.broadcast(ratio), "g").groupBy(*urls.columns).agg(F.round(F.avg("d"), 9).alias("score"))
+
+
+def url_scores(taught: DataFrame, free: DataFrame) -> tuple[DataFrame, float]:
+    """Score of each distinct spelling ``s`` of ``free``, and the threshold; ``taught``: (host, s, label), distinct.
 
-    Spellings count once, however many pages have them. One in four labelled ones (by checksum) calibrates; the others
-    teach. Without both labels there is no model and every score is 0.
+    One in four labelled hosts (by checksum) calibrates; the others teach. Without both labels among what teaches
+    there is no model and every score is null.
     """
-    held = F.crc32(F.col("s").cast("binary")) % 4 == 0
-    grams = trigrams(urls.withColumn("held", held))
-    learned = materialise(grams.where(F.col("label").isNotNull() & ~F.col("held")).groupBy("label", "g").agg(F.count(F.lit(1)).alias("n")), "url-trigrams")
-    labels = {r.label for r in learned.select("label").distinct().collect()}
+    held = F.crc32(F.col("host").cast("binary")) % 4 == 0
+    known = materialise(taught.select("s", "label", held.alias("held"), "host"), "url-taught")
+    labels = {r.label for r in known.where(~F.col("held")).select("label").distinct().collect()}
     if len(labels) < 2:
-        return urls.where(F.col("label").isNull()).select("s", F.lit(0.0).alias("score")), 0.0
-    seen = grams.select("g").distinct()
-    good = _model(learned.where("label = 'allow'"), seen, "good")
-    bad = _model(learned.where("label = 'block'"), seen, "bad")
-    ratio = materialise(good.join(F.broadcast(bad), "g").select("g", (F.col("good") - F.col("bad")).alias("d")), "url-ratio")
-    scored = grams.join(F.broadcast(ratio), "g").groupBy("s", "label", "held").agg(F.round(F.avg("d"), 9).alias("score"))
-    threshold = calibrated_threshold(scored.where(F.col("label").isNotNull() & F.col("held")))
-    return scored.where(F.col("label").isNull()).select("s", "score"), threshold
+        return free.select("s", F.lit(None).cast("double").alias("score")), 0.0
+    teaches = ~F.col("held")
+    all_grams = grams(known.select("s", "label", "held")).unionByName(
+        grams(free.select("s", F.lit("").alias("label"), F.lit(True).alias("held")))
+    )
+    counts = [F.count_if(teaches & (F.col("label") == x)).alias(x) for x in ("allow", "block")]
+    ratio = materialise(log_ratio(materialise(all_grams.groupBy("g").agg(*counts), "url-grams")), "url-ratio")
+    threshold = calibrated_threshold(scored(known.where("held").select("s", "label", "host"), ratio))
+    return scored(free, ratio), threshold
 
 
 def judge_urls(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict.
+    """One row per page: page_id, host, path, rule, verdict, score.
 
     A null url, and one without ``://``, has an empty host and path, fits no rule and is judged by the models like any
-    other; if the pages give no rule-labelled URLs of both kinds, all others are allowed. Repeated rows are judged
-    alike; an empty table gives an empty result; other columns are ignored.
+    other. ``score`` is null where a rule decides, and everywhere if the pages give no rule-labelled URLs of both kinds;
+    all others are allowed then. Spellings count once, however many pages have them, so repeated rows are judged
+    alike; very long URLs are scored whole; an empty table gives an empty result; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     ruled = parsed.withColumns({"rule": rule, "label": verdict, "s": spelled(F.col("host"), F.col("path"))})
-    # spellings under which both labels occur, or a label and none, teach nothing and are scored
-    one = F.when((F.min("label") == F.max("label")) & (F.count("label") == F.count(F.lit(1))), F.min("label"))
-    urls = materialise(ruled.groupBy("s").agg(one.alias("label")), "url-spellings")
-    scores, threshold = url_scores(urls)
-    method = F.when(F.col("score") < threshold, "block").otherwise("allow")
-    free = ruled.where(F.col("label").isNull()).join(scores, "s", "left").select("page_id", "host", "path", "rule", method.alias("verdict"))
-    return ruled.where(F.col("label").isNotNull()).select("page_id", "host", "path", "rule", F.col("label").alias("verdict")).unionByName(free)
+    labelled = ruled.where(F.col("label").isNotNull())
+    taught = labelled.select("host", beyond_rule(F.col("host"), F.col("path")).alias("s"), "label").distinct()
+    free = ruled.where(F.col("label").isNull())
+    scores, threshold = url_scores(taught, materialise(free.select("s").distinct(), "url-spellings"))
+    method = F.when(F.col("score") < threshold, "block").otherwise("allow").alias("verdict")
+    cols = ["page_id", "host", "path", "rule"]
+    by_rule = labelled.select(*cols, F.col("label").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return by_rule.unionByName(free.join(scores, "s", "left").select(*cols, method, "score"))

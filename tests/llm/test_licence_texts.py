@@ -53,6 +53,32 @@ modification, are permitted provided that the following conditions are met:
 AS_IS = MIT[MIT.index("THE SOFTWARE IS") :]
 CC_NC = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.\n"
 CC = "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n"
+BSD_CLAUSES = """
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
+"""
+BSD_HEAD = BSD[: BSD.index("1.")]
+LESSER = GPL.replace("GNU General", "GNU Lesser General").replace("This program", "This library")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+#: A text for each rule, in the order of the rules.
 TEXTS = [
     "MIT License\n\nCopyright (c) 2024 A. Body\n\n" + MIT,
     MIT,
@@ -60,9 +86,47 @@ TEXTS = [
     GPL + WARRANTY,
     GPL,
     "This work is licensed under the GNU\nGeneral Public License, version 3.\n",
+    GPL.replace("version 3", "version 2") + WARRANTY,
+    GPL.replace("version 3", "version 2"),
+    GPL[: GPL.index(", either")] + ", version 2.\n",
+    "Licensed under the GNU General Public License version 2\n",
+    LESSER.replace("version 3", "version 2.1") + WARRANTY.replace("This program", "This library"),
+    LESSER.replace("version 3", "version 2.1"),
+    LESSER,
+    GPL.replace("GNU General", "GNU Affero General"),
+    "Released under the GNU Affero General Public License, version 3.\n",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+    "distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.\n",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.\n",
+    "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License "
+    "v1.0\nwhich accompanies this distribution, and is available at\nhttp://www.eclipse.org/legal/epl-v10.html\n",
+    "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\n"
+    "which is available at https://www.eclipse.org/legal/epl-2.0/\n",
+    'The contents of this file are subject to the terms of the\nCommon Development and Distribution License (the "License").\n',
+    BSD_HEAD + BSD_CLAUSES + BSD_THIRD + BSD_AS_IS,
+    BSD_HEAD + BSD_CLAUSES + BSD_AS_IS,
     "Licensed under the\nApache License, Version 2.0.\n",
-    BSD + "\n" + AS_IS,
+    ISC,
+    ISC[: ISC.index(", provided")] + ".\n",
+    "Permission to use, copy, modify, and distribute this software and its\ndocumentation for any purpose, without fee, "
+    "and without a written agreement\nis hereby granted, provided that the above copyright notice and this\nparagraph and "
+    "the following two paragraphs appear in all copies.\n",
+    "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to "
+    "alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin stays known.\n",
+    "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and "
+    'accompanying documentation covered by\nthis license (the "Software") to use, reproduce, display, distribute,\n'
+    "execute, and transmit the Software, and to prepare derivative works of the\nSoftware, and to permit third-parties to "
+    "whom the Software is furnished to\ndo so, all subject to the following:\n\nThe copyright notices stay.\n",
+    "This is free and unencumbered software\nreleased into the public domain.\n",
+    "Everyone is permitted to copy and distribute verbatim or modified\ncopies of this license document, and changing it "
+    "is allowed as long\nas the name is changed.\n",
+    "This Font Software is licensed under the SIL Open Font License,\nVersion 1.1.\n",
+    "This work is licensed under CC0 1.0.\n",
+    CC_NC.replace("NonCommercial", "NonCommercial-ShareAlike"),
+    CC_NC.replace("NonCommercial", "NonCommercial-NoDerivatives"),
     CC_NC,
+    CC_NC.replace("NonCommercial", "ShareAlike"),
+    CC_NC.replace("NonCommercial", "NoDerivatives"),
     CC,
     "This project is licensed\nunder the MIT License.\n",
     BSD,

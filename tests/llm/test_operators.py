@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.llm import archive, jaccard, licences, mixing, packing, quality_rules, rule_ensemble, sharding, topk, url_filter
+from evalspark.llm import archive, jaccard, licences, mixing, numbering, packing, quality_rules, rule_ensemble, sharding, topk, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -122,6 +122,30 @@ def test_shards(spark, docs, texts, clashing):
         assert max(sizes.values()) <= mean + largest + 0.02 * mean
 
 
+def test_groups_stay_whole(spark):
+    """Equal texts lie in one shard, wherever their edge falls, unless they are more than a shard's share."""
+    rng = random.Random(6)
+    rows = [(i, f"text {rng.randrange(600)} " * rng.choice([1, 3])) for i in range(4000)] + [(5000 + i, "hot " * 40) for i in range(900)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    text = dict(rows)
+    shards, sizes = collections.defaultdict(set), collections.Counter()
+    for r in placed:
+        shards[text[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r.size
+    assert [t for t, s in shards.items() if len(s) > 1] == ["hot " * 40]
+    mean = sum(sizes.values()) / 8
+    assert all(abs(x - mean) <= 0.06 * mean for x in sizes.values())
+
+
+def test_numbers_in_salts(spark, monkeypatch):
+    """Pieces of many rows, dealt to salts, still give gapless numbers in the order of pieces."""
+    monkeypatch.setattr(numbering, "ROWS_PER_SALT", 10)
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") % 30 > 3).cast("int").alias("p"), "id")
+    for group, rows in df.groupBy("g").count().collect():
+        got = numbering.number_within(df, "g", F.col("p"), [F.col("id")], "n").where(F.col("g") == group).orderBy("n").collect()
+        assert [r.n for r in got] == list(range(rows)) and [r.p for r in got] == sorted(r.p for r in got)
+
+
 def test_shards_of_one_hot_row_and_of_nothing(spark):
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).collect() == []
     df = spark.range(2000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
@@ -168,21 +192,44 @@ def test_exact_topk(spark):
     assert topk.search_embeddings(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
 
 
+@pytest.mark.parametrize("scale", [3, 40, 10**6, 2**29])
+def test_topk_over_several_shards(spark, monkeypatch, scale):
+    """Ties between shards, trees of many leaves, and numbers of which products aren't exact as floats."""
+    monkeypatch.setattr(topk, "SHARD_BYTES", 8 * 4 * 700)
+    rng = np.random.default_rng(scale % 97)
+    vectors = rng.integers(-scale, scale, (3000, 4)) // (scale // 3) * (scale // 3) if scale > 3 else rng.integers(-3, 3, (3000, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vec array<long>")
+    found = topk.top_k(df, F.col("vec_id") % 300 == 0, 5).collect()
+    got = collections.defaultdict(list)
+    for r in found:
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    exact = vectors.astype(object)
+    for q in range(0, 3000, 300):
+        scores = exact @ exact[q]
+        want = sorted((-x, i) for i, x in enumerate(scores) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(want)]
+
+
 def test_boundaries_are_optimal():
-    rng = random.Random(2)
-    longest = np.array(sorted(rng.sample(range(1, 60), 9)))
-    counts = np.array([rng.randint(1, 9) for _ in longest])
+    """Every choice of bucket ends is tried, for lengths far apart as well."""
     from itertools import combinations
 
-    def padding(cuts):
-        pad, at = 0, 0
-        for c in cuts:
-            pad += sum(counts[i] * (longest[c] - longest[i]) for i in range(at, c + 1))
-            at = c + 1
-        return pad
+    rng = random.Random(2)
+    for most, n_buckets in ((60, 3), (60, 12), (10**6, 4), (5000, 2)):
+        lengths = sorted(rng.sample(range(most), 9))
+        counts = [rng.randint(1, 9) for _ in lengths]
+
+        def padding(cuts):
+            pad, at = 0, 0
+            for c in cuts:
+                pad += sum(counts[i] * (lengths[c] - lengths[i]) for i in range(at, c + 1))
+                at = c + 1
+            return pad
 
-    best = min(padding([*c, 8]) for c in combinations(range(8), 2))
-    assert padding(packing.boundaries(longest, counts, longest * counts, 3)) == best
+        got = packing.boundaries(lengths, counts, n_buckets)
+        assert len(got) == min(n_buckets, 9) and got[-1] == 8
+        assert padding(got) == min(padding([*c, 8]) for c in combinations(range(8), min(n_buckets, 9) - 1))
+    assert packing.boundaries([], [], 4) == []
 
 
 def test_pack(spark, docs, texts, clashing):
@@ -270,6 +317,23 @@ def test_archive_round_trip(spark):
     assert archive.archive_pages(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_archive_headers_are_exact(spark):
+    """URLs with line breaks and percent signs come back as they were; every record has an id of its own and a date."""
+    urls = ["http://a/x%20y", "http://a/x\r\ny%0D", "", None, "http://a/x%20y"]
+    rows = [(None if i == 3 else min(i, 3), u, "p" * 120, "other") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    a = archive.write_archive(pages, date="2026-01-02T03:04:05Z")
+    got = archive.read_records(a).collect()
+    assert collections.Counter((r.page_id, r.url) for r in got) == collections.Counter((r[0], r[1]) for r in rows)
+    ids = {r.record_id: r for r in got}
+    assert len(ids) == 5 and {r.date for r in got} == {"2026-01-02T03:04:05Z"}
+    for r in got:
+        assert bytes(r.header).count(b"\r\n") == len(bytes(r.header).decode().split("\r\n")) - 1
+        if r.record_type == "revisit":
+            assert ids[r.refers_to_record].page_id == r.refers_to == 0
+    assert collections.Counter(r.record_type for r in got) == {"response": 2, "revisit": 3}
+
+
 def test_licences(spark):
     rows = [
         (1, "Words.\nReleased under the MIT License.\nMore words."), (2, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
