@@ -162,7 +162,7 @@ def bootstrap_metrics(pred: DataFrame, keys: list[str], cluster: str, replicates
     drawn = drawn_clusters(numbered, ["__all"], replicates, seed).join(numbered.drop("__all"), "__i")
     w = F.col("__w")
     cells = drawn.join(hist, cluster).groupBy("b", *keys, "prob").agg(
-        F.sum(w * F.col("__n")).alias("n"), F.sum(w * F.col("__y")).alias("pos")
+        F.sum(w * F.col("__n")).alias("__n"), F.sum(w * F.col("__y")).alias("__y")
     )
     return metrics_of_hist(cells, ["b", *keys]).select("b", *keys, *METRICS)
 

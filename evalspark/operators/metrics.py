@@ -146,12 +146,12 @@ ECE_BINS = 15
 
 
 def metrics_of_hist(hist: DataFrame, keys: list[str], bins: int = ECE_BINS) -> DataFrame:
-    """A1 to A6 from one table of distinct scores: ``hist`` has keys, prob, n and pos (records and positives there).
+    """A1 to A6 from one table of distinct scores: ``hist`` has keys, prob, __n and __y (records and positives there).
 
     One ascending prefix sum serves all: what lies above a score is the total less what lies below. Undefined metrics
     are null, with the reason.
     """
-    scored = hist.select(*keys, F.col("prob").alias("__p"), F.col("n").alias("__n"), F.col("pos").alias("__y"))
+    scored = hist.select(*keys, F.col("prob").alias("__p"), "__n", "__y")
     cum = prefix_scan(scored, keys, [F.col("__p")], {"__cn": F.col("__n"), "__cy": F.col("__y")})
     p, n, y = F.col("__p"), F.col("__n"), F.col("__y")
     neg, q, total, positives = n - y, clipped(F.col("__p")), F.col("__cn_total"), F.col("__cy_total")
@@ -183,7 +183,8 @@ METRICS = ("rate", "auroc", "average_precision", "brier", "log_loss", "ece")
 
 def evaluate_members(pred: DataFrame, keys: list[str]) -> DataFrame:
     """A1 to A6 side by side, one row a key, from one histogram of scores."""
-    return metrics_of_hist(score_hist(pred, keys, "prob", "target"), keys)
+    counts = F.count(F.lit(1)).alias("__n"), F.sum(F.col("target").cast("long")).alias("__y")
+    return metrics_of_hist(pred.groupBy(*keys, "prob").agg(*counts), keys)
 
 
 def probability_audit(pred: DataFrame, keys: list[str]) -> DataFrame:

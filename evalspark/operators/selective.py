@@ -112,7 +112,7 @@ def harmonic_between(low: Column, high: Column) -> Column:
         F.when(low < HARMONIC, F.sequence(low + 1, F.least(high, at))).otherwise(F.array().cast("array<bigint>")),
         F.lit(0.0), lambda acc, j: acc + F.lit(1.0) / j,
     )
-    rest = lambda n: 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n)
+    rest = lambda n: 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * F.pow(n, 4)) - 1 / (252 * F.pow(n, 6))
     a, b = at.cast("double"), high.cast("double")
     return short + F.when(high > at, F.log1p((b - a) / a) + rest(b) - rest(a)).otherwise(0.0)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.operators import metrics as m
 from evalspark.operators import selective as sel
 from evalspark.operators import studies as s
+from evalspark.operators import summaries as sm
 from evalspark.operators import waves as w
 from evalspark.plans.fixtures import fixture, with_fixtures
 from evalspark.plans.scratch import table
@@ -75,9 +76,9 @@ def w7_greedy_cells(spark, d):
 
 
 def w6_compare_scores(spark, d):
-    losses = _losses(spark, d)
-    both = losses.select(F.lit("mean_entropy").alias("score"), "record_id", "uncertainty", "hamming").unionByName(losses.select(F.lit("max_entropy").alias("score"), "record_id", F.round("max_entropy", 6).alias("uncertainty"), "hamming"))
-    return rounded(sel.excess_aurc(both, ["score"], "hamming").select("score", "excess_aurc", "augrc"))
+    losses = _losses(spark, d).withColumn("max_entropy", F.round("max_entropy", 6))
+    out = sm.compare_scores(losses, ["model_id"], ["uncertainty", "max_entropy"], ["hamming", "exact_error"])
+    return rounded(out.select("model_id", "loss", "score", "rank", "aurc", "excess_aurc", "augrc"))
 
 
 def w12_top_violations(spark, d):
@@ -124,6 +125,13 @@ QUERIES = {f.__name__: f for f in (
 _ANS = "a AS (SELECT l_suppkey AS participant, l_linestatus AS arm, CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END AS correct, l_extendedprice AS time_ms, l_discount AS confidence FROM lineitem)"
 
 ORACLE_SQL = {
+    "w6_compare_scores": with_fixtures(["pred"], f"""WITH {LOSSES}, long AS (SELECT model_id, record_id, s.score, s.u, l.loss, l.v FROM losses, LATERAL (SELECT unnest(['uncertainty', 'max_entropy']) AS score, unnest([uncertainty, round(max_entropy, 6)]) AS u) s,
+  LATERAL (SELECT unnest(['hamming', 'exact_error']) AS loss, unnest([CAST(hamming AS DOUBLE), CAST(exact_error AS DOUBLE)]) AS v) l),
+both_ AS (SELECT model_id, record_id, loss, score, u AS o, v, 'own' AS kind FROM long UNION ALL SELECT model_id, record_id, loss, score, v, v, 'best' FROM long),
+tt AS (SELECT model_id, loss, score, kind, o, avg(v) AS mean FROM both_ GROUP BY ALL), xx AS (SELECT b.*, mean, row_number() OVER (PARTITION BY b.model_id, b.loss, b.score, b.kind ORDER BY b.o, record_id) AS k FROM both_ b JOIN tt USING (model_id, loss, score, kind, o)),
+cc AS (SELECT model_id, loss, score, kind, k, sum(mean) OVER (PARTITION BY model_id, loss, score, kind ORDER BY k) AS s, count(*) OVER (PARTITION BY model_id, loss, score, kind) AS n FROM xx),
+aa AS (SELECT model_id, loss, score, avg(s / k) FILTER (kind = 'own') AS aurc, avg(s / n) FILTER (kind = 'own') AS augrc, avg(s / k) FILTER (kind = 'own') - avg(s / k) FILTER (kind = 'best') AS excess_aurc FROM cc GROUP BY ALL)
+SELECT model_id, loss, score, CAST(row_number() OVER (PARTITION BY model_id, loss ORDER BY round(excess_aurc, 12), score) AS INTEGER) AS rank, round(aurc, 6) AS aurc, round(excess_aurc, 6) AS excess_aurc, round(augrc, 6) AS augrc FROM aa"""),
     "a17_error_detection": with_fixtures(["pred"], f"""WITH {LOSSES}, h AS (SELECT model_id, uncertainty AS u, count(*) AS n, sum(exact_error) AS pos FROM losses GROUP BY ALL), c AS (SELECT *, sum(n - pos) OVER (PARTITION BY model_id ORDER BY u) - (n - pos) AS before, sum(pos) OVER (PARTITION BY model_id ORDER BY u DESC) AS tp, sum(n) OVER (PARTITION BY model_id ORDER BY u DESC) AS seen, sum(pos) OVER (PARTITION BY model_id) AS ap, sum(n - pos) OVER (PARTITION BY model_id) AS an FROM h)
 SELECT model_id, round(sum(CAST(pos AS DOUBLE) * (before + (n - pos) / 2.0)) / (max(ap) * CAST(max(an) AS DOUBLE)), 6) AS auroc, round(sum(CAST(pos AS DOUBLE) * tp / seen) / max(ap), 6) AS average_precision FROM c GROUP BY model_id"""),
     "a22_risk_curve_mean": with_fixtures(["pred"], f"WITH {LOSSES}, r AS (SELECT *, row_number() OVER w AS k, count(*) OVER () AS n, sum(hamming) OVER w AS h FROM losses WINDOW w AS (ORDER BY uncertainty, record_id)) SELECT c / 10.0 AS target_coverage, round(avg(h / k), 6) AS risk, count(*) AS seeds FROM r, range(1, 11) t(c) WHERE k = ceil(round(c / 10.0 * n, 9)) GROUP BY 1"),

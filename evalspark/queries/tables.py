@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import expressions as x
 from evalspark.operators import checks as c
+from evalspark.operators import cohorts as co
 from evalspark.operators import joins as j
+from evalspark.operators import summaries as sm
 from evalspark.plans.fixtures import fixture, with_fixtures
 from evalspark.plans.scratch import table
 
@@ -65,10 +67,20 @@ def v11_check_public_columns(spark, d):
     return c.check_public_columns(table(spark, d, "customer"), ["custkey", "customer#00000000"])
 
 
+def _cohort(spark, d):
+    mapped = F.size(x.parse_code_map(F.col("scp_codes")))
+    i = F.col("record_id")
+    return co.cohort_status(F.col("n_samples"), 10, mapped, F.when(i % 9 == 0, 1).otherwise(0), i % 8 == 0)
+
+
 def f1_select_cohort(spark, d):
-    return _man(spark, d).where((F.col("n_samples") == 10) & (F.size(x.parse_code_map(F.col("scp_codes"))) > 0)).select("record_id", "fold")
+    mapped = F.size(x.parse_code_map(F.col("scp_codes")))
+    return co.select_cohort(_man(spark, d), co.cohort_status(F.col("n_samples"), 10, mapped, None, None)).select("record_id", "fold")
 
 
+def f1_cohort_exclusions(spark, d):
+    return co.cohort_exclusions(_man(spark, d), _cohort(spark, d))
+
 
 def _rules():
     return [("bad_length", F.col("n_samples") > 11), ("bad_sex", ~F.col("sex").isin(0, 1)), ("too_old", F.col("age") > 80), ("never", F.col("record_id") < 0)]
@@ -79,8 +91,9 @@ def f2_eligibility(spark, d):
 
 
 def f3_require_labeled(spark, d):
-    pos = _pred(spark, d).where("prob >= 0.6").groupBy("record_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    return pos.where("n_labels > 0")
+    positive = F.col("prob") >= 0.6
+    kept = co.require_labeled(_pred(spark, d), "record_id", positive)
+    return kept.groupBy("record_id").agg(F.count_if(positive).alias("n_labels"))
 
 
 def c1_parse_code_map(spark, d):
@@ -114,17 +127,35 @@ def c8_stateless_seed(spark, d):
     return _man(spark, d).select("record_id", x.stateless_seed(7, F.col("record_id"), "noise").alias("seed"))
 
 
+def _by_label(spark, d, **values):
+    """A table of parameters with a row for each label."""
+    return fixture(spark, d, "labels_dim").select("label", *[F.lit(v).alias(k) for k, v in values.items()])
+
+
 def c10_c16_maps(spark, d):
-    p = F.col("prob")
-    out = _pred(spark, d).select(
-        "record_id", "label", x.sigmoid(F.col("logit") / 1.7).alias("tempered"), x.sigmoid(1.2 * F.col("logit") - 0.3).alias("scaled"), x.logit(p).alias("logit"), x.symmetric_energy(F.col("logit"), 1.0).alias("energy"),
-        x.adjust_to_prior(p, F.lit(0.2), F.lit(0.4)).alias("adjusted"), F.when(p >= 0.5, 1).otherwise(0).alias("decision"),
+    p, rows = F.col("prob"), _pred(spark, d)
+    rows = sm.apply_temperature(rows, _by_label(spark, d, temperature=1.7), ["label"]).withColumnRenamed("calibrated", "tempered")
+    rows = sm.apply_sigmoid_scaling(rows, _by_label(spark, d, slope=1.2, intercept=-0.3), ["label"]).withColumnRenamed("calibrated", "scaled")
+    rows = sm.decide(rows, _by_label(spark, d, threshold=0.5), ["label"])
+    out = rows.select(
+        "record_id", "label", "tempered", "scaled", x.logit(p).alias("logit"), x.symmetric_energy(F.col("logit"), 1.0).alias("energy"),
+        x.adjust_to_prior(p, F.lit(0.2), F.lit(0.4)).alias("adjusted"), "decision",
     )
     return out.select(*[F.round(k, 6).alias(k) if t == "double" else F.col(k) for k, t in out.dtypes])
 
 
+def c14_record_energy(spark, d):
+    return sm.record_energy(_pred(spark, d), ["record_id"], 1.5).select("record_id", F.round("energy", 6).alias("energy"))
+
+
+def a13_label_errors(spark, d):
+    decided = sm.decide(_pred(spark, d), _by_label(spark, d, threshold=0.4), ["label"])
+    return sm.label_errors(decided, [], "label").select("label", "n", F.round("error", 6).alias("error"))
+
+
 def c15_threshold_proximity(spark, d):
-    return _pred(spark, d).groupBy("record_id").agg(F.round(-F.min(F.abs(F.col("prob") - 0.5)), 6).alias("proximity"))
+    out = sm.threshold_proximity(_pred(spark, d), _by_label(spark, d, threshold=0.5), ["label"], ["record_id"])
+    return out.select("record_id", F.round("proximity", 6).alias("proximity"))
 
 
 def c18_trust_decision(spark, d):
@@ -209,16 +240,17 @@ def j11_cohort_fan_out(spark, d):
 
 
 def a14_class_balance(spark, d):
-    train = _pred(spark, d).where("fold <= 7").groupBy("label").agg(F.sum(F.col("target").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    return train.select("label", F.round(F.least((F.col("n") - F.col("pos")) / F.col("pos"), F.lit(3.5)), 6).alias("pos_weight"))
+    out = co.class_balance(_pred(spark, d).where("fold <= 7"), "label", "target", 3.5)
+    return out.select("label", F.round("pos_weight", 6).alias("pos_weight"))
 
 
-def a15_ensemble_uncertainty(spark, d):
-    from evalspark.operators.metrics import entropy
+def a14_balance_violations(spark, d):
+    return co.balance_violations(_pred(spark, d), "fold", [1, 2, 3, 4, 5, 6, 7])
 
-    per = fixture(spark, d, "pred").groupBy("record_id", "label").agg(F.avg("prob").alias("p"), F.avg(entropy(F.col("prob"))).alias("aleatoric"), F.var_pop("prob").alias("variance"))
-    per = per.withColumn("total", entropy(F.col("p"))).withColumn("epistemic", F.greatest(F.col("total") - F.col("aleatoric"), F.lit(0.0)))
-    return per.groupBy("record_id").agg(*[F.round(F.avg(k), 6).alias(f"mean_{k}") for k in ("total", "aleatoric", "epistemic", "variance")], F.round(F.max("epistemic"), 6).alias("max_epistemic"))
+
+def a15_ensemble_uncertainty(spark, d):
+    out = sm.ensemble_uncertainty(fixture(spark, d, "pred"), ["record_id"], "label")
+    return out.select("record_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "record_id"])
 
 
 def a20_subgroup_audit(spark, d):
@@ -240,23 +272,28 @@ def a23_robustness_delta(spark, d):
 
 
 def a24_logit_drift(spark, d):
-    both = j.paired(_pred(spark, d), _pred(spark, d, 2028), ["record_id", "label"], "logit").withColumn("x", F.abs(F.col("logit_b") - F.col("logit_a")))
-    return both.groupBy("label").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", 0.95), 6).alias("p95"), F.round(F.max("x"), 6).alias("largest"), F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"))
+    both = j.paired(_pred(spark, d), _pred(spark, d, 2028), ["record_id", "label"], "logit")
+    out = sm.logit_drift(both, ["label"], "logit_a", "logit_b").withColumnRenamed("quantile", "p95")
+    return out.select("label", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "largest", "rms")])
 
 
 def a25_score_quantiles(spark, d):
     levels = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
-    q = _pred(spark, d).groupBy("label").agg(F.percentile("prob", levels).alias("q"))
-    return q.select("label", F.posexplode("q").alias("i", "value")).select("label", "i", F.round("value", 6).alias("value"))
+    return sm.score_quantiles(_pred(spark, d), ["label"], "prob", levels).select("label", "i", F.round("value", 6).alias("value"))
 
 
 def a26_manifest_summary(spark, d):
-    m = _man(spark, d).withColumn("split", x.split_for_fold(F.col("fold")))
-    return m.rollup("split", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("patients"))
+    return co.manifest_summary(_man(spark, d).withColumn("split", x.split_for_fold(F.col("fold"))), ["split", "fold"], "patient_id")
+
+
+def a26_label_histogram(spark, d):
+    return co.label_histogram(_pred(spark, d).where("prob >= 0.6"), "record_id", "label", _pred(spark, d))
 
 
 def a27_inventory(spark, d):
-    return _man(spark, d).cube("dataset", "n_samples").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sex") == 9).alias("no_sex"))
+    rows = _man(spark, d).withColumns({"fs": F.col("fold") * 100.0, "patient_id": F.when(F.col("sex") < 9, F.col("patient_id"))})
+    out = co.inventory(rows, ["dataset", "n_samples"], "fs", "n_samples", "patient_id")
+    return out.select("dataset", "n_samples", "n", "n_fs", F.round("shortest", 6).alias("shortest"), F.round("longest", 6).alias("longest"), "no_patient")
 
 
 def a30_table_fingerprint(spark, d):
@@ -265,8 +302,12 @@ def a30_table_fingerprint(spark, d):
 
 def u1_u5_sets(spark, d):
     m = _man(spark, d)
-    a, b = m.where("fold <= 6").select("patient_id"), m.where("fold >= 5").select("patient_id")
-    parts = {"union": a.unionByName(b).distinct(), "overlap": a.intersect(b), "only_a": a.distinct().exceptAll(b.distinct()), "distinct": m.select(F.col("fold").cast("long").alias("patient_id")).distinct()}
+    a, b, key = m.where("fold <= 6").select("patient_id"), m.where("fold >= 5").select("patient_id"), ["patient_id"]
+    parts = {
+        "union": co.union_manifests([a, b], key).distinct(), "overlap": co.overlap(a, b, key),
+        "only_a": co.key_diff(a, b, key).where("side = 'only_a'"), "only_b": co.key_diff(a, b, key).where("side = 'only_b'"),
+        "distinct": co.distinct_values(m.select(F.col("fold").cast("long").alias("patient_id")), key),
+    }
     out = None
     for name, part in parts.items():
         row = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("patient_id"), F.lit(0)).alias("total"))
@@ -283,7 +324,7 @@ def u4_check_exhaustive(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     v1_check_unique, v2_check_one_role, v3_check_disjoint, v4_check_values, v5_check_expected_counts, v6_check_aligned, v7_check_relative_path, v8_check_id_format, v10_check_source_overlap,
-    v11_check_public_columns, f1_select_cohort, f2_eligibility, f3_require_labeled, c1_parse_code_map, c2_parse_composite_codes, c3_map_codes, c5_c6_bands, c7_hash_split, c8_stateless_seed,
+    v11_check_public_columns, f1_select_cohort, f1_cohort_exclusions, a14_balance_violations, a26_label_histogram, a13_label_errors, c14_record_energy, f2_eligibility, f3_require_labeled, c1_parse_code_map, c2_parse_composite_codes, c3_map_codes, c5_c6_bands, c7_hash_split, c8_stateless_seed,
     c10_c16_maps, c15_threshold_proximity, c18_trust_decision, c19_incoherent_labels, c21_aliased_frequency, x2_sql_functions, j2_ontology_coverage, j3_paired_models, j6_subgroup_join, j7_completed,
     j8_co_occurrence, j9_frozen_set_diff, j10_dataset_overlap, j11_cohort_fan_out, a14_class_balance, a15_ensemble_uncertainty, a20_subgroup_audit, a23_robustness_delta, a24_logit_drift,
     a25_score_quantiles, a26_manifest_summary, a27_inventory, a30_table_fingerprint, u1_u5_sets, u4_check_exhaustive,
@@ -319,7 +360,7 @@ ORACLE_SQL = {
     "c7_hash_split": MAN(f"SELECT record_id, CASE WHEN {_UNIT} < 0.4 THEN 'A' WHEN {_UNIT} < 0.8 THEN 'B' ELSE 'C' END AS role FROM manifest"),
     "c8_stateless_seed": MAN("SELECT record_id, CAST(CAST('0x' || substr(sha256('7|' || CAST(record_id AS VARCHAR) || '|noise'), 1, 15) AS UBIGINT) AS BIGINT) AS seed FROM manifest"),
     "c10_c16_maps": PRED(f"SELECT record_id, label, round({_SIG('logit / 1.7')}, 6) AS tempered, round({_SIG('1.2 * logit - 0.3')}, 6) AS scaled, round(ln(prob) - ln(1 - prob), 6) AS logit, round(-(abs(logit) / 2 + ln(1 + exp(-abs(logit)))), 6) AS energy, round({_SIG('logit + ln(0.4 / 0.6) - ln(0.2 / 0.8)')}, 6) AS adjusted, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS decision FROM pred WHERE seed = 2026"),
-    "c15_threshold_proximity": PRED("SELECT record_id, round(-min(abs(prob - 0.5)), 6) AS proximity FROM pred WHERE seed = 2026 GROUP BY record_id"),
+    "c15_threshold_proximity": PRED("SELECT record_id, round(-min(abs(prob - 0.5)), 6) + 0.0 AS proximity FROM pred WHERE seed = 2026 GROUP BY record_id"),
     "c18_trust_decision": PRED("""WITH n AS (SELECT record_id, li, prob, ['NORM', 'MI', 'STTC', 'CD', 'HYP'][CAST(li AS INTEGER)] AS label FROM pred WHERE seed = 2026), u AS (
   SELECT record_id, coalesce(string_agg(label, ',' ORDER BY li) FILTER (WHERE prob >= 0.4 AND prob < 0.6), '') AS un, coalesce(string_agg(label, ',' ORDER BY li) FILTER (WHERE prob >= 0.6), '') AS yes FROM n GROUP BY 1
 ), v AS (SELECT record_id, un, CASE WHEN yes LIKE 'NORM,%' THEN CASE replace(replace(yes, ',CD', ''), 'NORM', '') WHEN '' THEN '' ELSE replace(yes, ',CD', '') END ELSE '' END AS inc FROM u),
@@ -348,8 +389,13 @@ SELECT record_id, string_agg(label, ',' ORDER BY li) AS incoherent FROM y JOIN b
     "a24_logit_drift": PRED("WITH x AS (SELECT label, abs(b.logit - a.logit) AS x FROM pred a JOIN pred b USING (record_id, label) WHERE a.seed = 2026 AND b.seed = 2028) SELECT label, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.95), 6) AS p95, round(max(x), 6) AS largest, round(sqrt(avg(x * x)), 6) AS rms FROM x GROUP BY label"),
     "a25_score_quantiles": PRED("WITH q AS (SELECT label, quantile_cont(prob, [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]) AS q FROM pred WHERE seed = 2026 GROUP BY label) SELECT label, CAST(i AS INTEGER) AS i, round(q[i + 1], 6) AS value FROM q, range(10) t(i)"),
     "a26_manifest_summary": MAN(f"SELECT {_SPLIT} AS split, fold, count(*) AS n, count(DISTINCT patient_id) AS patients FROM manifest GROUP BY ROLLUP (split, fold)"),
-    "a27_inventory": MAN("SELECT dataset, n_samples, count(*) AS n, count(*) FILTER (sex = 9) AS no_sex FROM manifest GROUP BY CUBE (dataset, n_samples)"),
+    "a27_inventory": MAN("SELECT dataset, n_samples, count(*) AS n, count(DISTINCT fold) AS n_fs, round(min(n_samples / (fold * 100.0)), 6) AS shortest, round(max(n_samples / (fold * 100.0)), 6) AS longest, count(*) FILTER (sex >= 9) AS no_patient FROM manifest GROUP BY CUBE (dataset, n_samples)"),
+    "a26_label_histogram": PRED("WITH c AS (SELECT record_id, count(DISTINCT label) FILTER (prob >= 0.6) AS n_labels FROM pred WHERE seed = 2026 GROUP BY 1) SELECT n_labels, count(*) AS records FROM c GROUP BY 1"),
+    "a14_balance_violations": PRED("SELECT fold, count(*) AS n FROM pred WHERE seed = 2026 AND fold > 7 GROUP BY 1"),
+    "a13_label_errors": PRED("SELECT label, count(*) AS n, round(avg(CASE WHEN (prob >= 0.4) <> (target = 1) THEN 1.0 ELSE 0.0 END), 6) AS error FROM pred WHERE seed = 2026 GROUP BY 1"),
+    "c14_record_energy": PRED("SELECT record_id, round(avg(-(abs(logit) / 2 + 1.5 * ln(1 + exp(-abs(logit) / 1.5)))), 6) AS energy FROM pred WHERE seed = 2026 GROUP BY 1"),
+    "f1_cohort_exclusions": MAN("SELECT CASE WHEN n_samples <> 10 THEN 'length' WHEN record_id % 9 = 0 THEN 'ambiguous_target' WHEN record_id % 8 = 0 THEN 'conflicting_targets' ELSE 'selected' END AS status, count(*) AS n FROM manifest GROUP BY 1"),
     "a30_table_fingerprint": MAN("""SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat('{"record_id":"', record_id, '","fold":"', fold, '","record_path":"', record_path, '","age":"', age, '"}')), 1, 12) AS UBIGINT)) AS VARCHAR) AS fingerprint FROM manifest"""),
-    "u1_u5_sets": MAN("WITH a AS (SELECT DISTINCT patient_id FROM manifest WHERE fold <= 6), b AS (SELECT DISTINCT patient_id FROM manifest WHERE fold >= 5) SELECT 'union' AS part, count(*) AS n, CAST(sum(patient_id) AS BIGINT) AS total FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'overlap', count(*), CAST(coalesce(sum(patient_id), 0) AS BIGINT) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', count(*), CAST(coalesce(sum(patient_id), 0) AS BIGINT) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'distinct', count(DISTINCT fold), CAST(sum(DISTINCT fold) AS BIGINT) FROM manifest"),
+    "u1_u5_sets": MAN("WITH a AS (SELECT DISTINCT patient_id FROM manifest WHERE fold <= 6), b AS (SELECT DISTINCT patient_id FROM manifest WHERE fold >= 5) SELECT 'union' AS part, count(*) AS n, CAST(sum(patient_id) AS BIGINT) AS total FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'overlap', count(*), CAST(coalesce(sum(patient_id), 0) AS BIGINT) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_b', count(*), CAST(coalesce(sum(patient_id), 0) AS BIGINT) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'only_a', count(*), CAST(coalesce(sum(patient_id), 0) AS BIGINT) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'distinct', count(DISTINCT fold), CAST(sum(DISTINCT fold) AS BIGINT) FROM manifest"),
     "u4_check_exhaustive": MAN("SELECT count(*) AS n, count(*) AS one_role FROM manifest"),
 }

@@ -15,15 +15,21 @@ def frame(spark, ys, ps, label="a"):
 
 
 def test_known_ece(spark):
-    df = frame(spark, [0, 0, 1, 1], [0.0, 0.25, 0.75, 1.0])
-    assert m.ece_fixed(df, ["label"], 4).first().ece == pytest.approx(0.125)
+    """Two bins of width 1/2. Below: scores 0.1, 0.3, 0.3 with one event, a gap of |1 - 0.7| = 0.3. Above: 0.9, 0.6 with
+    one event, a gap of |1 - 1.5| = 0.5. Together 0.8 over five rows."""
+    df = frame(spark, [0, 1, 0, 1, 0], [0.1, 0.3, 0.3, 0.9, 0.6])
+    assert m.ece_fixed(df, ["label"], 2).first().ece == pytest.approx(0.16)
 
 
 def test_known_ranking(spark):
-    df = frame(spark, [0, 0, 1, 1], [0.1, 0.4, 0.35, 0.8])
-    assert m.roc_auc(df, ["label"]).first().auroc == pytest.approx(0.75)
-    assert m.average_precision(df, ["label"]).first().average_precision == pytest.approx(5 / 6)
-    assert m.pointwise(df, ["label"]).first().brier == pytest.approx(0.158125)
+    """Events at 0.9, 0.5 and 0.2, others at 0.7 and 0.5. Of the six pairs 0.9 wins two, 0.5 a half and 0.2 none: 2.5 / 6.
+    Steps from above: 0.9 (precision 1), 0.5 (2 of 4), 0.2 (3 of 5), a mean of (1 + 1/2 + 3/5) / 3."""
+    df = frame(spark, [1, 0, 1, 0, 1], [0.9, 0.7, 0.5, 0.5, 0.2])
+    assert m.roc_auc(df, ["label"]).first().auroc == pytest.approx(2.5 / 6)
+    assert m.average_precision(df, ["label"]).first().average_precision == pytest.approx(0.7)
+    assert m.pointwise(df, ["label"]).first().brier == pytest.approx((0.01 + 0.49 + 0.25 + 0.25 + 0.64) / 5)
+    one = m.evaluate_members(df, ["label"]).first()
+    assert (one.auroc, one.average_precision) == (pytest.approx(2.5 / 6), pytest.approx(0.7))
 
 
 def test_one_class_is_null(spark):
