@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.batches import small_batches
 from evalspark.llm.bytesets import word_counts
 from evalspark.plans.scratch import materialise
 
@@ -142,6 +143,7 @@ def mix_weights(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFram
     kept with probability ``fraction`` if their cell has no tokens either; repeated rows share one decision; an empty
     table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     cells = materialise(docs.select("doc_id", F.xxhash64("text").alias("h"), *[c.alias(n) for n, c in cell_columns(targets).items()]), "cells")
     p = calibrate(cells, targets).select(*CELL, "probability")
     out = cells.join(F.broadcast(p), CELL)
@@ -158,6 +160,7 @@ def sample_mix(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFrame
     tokens); rows with a null doc_id are sampled by their text; repeated rows stay or go together; an empty table gives
     an empty result.
     """
+    small_batches(docs.sparkSession)
     cols = cell_columns(targets)
     p = calibrate(docs.select(*[cols[n].alias(n) for n in (*CELL, "n_tokens")]), targets).select(*CELL, "probability")
     # the row travels as one struct, so that no column of docs can clash with the cells'

@@ -10,6 +10,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.batches import small_batches
 from evalspark.llm.mixing import token_count
 from evalspark.llm.numbering import number_within
 from evalspark.plans.scratch import materialise
@@ -82,6 +83,7 @@ def pack(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET
     result; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     counted = docs.select("doc_id", token_count(F.col("text")).alias("n_tokens"))
     lengths = materialise(counted.withColumn("row", F.monotonically_increasing_id()), "lengths")
     plan = plan_buckets(lengths, n_buckets, budget)

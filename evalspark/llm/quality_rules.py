@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.llm.batches import small_batches
 from evalspark.llm.docstats import CLASSES, COMMON_WORDS, N_COMMON, document_stats
 from evalspark.plans.scratch import materialise
 
@@ -120,6 +121,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     (or null) shares the profile ``*``, which has class histograms only. Other columns of ``docs`` are ignored. The
     counts are written once without the texts, and both passes read them.
     """
+    small_batches(docs.sparkSession)
     stats = materialise(docs.select("doc_id", "lang", document_stats(F.col("text"), F.col("lang")).alias("s")), "docstats")
     out = judged(stats, refined_references(stats, "lang", "s"), "lang", "s", "v")
     return out.select(
@@ -134,6 +136,7 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     Null and empty texts go, as they fail the base rules; repeated rows are each judged alike, those with a null doc_id
     too; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     counts = document_stats(F.col("text"), F.col("lang")).alias("s")
     stats = materialise(docs.select("lang", counts), "docstats")
     # the row travels as one struct, so that no column of docs can clash with the rules'

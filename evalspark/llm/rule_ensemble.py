@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.batches import small_batches
 from evalspark.llm.docstats import document_stats
 from evalspark.plans.scratch import materialise
 
@@ -157,6 +158,7 @@ def score_column(intercept: float, rules: list[tuple[tuple, float]], s: Column)
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each row of ``docs`` as the struct ``doc``, with its ``score``; labels, lang, source and doc_id are no inputs."""
+    small_batches(docs.sparkSession)
     intercept, rules = fit_rules(training_rows(docs, labels))
     counted = docs.select(F.struct("*").alias("doc"), document_stats(F.col("text"), F.lit(None).cast("string")).alias("s"))
     return counted.select("doc", score_column(intercept, rules, F.col("s")).alias("score"))

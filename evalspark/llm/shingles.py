@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.llm.batches import small_batches
 from evalspark.llm.bytesets import mixed, shingle_sets, slices
 from evalspark.plans.scratch import materialise, materialise_buckets
 
@@ -136,6 +137,7 @@ class Corpus:
 
 def corpus(texts: DataFrame) -> Corpus:
     """The members and classes of ``texts`` (doc_id, text_hash, text)."""
+    small_batches(texts.sparkSession)
     rows = texts.select("doc_id", "text_hash", "text").mapInArrow(_members, MEMBERS)
     members = materialise(rows, "members")
     named = members.where("n_shingles > 0 AND doc_id IS NOT NULL")
