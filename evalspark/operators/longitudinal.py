@@ -80,3 +80,62 @@ def follow_up_completeness(obs: DataFrame, bins: int, least: int) -> DataFrame:
     for k in kinds:
         small = small | ((F.col(k) > 0) & (F.col(k) < least))
     return cells.select("bin", *[F.when(~small, F.col(k)).alias(k) for k in kinds], small.alias("suppressed"))
+
+
+#: L1: what happens to patients without a whole horizon: all stay, those below the minimum go, all of them go.
+POLICIES = ("keep_all", "exclude_below_minimum", "require_complete_horizon")
+
+
+def build_cohort(
+    enc: DataFrame, index: DataFrame, history_days: int, horizon_days: int, minimum_days: int, policy: str = "keep_all"
+) -> DataFrame:
+    """Like ``build_timelines``, with an index time for each patient (patient_id, index_at), a minimum of
+    follow-up and a censoring policy. Every indexed patient has a row; ``excluded`` says why one isn't in the cohort
+    (``no_history``, ``censoring``, or ``observation_ends_early`` if an encounter is later than the observation).
+
+    Follow-up is complete through the horizon's end, else insufficient below the minimum, else right-censored.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {POLICIES}")
+    met = index.select("patient_id", F.col("index_at").cast("timestamp").alias("index_at")).join(enc, "patient_id", "left")
+    past, later = time_windows(F.col("occurred_at"), F.col("index_at"), history_days, horizon_days)
+    item = F.struct(F.col("occurred_at").alias("at"), F.col("encounter_id").alias("id"), F.col("event_label").alias("label"))
+    rows = met.groupBy("patient_id", "index_at").agg(
+        F.array_sort(F.collect_list(F.when(past, item))).alias("history"),
+        F.array_sort(F.collect_list(F.when(later, item))).alias("future"),
+        F.max(F.when(past, F.col("occurred_at"))).alias("last_history_at"),
+        F.max("occurred_at").alias("latest"), F.max("observed_through").alias("observed_through"),
+    )
+    seen, days = F.col("observed_through"), lambda n: F.make_dt_interval(F.lit(n))
+    complete = F.coalesce(seen >= F.col("index_at") + days(horizon_days), F.lit(False))
+    enough = F.coalesce(seen >= F.col("index_at") + days(minimum_days), F.lit(False))
+    status = F.when(complete, "complete").when(enough, "right_censored").otherwise("insufficient")
+    strict = {"keep_all": F.lit(False), "exclude_below_minimum": status == "insufficient", "require_complete_horizon": status != "complete"}
+    why = F.when(F.coalesce(seen < F.col("latest"), F.lit(False)), "observation_ends_early").when(F.size("history") == 0, "no_history")
+    return rows.select(
+        "patient_id", "index_at", "history", "future", "last_history_at", status.alias("follow_up"),
+        why.when(strict[policy], "censoring").alias("excluded"),
+    )
+
+
+def cohort_summary(cohort: DataFrame) -> DataFrame:
+    """L1: one row: patients in, included, excluded by reason, and the included ones by follow-up."""
+    kept = F.col("excluded").isNull()
+    reasons, states = ("no_history", "censoring", "observation_ends_early"), ("complete", "right_censored", "insufficient")
+    return cohort.agg(
+        F.count(F.lit(1)).alias("patients"), F.count_if(kept).alias("included"),
+        *[F.count_if(F.col("excluded") == r).alias(f"excluded_{r}") for r in reasons],
+        *[F.count_if(kept & (F.col("follow_up") == s)).alias(s) for s in states],
+    )
+
+
+def follow_up_fractions(obs: DataFrame, bins: int, least: int) -> DataFrame:
+    """Like ``follow_up_completeness`` for every bin, empty ones too, with the fractions of each status."""
+    kinds = ["observed", "censored", "insufficient"]
+    dim = obs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    met = F.broadcast(dim).join(follow_up_completeness(obs, bins, least), "bin", "left")
+    hidden = F.coalesce("suppressed", F.lit(False))
+    counts = {k: F.when(~hidden, F.coalesce(k, F.lit(0).cast("long"))) for k in kinds}
+    total = sum((counts[k] for k in kinds[1:]), counts[kinds[0]])
+    status = F.when(hidden, "suppressed").when(total == 0, "empty").otherwise("reported")
+    return met.select("bin", *[c.alias(k) for k, c in counts.items()], *[F.when(total > 0, c / total).alias(f"{k}_fraction") for k, c in counts.items()], status.alias("status"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.joins import small
+
 STATES = ("ACCEPT", "REVIEW", "ABSTAIN", "REACQUIRE", "INVALID")
 BINS = 10
 #: Severity ladders: rate differences and population stability index.
@@ -92,3 +94,30 @@ def stream_alert_state(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], seen, invalid, SEVERITIES[sum(rate >= s for s in RATE_STEPS)])], columns=["release_id", "seen", "invalid", "severity"])
 
     return stream.groupBy("release_id").applyInPandasWithState(step, ALERT_SCHEMA, "seen long, invalid long", "update", "NoTimeout")
+
+
+def reason_counts(events: DataFrame, width: str, watermark: str | None = None) -> DataFrame:
+    """(start, reason, n) for each window, from events with an array of ``reasons``; works on streams and tables."""
+    src = events.withWatermark("ts", watermark) if watermark else events
+    long = src.select("ts", F.explode("reasons").alias("reason"))
+    return long.groupBy(F.window("ts", width).alias("w"), "reason").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "reason", "n")
+
+
+def reason_deltas(counts: DataFrame, totals: DataFrame, reference: DataFrame) -> DataFrame:
+    """(start, reason, delta): each window's rate of a reason less the reference's (reason, rate), zero-filled.
+
+    ``totals`` has a row (start, total) for each window. Reasons are few, so their table is broadcast; one that the
+    reference doesn't know has the rate 0 there.
+    """
+    known = reference.select("reason").unionByName(counts.select("reason")).distinct()
+    grid = totals.select("start", "total").join(small(known), F.lit(True))
+    met = grid.join(counts, ["start", "reason"], "left").join(small(reference.select("reason", F.col("rate").alias("__rate"))), "reason", "left")
+    rate = F.coalesce("n", F.lit(0)) / F.col("total")
+    return met.select("start", "reason", (rate - F.coalesce("__rate", F.lit(0.0))).alias("delta"))
+
+
+def order_faults(windows: DataFrame, series: list[str], index: str) -> DataFrame:
+    """T4: windows whose index doesn't rise over the one that arrived before (``arrival``), by series. A series has one
+    row for each window of time."""
+    before = F.lag(index).over(Window.partitionBy(*series).orderBy("arrival"))
+    return windows.withColumn("before", before).where(F.col("before") >= F.col(index)).select(*series, "arrival", index, "before")
