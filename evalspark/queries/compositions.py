@@ -31,8 +31,8 @@ def a32_explanation_summary(spark, d):
 
 def x1_udtf_explode_wave(spark, d):
     spark.udtf.register("ev_explode_wave", c.ExplodeWave)
-    fixture(spark, d, "wave").where("lead_idx = 1").createOrReplaceTempView("ev_wave")
-    return spark.sql("SELECT record_id, x.i, x.t, round(x.value, 6) AS value FROM ev_wave, LATERAL ev_explode_wave(samples, fs) x")
+    fixture(spark, d, "wave").createOrReplaceTempView("ev_wave")
+    return spark.sql("SELECT record_id, lead_idx, x.i, x.t, round(x.value, 6) AS value FROM ev_wave, LATERAL ev_explode_wave(samples, fs) x")
 
 
 def c4_mapping_status(spark, d):
@@ -44,6 +44,6 @@ QUERIES = {f.__name__: f for f in (m14_source_calibration, q18_candidate_gate, a
 
 ORACLE_SQL = {
     "a32_explanation_summary": with_fixtures(["wave"], "WITH a AS (SELECT CASE WHEN lead_idx % 2 = 0 THEN 'guided' ELSE 'random' END AS method, record_id % 3 AS label, list_sum(list_transform(range(1, len(samples)), lambda i: (CAST(samples[i] AS DOUBLE) + CAST(samples[i + 1] AS DOUBLE)) / 2 / 63.0)) AS area FROM wave), g AS (SELECT method, label, count(*) AS n, avg(area) AS area FROM a GROUP BY ALL) SELECT g.method, g.label, g.n, round(g.area, 6) AS area, round(g.area - b.area, 6) AS advantage FROM g JOIN g b ON g.label = b.label AND b.method = 'random'"),
-    "x1_udtf_explode_wave": with_fixtures(["wave"], "SELECT record_id, CAST(i - 1 AS INTEGER) AS i, (i - 1) / 100.0 AS t, round(CAST(samples[i] AS DOUBLE), 6) AS value FROM wave, range(1, 65) r(i) WHERE lead_idx = 1"),
+    "x1_udtf_explode_wave": with_fixtures(["wave"], "SELECT record_id, lead_idx, CAST(i - 1 AS INTEGER) AS i, (i - 1) / 100.0 AS t, round(CAST(samples[i] AS DOUBLE), 6) AS value FROM wave, range(1, 65) r(i)"),
     "c4_mapping_status": with_fixtures(["manifest"], "SELECT record_id, CASE WHEN record_id % 3 > 0 AND record_id % 2 > 0 THEN 'mapped_with_ambiguous' WHEN record_id % 3 > 0 THEN 'mapped' WHEN record_id % 2 > 0 THEN 'ambiguous_only' ELSE 'unmapped' END AS status FROM manifest"),
 }

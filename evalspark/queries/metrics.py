@@ -99,7 +99,7 @@ def a8_ace_equal_mass(spark, d):
 
 
 def a9_ece_sweep(spark, d):
-    return rounded(m.ece_sweep(_one(spark, d), KEYS, 20))
+    return rounded(m.ece_sweep(_one(spark, d), KEYS))
 
 
 def a11_reliability_curve(spark, d):
@@ -167,7 +167,7 @@ def m13_select_architecture(spark, d):
 
 
 def w1_stable_rank(spark, d):
-    return rounded(s.stable_rank(_one(spark, d).where("li = 1").select("label", "record_id", "prob"), ["label"], "prob", "record_id"))
+    return rounded(s.stable_rank(_one(spark, d).select("label", "record_id", "prob"), ["label"], "prob", "record_id"))
 
 
 def w2_selective_points(spark, d):
@@ -223,7 +223,7 @@ SELECT b, cluster, count(*) AS weight FROM g GROUP BY b, cluster""",
     "a7_macro_metrics": _sql(f"WITH {HIST}, {AUC}, {AP} SELECT model_id, round(avg(auroc), 5) AS macro_auroc, round(avg(average_precision), 5) AS macro_average_precision, count(auroc) AS labels_auroc, count(average_precision) AS labels_average_precision FROM auc JOIN ap USING (model_id, label) GROUP BY model_id"),
     "a8_ace_equal_mass": _sql(f"WITH {RANKED}, {BINS} SELECT model_id, label, round(sum(n * abs(p_mean - event_rate)) / sum(n), 6) AS ace FROM curve GROUP BY ALL"),
     "a9_ece_sweep": _sql(f"""WITH {RANKED}, g AS (SELECT model_id, label, prob, target, n, b,
-  CASE WHEN r < (n % b) * (floor(n / b) + 1) THEN floor(r / (floor(n / b) + 1)) ELSE (n % b) + floor((r - (n % b) * (floor(n / b) + 1)) / greatest(floor(n / b), 1)) END AS bin FROM ranked, range(1, 21) t(b) WHERE b <= n),
+  CASE WHEN r < (n % b) * (floor(n / b) + 1) THEN floor(r / (floor(n / b) + 1)) ELSE (n % b) + floor((r - (n % b) * (floor(n / b) + 1)) / greatest(floor(n / b), 1)) END AS bin FROM ranked, range(1, 101) t(b) WHERE b <= n),
 c AS (SELECT model_id, label, b, n, bin, sum(target) AS y, sum(prob) AS p, avg(CAST(target AS DOUBLE)) AS rate FROM g GROUP BY ALL), f AS (SELECT *, rate < lag(rate) OVER (PARTITION BY model_id, label, b ORDER BY bin) AS fell FROM c),
 e AS (SELECT model_id, label, b, coalesce(bool_or(fell), false) AS fell, sum(abs(y - p)) / max(n) AS error FROM f GROUP BY ALL)
 SELECT model_id, label, max(b) AS bins, round(arg_max(error, b), 6) AS ece_sweep FROM e WHERE NOT fell GROUP BY ALL"""),
@@ -253,7 +253,7 @@ SELECT 'm2026' AS model_id, n, k, cutoff, (SELECT count(*) FROM losses WHERE unc
     "m13_select_architecture": _sql(f"""WITH {HIST}, {AUC}, b AS (SELECT label AS architecture, avg(auroc) AS mean_score FROM auc GROUP BY label), t AS (SELECT label AS architecture, CAST(substr(model_id, 2, 4) AS BIGINT) AS best_trial, row_number() OVER (PARTITION BY label ORDER BY auroc DESC, model_id) AS i FROM auc),
 r AS (SELECT *, CAST(row_number() OVER w AS INT) AS place, mean_score - lead(mean_score) OVER w AS lead_ FROM b WINDOW w AS (ORDER BY mean_score DESC, architecture))
 SELECT architecture, best_trial, round(mean_score, 5) AS mean_score, place, CASE WHEN place = 1 AND lead_ > 0.005 THEN 'winner' WHEN place = 1 THEN 'tie' ELSE 'other' END AS verdict FROM r JOIN t USING (architecture) WHERE i = 1"""),
-    "w1_stable_rank": _sql("WITH r AS (SELECT label, record_id, prob, row_number() OVER (PARTITION BY label ORDER BY prob, record_id) AS rank FROM pred WHERE seed = 2026 AND li = 1) SELECT label, record_id, round(prob, 6) AS prob, rank, round(avg(rank) OVER (PARTITION BY label, prob), 6) AS average_rank FROM r"),
+    "w1_stable_rank": _sql("WITH r AS (SELECT label, record_id, prob, row_number() OVER (PARTITION BY label ORDER BY prob, record_id) AS rank FROM pred WHERE seed = 2026) SELECT label, record_id, round(prob, 6) AS prob, rank, round(avg(rank) OVER (PARTITION BY label, prob), 6) AS average_rank FROM r"),
     "w2_selective_points": _sql(f"""WITH {LOSSES}, r AS (SELECT *, row_number() OVER w AS k, count(*) OVER () AS n, sum(hamming) OVER w AS h, sum(exact_error) OVER w AS e FROM losses WINDOW w AS (ORDER BY uncertainty, record_id)), c AS (SELECT * FROM (VALUES (0.5), (0.8), (1.0)) AS t(target_coverage))
 SELECT model_id, k, round(k / n, 6) AS coverage, uncertainty AS cutoff, round(h / k, 6) AS risk_hamming, round(CAST(e AS DOUBLE) / k, 6) AS risk_exact_error, CAST(target_coverage AS DOUBLE) AS target_coverage FROM r, c WHERE k = ceil(round(target_coverage * n, 9))"""),
     "w3_risk_coverage": _sql(f"""WITH {LOSSES}, r AS (SELECT *, row_number() OVER w AS k, count(*) OVER () AS n, sum(hamming) OVER w AS h, sum(brier) OVER w AS b FROM losses WINDOW w AS (ORDER BY uncertainty, record_id))

@@ -180,7 +180,7 @@ def q16_wave_fingerprint(spark, d):
 
 
 def x1_explode_wave(spark, d):
-    return _wave(spark, d).where("lead_idx = 0").select("record_id", "fs", F.posexplode("samples").alias("i", "v")).select("record_id", "i", (F.col("i") / F.col("fs")).alias("t"), F.round(F.col("v").cast("double"), 6).alias("value"))
+    return _wave(spark, d).select("record_id", "lead_idx", "fs", F.posexplode("samples").alias("i", "v")).select("record_id", "lead_idx", "i", (F.col("i") / F.col("fs")).alias("t"), F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -257,5 +257,5 @@ CASE WHEN bad OR (sa IS NULL AND sb IS NULL) THEN NULL WHEN sa IS NOT NULL AND (
     "q12_perturbation": WAV(f"WITH x AS (SELECT record_id, {_S} AS s FROM wave), p AS (SELECT record_id, len(s) AS n, list_sum(list_transform(s[11:30], lambda v: v * v)) AS q, list_max(list_transform(s[11:30], lambda v: abs(v))) AS m, len(list_filter(s[11:30], lambda v: abs(v) > 1e-9)) AS c FROM x) SELECT record_id, round(sqrt(sum(q) / sum(n)), 5) AS rms, round(max(m), 5) AS largest, round(sum(c) / sum(n), 5) AS changed FROM p GROUP BY 1"),
     "q13_similarity": WAV(f"WITH x AS (SELECT record_id, lead_idx, {_S} AS s FROM wave) SELECT a.record_id, a.lead_idx, round(list_cosine_similarity(a.s, b.s), 6) AS cosine FROM x a JOIN x b ON a.record_id = b.record_id AND b.lead_idx = a.lead_idx + 1"),
     "q16_wave_fingerprint": WAV("WITH l AS (SELECT record_id, lead_idx, sha256(array_to_string(list_transform(samples, lambda v: CAST(CAST(round(CAST(v AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS h FROM wave) SELECT record_id, sha256(string_agg(h, '|' ORDER BY lead_idx)) AS fingerprint FROM l GROUP BY 1"),
-    "x1_explode_wave": WAV("SELECT record_id, CAST(i - 1 AS INTEGER) AS i, (i - 1) / 100.0 AS t, round(CAST(samples[i] AS DOUBLE), 6) AS value FROM wave, range(1, 65) r(i) WHERE lead_idx = 0"),
+    "x1_explode_wave": WAV("SELECT record_id, lead_idx, CAST(i - 1 AS INTEGER) AS i, (i - 1) / 100.0 AS t, round(CAST(samples[i] AS DOUBLE), 6) AS value FROM wave, range(1, 65) r(i)"),
 }

@@ -206,7 +206,7 @@ def j3_paired_models(spark, d):
 
 def j6_subgroup_join(spark, d):
     g = fixture(spark, d, "subgroups").withColumn("group_value", F.coalesce("group_value", F.lit("<MISSING>")))
-    return _pred(spark, d).where("li = 1").join(g, "record_id").groupBy("attribute", "group_value").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("patients"), F.sum(F.col("target").cast("long")).alias("positives"))
+    return _pred(spark, d).join(g, "record_id").groupBy("label", "attribute", "group_value").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("patients"), F.sum(F.col("target").cast("long")).alias("positives"))
 
 
 def j7_completed(spark, d):
@@ -376,7 +376,7 @@ SELECT record_id, string_agg(label, ',' ORDER BY li) AS incoherent FROM y JOIN b
     "x2_sql_functions": PRED(f"SELECT record_id, label, round({_SIG('logit')}, 6) AS s, round({_H}, 6) AS h, round(-(abs(logit) / 2 + ln(1 + exp(-abs(logit)))), 6) AS e FROM pred WHERE seed = 2026"),
     "j2_ontology_coverage": MAN(f"WITH u AS (SELECT DISTINCT dataset, unnest({_CODES}) AS code FROM manifest), dd AS (SELECT ds AS dataset, 'C' || CAST(k AS VARCHAR) AS code FROM (VALUES ('en'), ('de'), ('it')) AS t(ds), range(7) r(k)) SELECT *, 'missing' AS side FROM (SELECT DISTINCT * FROM u EXCEPT SELECT * FROM dd) UNION ALL SELECT *, 'extra' AS side FROM (SELECT * FROM dd EXCEPT SELECT * FROM u)"),
     "j3_paired_models": PRED("SELECT label, count(*) AS n, round(avg(a.prob - b.prob), 6) AS mean_difference FROM pred a JOIN pred b USING (record_id, label) WHERE a.seed = 2026 AND b.seed = 2027 GROUP BY label"),
-    "j6_subgroup_join": PRED("SELECT attribute, coalesce(group_value, '<MISSING>') AS group_value, count(*) AS n, count(DISTINCT patient_id) AS patients, CAST(sum(target) AS BIGINT) AS positives FROM pred JOIN subgroups USING (record_id) WHERE seed = 2026 AND li = 1 GROUP BY 1, 2", "subgroups"),
+    "j6_subgroup_join": PRED("SELECT label, attribute, coalesce(group_value, '<MISSING>') AS group_value, count(*) AS n, count(DISTINCT patient_id) AS patients, CAST(sum(target) AS BIGINT) AS positives FROM pred JOIN subgroups USING (record_id) WHERE seed = 2026 GROUP BY 1, 2, 3", "subgroups"),
     "j7_completed": "WITH s AS (SELECT DISTINCT conv_id AS participant, turn AS trial FROM conversations WHERE turn < 4), r AS (SELECT DISTINCT conv_id AS participant, turn AS trial FROM conversations WHERE role <> 'assistant' OR conv_id % 3 = 0), k AS (SELECT r.* FROM r JOIN s USING (participant, trial)), f AS (SELECT participant FROM s GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM k WHERE k.participant = s.participant)) SELECT k.* FROM k JOIN f USING (participant)",
     "j8_co_occurrence": PRED("WITH y AS (SELECT record_id, label FROM pred WHERE seed = 2026 AND prob >= 0.5) SELECT a.label AS label_a, b.label AS label_b, count(*) AS n FROM y a JOIN y b ON a.record_id = b.record_id AND a.label <= b.label GROUP BY 1, 2"),
     "j9_frozen_set_diff": MAN("SELECT record_id, 'removed' AS status FROM manifest WHERE record_id % 10 = 0 UNION ALL SELECT record_id, 'changed' FROM manifest WHERE record_id % 10 = 1 UNION ALL SELECT -record_id - 1, 'added' FROM manifest WHERE record_id % 50 = 0"),
