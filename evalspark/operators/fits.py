@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.expressions import adjust_to_prior
+from evalspark.operators.joins import small
 from evalspark.plans.prims import prefix_scan
 from evalspark.plans.scratch import materialise
 
@@ -46,9 +47,9 @@ def fit_temperature(pred: DataFrame, keys: list[str], low: float = 0.05, high: f
     Labels of one class are left out. The search is over 1 / T, in which the loss is convex.
     """
     two = pred.groupBy(*keys, "label").agg(F.min("target").alias("a"), F.max("target").alias("b")).where("a < b").select(*keys, "label")
-    use = pred.join(F.broadcast(two), [*keys, "label"]).select(*keys, "logit", "target")
+    use = pred.join(small(two), [*keys, "label"]).select(*keys, "logit", "target")
     fit = bracketed(use, keys, lambda c: softplus_loss(F.col("logit") * c, F.col("target")), 1 / high, 1 / low)
-    losses = use.join(F.broadcast(fit), keys).groupBy(*keys).agg(F.first("best").alias("best"), F.sum(softplus_loss(F.col("logit") * F.col("best"), F.col("target"))).alias("l"), F.sum(softplus_loss(F.col("logit"), F.col("target"))).alias("l1"))
+    losses = use.join(small(fit), keys).groupBy(*keys).agg(F.first("best").alias("best"), F.sum(softplus_loss(F.col("logit") * F.col("best"), F.col("target"))).alias("l"), F.sum(softplus_loss(F.col("logit"), F.col("target"))).alias("l1"))
     return losses.select(*keys, F.when(F.col("l1") - F.col("l") > 1e-12, 1 / F.col("best")).otherwise(1.0).alias("temperature"))
 
 
@@ -131,7 +132,7 @@ def weak_calibration(pred: DataFrame, keys: list[str]) -> DataFrame:
     fit = newton_logistic(pred, keys, 1e-9)
     large = newton_logistic(pred, keys, 0.0, fixed_slope=True).select(*keys, F.col("intercept").alias("in_the_large"))
     # one row for each model and label in each of these
-    met = ratio.join(F.broadcast(fit), keys).join(F.broadcast(large), keys)
+    met = ratio.join(small(fit), keys).join(small(large), keys)
     return met.select(*keys, "oe_ratio", "slope", "intercept", "in_the_large", "reason")
 
 
@@ -231,7 +232,7 @@ def tie_aware_bins(hist: DataFrame, keys: list[str], bins: int) -> DataFrame:
     asked = F.slice("__best", F.lit(1), F.col("__w").cast("int"))
     start = F.array().cast("array<bigint>")
     cuts = F.when(F.col("__m") > F.col("__w"), F.aggregate(asked, start, settle))
-    met = cum.join(F.broadcast(places.select(*keys, cuts.alias("__cuts"))), keys)
+    met = cum.join(small(places.select(*keys, cuts.alias("__cuts"))), keys)
     held = F.size(F.filter("__cuts", lambda c: c < F.col("__d")))
     own = F.when(F.col("__cuts").isNull(), F.col("__d") - 1).otherwise(held)
     return met.select(*hist.columns, own.cast("int").alias("__bin"))

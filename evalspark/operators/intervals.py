@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.joins import small
 from evalspark.operators.metrics import METRICS, metrics_of_hist
 from evalspark.operators.selective import area_of_ties
 from evalspark.plans.prims import draw, prefix_scan
@@ -30,7 +31,7 @@ def drawn_clusters(numbered: DataFrame, keys: list[str], replicates: int, seed:
     """
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
     # a row for each key
-    places = numbered.select(*keys, "__i").join(F.broadcast(sizes), keys)
+    places = numbered.select(*keys, "__i").join(small(sizes), keys)
     every = places.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = every.select(*keys, "b", (draw(seed, F.col("b"), F.col("__i")) % F.col("__c")).alias("__i"))
     return drawn.groupBy(*keys, "b", "__i").agg(F.count(F.lit(1)).alias("__w"))
@@ -119,7 +120,7 @@ def exact_lower(k: Column, n: Column, confidence: float = 0.95) -> Column:
 def rate_gate(bounds: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     """Passes where the one-sided bound is within its limit (``at_most`` or ``at_least``), with what it rests on:
     records, events, records without the event, and clusters. Limits are one row for each key."""
-    met = bounds.join(F.broadcast(limits), keys)
+    met = bounds.join(small(limits), keys)
     most = F.col("kind") == "at_most"
     bound = F.when(most, F.col("one_sided_high")).otherwise(F.col("one_sided_low")).alias("bound")
     ok = F.when(most, F.col("one_sided_high") <= F.col("limit")).otherwise(F.col("one_sided_low") >= F.col("limit"))

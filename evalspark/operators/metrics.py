@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.joins import small
 from evalspark.plans.prims import prefix_scan, score_hist
 
 EPS = 1e-12
@@ -221,7 +222,7 @@ def subgroup_audit(
     on = F.col("uncertainty") <= F.col("maximum_entropy")
     error = (F.col("prob") - F.col("target")) * (F.col("prob") - F.col("target"))
     # one gate for each model and target
-    gated = met.join(F.broadcast(gates.select("model_id", "maximum_entropy")), "model_id").groupBy(*at).agg(
+    gated = met.join(small(gates.select("model_id", "maximum_entropy")), "model_id").groupBy(*at).agg(
         F.avg(on.cast("double")).alias("coverage"), F.avg(F.when(on, error)).alias("accepted_brier")
     )
     return rows.join(gated, at)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.joins import small
 from evalspark.plans.prims import prefix_scan, score_hist
 
 
@@ -59,7 +60,7 @@ def fit_conformal(pred: DataFrame, keys: list[str], alpha: float) -> DataFrame:
 
 def predict_sets(pred: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
     """M8: which of both classes are in the set, and the decision that follows."""
-    joined = pred.join(F.broadcast(fit.select(*keys, "cutoff")), keys)
+    joined = pred.join(small(fit.select(*keys, "cutoff")), keys)
     neg, pos = F.round(F.col("prob"), 9) <= F.col("cutoff"), F.round(1 - F.col("prob"), 9) <= F.col("cutoff")
     state = F.when(pos & ~neg, "supported").when(neg & ~pos, "not_supported").otherwise("uncertain")
     return joined.select(*pred.columns, neg.alias("has_negative"), pos.alias("has_positive"), state.alias("decision_set"))
@@ -148,7 +149,7 @@ def excess_aurc(losses: DataFrame, keys: list[str], loss: str) -> DataFrame:
 def frozen_gate_audit(losses: DataFrame, gates: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Coverage and accepted risk of each frozen cutoff; risk is null where nothing is accepted."""
     on = F.col("uncertainty") <= F.col("maximum_entropy")
-    met = losses.join(F.broadcast(gates), "model_id")
+    met = losses.join(small(gates), "model_id")
     return met.groupBy(*keys, "target_coverage").agg(
         F.count(F.lit(1)).alias("n"), F.sum(on.cast("long")).alias("accepted"), F.avg(on.cast("double")).alias("coverage"),
         *[F.avg(F.when(on, F.col(n))).alias(f"accepted_{n}") for n in names],

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.joins import small
 
 def review_summary(reviews: DataFrame, least: int) -> DataFrame:
     """Per proposal with enough reviews its rating moments and share of agreeing pairs, from counts alone."""
@@ -43,7 +44,7 @@ def route_counts(df: DataFrame, dims: list[str], values: list[DataFrame]) -> Dat
     """Counts of every combination, zeros included; the value tables are small dimensions."""
     grid = values[0]
     for v in values[1:]:
-        grid = grid.join(F.broadcast(v), F.lit(True))
+        grid = grid.join(small(v), F.lit(True))
     counts = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, dims, "left").fillna(0, ["n"])
 
@@ -78,7 +79,7 @@ def verify_chain(log: DataFrame) -> DataFrame:
 
 def keyed_order(participants: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     """Each participant's cases in an order by keyed hash; a case list is small, so the window is a participant's."""
-    pairs = participants.join(F.broadcast(cases), F.lit(True))
+    pairs = participants.join(small(cases), F.lit(True))
     order = F.sha2(F.concat_ws("|", F.lit(key), F.col("participant").cast("string"), F.col("case_id").cast("string")), 256)
     return pairs.select("participant", "case_id", F.row_number().over(Window.partitionBy("participant").orderBy(order)).alias("ordinal"))
 
