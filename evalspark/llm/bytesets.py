@@ -16,6 +16,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240607).integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = _RANDOM[300]
+#: Bytes that are hashed at a time; a worker holds some 50 bytes for each of them.
+PIECE = 1 << 17
 
 
 def _inverse(x: int) -> int:
@@ -87,9 +89,9 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     """
     out = np.empty(len(starts), np.uint64)
     at = 0
-    while at < len(starts):  # in pieces of about 1 MB, at word ends
+    while at < len(starts):  # in pieces of about PIECE bytes, at word ends
         lo = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, lo + (1 << 20), "right")))
+        to = max(at + 1, int(np.searchsorted(ends, lo + PIECE, "right")))
         piece = raw[lo : ends[to - 1]]
         codes = _RANDOM[(_LOWER[piece] if lower else piece)]
         powers = _powers(len(piece) + 1)

@@ -31,8 +31,6 @@ from evalspark.plans.scratch import discard, materialise
 
 #: Least hashes by which classes meet before segments are made.
 FIRST_KEYS = 8
-#: Rounds in which members of a segment meet a hub, and the hubs that a class meets in odd ones.
-HUB_ROUNDS, SPOKES = 2, 4
 #: Segments of more members than this are compared by families, in blocks of about BLOCK members and COLUMNS tokens.
 CROWDED, BLOCK, COLUMNS = 32, 512, 4096
 
@@ -63,7 +61,7 @@ def first_links(sets: DataFrame) -> DataFrame:
         _min_hashes, "key long, cid long, size long, mass double"
     )
     named = rows.withColumns({"comp": F.col("cid"), "probe": F.lit(True)})
-    return materialise(verified(hub_pairs(named, 0), sets), "links")
+    return materialise(verified(hub_pairs(named), sets), "links")
 
 
 def _segment_rows(deletions: bool):
@@ -304,20 +302,15 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def hub_pairs(rows: DataFrame, round_: int) -> DataFrame:
+def hub_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of a probing member of a segment with the segment's hub, if they are in different components.
 
-    In even rounds the hub is the member of the greatest mass, so that a group of edited copies meets the text it was
-    made from. In odd rounds each segment has a hub of its own by hash, and a class meets those of SPOKES segments.
+    The hub is the member of the greatest mass, so that a group of edited copies meets the text it was made from.
     """
-    order = F.struct("mass", "cid") if round_ % 2 == 0 else F.struct(F.xxhash64("key", "cid", F.lit(round_)).alias("mass"), "cid")
-    hubs = rows.groupBy("key").agg(F.max_by(F.struct("cid", "size", "comp"), order).alias("hub"))
-    probes = rows.where("probe")
-    if round_ % 2:
-        pick = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("key", F.lit(round_)), "key"))
-        probes = probes.withColumn("i", pick).where(F.col("i") <= SPOKES).drop("i")
-    met = probes.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & _near(F.col("size"), F.col("hub.size")))
-    return _pairs(met.select(F.col("cid").alias("x"), F.col("hub.cid").alias("y")))
+    hub = F.max_by(F.struct("cid", "size", "comp"), F.struct("mass", "cid")).alias("hub")
+    met = rows.where("probe").join(rows.groupBy("key").agg(hub), "key")
+    apart = (F.col("comp") != F.col("hub.comp")) & _near(F.col("size"), F.col("hub.size"))
+    return _pairs(met.where(apart).select(F.col("cid").alias("x"), F.col("hub.cid").alias("y")))
 
 
 def unsettled(rows: DataFrame) -> DataFrame:
@@ -420,11 +413,9 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     """Links (x, y) that connect the same components as all links between classes do."""
     links = first_links(sets)
     rows = plain_allocation(with_components(sets, links))
-    for round_ in range(HUB_ROUNDS):
-        found = verified(hub_pairs(rows, round_), sets)
-        before, links = links, materialise(links.unionByName(found), "links")
-        last, rows = rows, materialise(with_components(rows.drop("comp"), links), "labelled")
-        discard(before, last)
+    before, links = links, materialise(links.unionByName(verified(hub_pairs(rows), sets)), "links")
+    last, rows = rows, materialise(with_components(rows.drop("comp"), links), "labelled")
+    discard(before, last)
     left = cheaper_allocation(rows, sets)
     whole = whole_bands(sets)
     if whole is not None:
