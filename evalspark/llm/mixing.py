@@ -82,7 +82,7 @@ def rake(tokens: np.ndarray, margins: list[np.ndarray], fraction: float, sweeps:
     """Weights with the given margins (shares of ``fraction`` of all tokens), at most ``tokens`` in each cell.
 
     Plain proportional fitting, but cells that have reached their bound stay there and the others make up for them.
-    Where the bounds make the margins impossible, the last sweep's weights are returned.
+    Where the bounds make the margins impossible, the last sweep's weights are returned; ``margin_gap`` tells.
     """
     total = tokens.sum() * fraction
     w = tokens * fraction
@@ -103,6 +103,13 @@ def rake(tokens: np.ndarray, margins: list[np.ndarray], fraction: float, sweeps:
     return w
 
 
+def margin_gap(w: np.ndarray, margins: list[np.ndarray], fraction: float, tokens: np.ndarray) -> float:
+    """The largest distance of a level's weight from its target, as a share of all weight that was asked for."""
+    total = max(float(tokens.sum() * fraction), 1e-300)
+    axes = [tuple(i for i in range(w.ndim) if i != axis) for axis in range(w.ndim)]
+    return max(float(np.abs(w.sum(axis=other) - share * total).max() / total) for other, share in zip(axes, margins))
+
+
 def calibrate(cells: DataFrame, targets: MixTargets) -> DataFrame:
     """Each cell with its sampling probability; ``cells`` has c_source, c_lang, c_topic and n_tokens by document.
 
@@ -111,7 +118,7 @@ def calibrate(cells: DataFrame, targets: MixTargets) -> DataFrame:
     """
     spark = cells.sparkSession
     rows = cells.groupBy("c_source", "c_lang", "c_topic").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
-    schema = "c_source string, c_lang string, c_topic string, tokens long, docs long, target_tokens double, probability double"
+    schema = "c_source string, c_lang string, c_topic string, tokens long, docs long, target_tokens double, probability double, margin_gap double"
     if not rows:
         return spark.createDataFrame([], schema)
     names = [sorted({r[i] for r in rows}) for i in range(3)]
@@ -120,11 +127,12 @@ def calibrate(cells: DataFrame, targets: MixTargets) -> DataFrame:
     for place, r in zip(at, rows):
         tokens[place] = r.tokens
     if tokens.sum() == 0:
-        return spark.createDataFrame([(*r, 0.0, targets.fraction) for r in rows], schema)
+        return spark.createDataFrame([(*r, 0.0, targets.fraction, 0.0) for r in rows], schema)
     wanted = (targets.sources, targets.langs, targets.topics)
     margins = [_shares(names[i], tokens.sum(axis=tuple(j for j in range(3) if j != i)), wanted[i]) for i in range(3)]
     w = rake(tokens, margins, targets.fraction)
-    out = [(*r, float(w[p]), float(w[p] / tokens[p]) if tokens[p] else targets.fraction) for p, r in zip(at, rows)]
+    gap = margin_gap(w, margins, targets.fraction, tokens)
+    out = [(*r, float(w[p]), float(w[p] / tokens[p]) if tokens[p] else targets.fraction, gap) for p, r in zip(at, rows)]
     return spark.createDataFrame(out, schema)
 
 
@@ -137,7 +145,10 @@ CELL = ["c_source", "c_lang", "c_topic"]
 
 
 def mix_weights(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFrame:
-    """One row per document: doc_id, its cell, n_tokens, probability, weight (1 / probability) and kept.
+    """One row per document: doc_id, its cell, n_tokens, probability, weight (1 / probability), kept and margin_gap.
+
+    ``margin_gap`` is the same in all rows: how far the raked weights miss a target at most (``margin_gap``), which is
+    more than rounding only where the cells don't hold enough tokens for the targets.
 
     Null sources and languages and unnamed ones fall in the level ``*``; null and empty texts have no tokens and are
     kept with probability ``fraction`` if their cell has no tokens either; repeated rows share one decision; an empty
@@ -145,11 +156,11 @@ def mix_weights(docs: DataFrame, targets: MixTargets = MixTargets()) -> DataFram
     """
     small_batches(docs.sparkSession)
     cells = materialise(docs.select("doc_id", F.xxhash64("text").alias("h"), *[c.alias(n) for n, c in cell_columns(targets).items()]), "cells")
-    p = calibrate(cells, targets).select(*CELL, "probability")
+    p = calibrate(cells, targets).select(*CELL, "probability", "margin_gap")
     out = cells.join(F.broadcast(p), CELL)
     return out.select(
         "doc_id", F.col("c_source").alias("source_level"), F.col("c_lang").alias("lang_level"), F.col("c_topic").alias("topic"), "n_tokens", "probability",
-        F.when(F.col("probability") > 0, 1 / F.col("probability")).alias("weight"), (uniform(F.col("doc_id"), F.col("h"), targets.seed) < F.col("probability")).alias("kept"),
+        F.when(F.col("probability") > 0, 1 / F.col("probability")).alias("weight"), (uniform(F.col("doc_id"), F.col("h"), targets.seed) < F.col("probability")).alias("kept"), "margin_gap",
     )
 
 

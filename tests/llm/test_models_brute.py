@@ -119,4 +119,10 @@ def test_probabilities_meet_the_targets(spark, rows):
     for r in got:
         by_cell[r.source_level, r.lang_level, r.topic].add(r.probability)
         assert 0 <= r.probability <= 1
-    assert all(len(p) == 1 for p in by_cell.values())
+    assert all(len(p) == 1 for p in by_cell.values()) and {r.margin_gap < 1e-6 for r in got} == {True}
+
+
+def test_targets_that_cannot_be_met_are_told(spark, rows):
+    targets = mixing.MixTargets(sources={"s0": 0.97, "s1": 0.01, "s2": 0.01, "s3": 0.01}, fraction=0.9)
+    got = mixing.mix_weights(spark.createDataFrame(rows, DOCS), targets).collect()
+    assert {r.margin_gap > 0.1 for r in got} == {True} and max(r.probability for r in got) <= 1
