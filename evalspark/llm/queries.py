@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.archive import MIN_REVISIT_BYTES, archive_pages
+from evalspark.llm.chat import conversation_digests, format_conversations, with_odd_conversation
+from evalspark.llm.divergence import source_divergence
 from evalspark.llm.jaccard import near_duplicates
 from evalspark.llm.licences import licence_sql, scan_licences
 from evalspark.llm.mixing import mix_weights
 from evalspark.llm.packing import pack
 from evalspark.llm.quality_rules import quality_rules
+from evalspark.llm.resampling import resample
 from evalspark.llm.rule_ensemble import quality_scores
 from evalspark.llm.sharding import shard_documents
 from evalspark.llm.topk import search_embeddings
@@ -59,6 +62,18 @@ def op10_partition_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_incremental_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(format_conversations(with_odd_conversation(table(spark, sf_dir, "conversations"))))
+
+
+def op12_batch_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mapper_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_histogram_sort, op2_proportional_fitting, op3_ball_tree, op4_length_buckets, op5_rule_ensemble, op6_content_archive,
-        op7_sentence_rules, op8_markov_ratio, op9_distribution_divergence, op10_partition_pigeonhole, pipeline,
+        op7_sentence_rules, op8_markov_ratio, op9_distribution_divergence, op10_partition_pigeonhole, op11_incremental_rendering,
+        op12_batch_concatenation, op13_mapper_stripes, pipeline,
     )
 }
 
@@ -98,4 +114,95 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM f
 """,
     "op7_sentence_rules": licence_sql(),
+    "op11_incremental_rendering": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL BY NAME
+  SELECT -1 AS conv_id, k AS turn, ['user', 'assistant'][k + 1] AS role, '<|im_end|><|im_start|>assistant ok' AS text FROM (VALUES (0), (1)) v(k)
+), n AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*\|')) + length(role) + len(regexp_extract_all(role, '[\\\n<]'))
+         + length('<|im_start|>' || '<|im_end|>') + 2 AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+""",
+    "op12_batch_concatenation": r"""
+WITH nibbles AS (  -- CRC-32 by half a byte: what a register of 0 to 15 becomes
+  SELECT list_transform(range(16), lambda x: list_reduce(range(4), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS t
+), texts AS (
+  SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT -row_number() OVER () AS i, NULL AS doc_id, coalesce(text, '') AS text FROM benchmark
+), words AS (
+  SELECT i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), grams AS (
+  SELECT i, g, count(*) AS n FROM (
+    SELECT i, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM words
+  ) GROUP BY ALL
+), digits AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM grams)
+), hashed AS (
+  SELECT g, CAST(xor(list_reduce(
+    list_transform(range(2 * strlen(g)), lambda k: CAST(strpos('0123456789ABCDEF', substr(x, CAST(k + 2 - 2 * (k % 2) AS INT), 1)) - 1 AS BIGINT)),
+    lambda a, d: xor(a >> 4, t[CAST(xor(a, d) & 15 AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS INT) AS bucket
+  FROM digits, nibbles
+), found AS (
+  SELECT i, bucket, n FROM grams JOIN hashed USING (g)
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (i > 0), 0) AS s, coalesce(sum(n) FILTER (i < 0), 0) AS t FROM found GROUP BY bucket
+), sums AS (
+  SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((CAST(t AS DOUBLE) + 1) * (CAST(all_s AS DOUBLE) + 10000)) / ((CAST(s AS DOUBLE) + 1) * (CAST(all_t AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM counts, sums
+), docs AS (
+  SELECT i, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM found JOIN gains USING (bucket) WHERE i > 0 GROUP BY i
+), weighed AS (
+  SELECT i, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+         coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM texts JOIN words USING (i) LEFT JOIN docs USING (i) WHERE i > 0
+), scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score, n_words >= 20 AS able FROM weighed
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) OVER (PARTITION BY able) AS total_able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * total_able // 100 THEN place END AS rank FROM ranked
+""",
+    "op13_mapper_stripes": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), w AS (
+  SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT i) AS docs FROM w GROUP BY ALL
+), k AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 3
+), c2 AS (
+  SELECT lang, source, term, n FROM c SEMI JOIN k USING (lang, term)
+), l AS (
+  SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS used FROM k GROUP BY lang
+), g AS (
+  SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS used FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c2 USING (lang, source) GROUP BY ALL
+), s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c2.n, 0) AS n, 1 + 1000000000 * (CAST(coalesce(c2.n, 0) AS HUGEINT) + 1) // (g.used + l.v) AS p,
+         1 + 1000000000 * (k.total + 1) // (l.used + l.v) AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c2 ON c2.lang = g.lang AND c2.source = g.source AND c2.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM s WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 200
+""",
 }
