@@ -24,8 +24,6 @@ LEAST = -(2**63)
 TOLERANCE = 0.005
 #: New probes for each unmet splitter in a pass.
 PROBES = 12
-#: A group is cut only if it holds more than this share of a shard's bytes.
-GROUP_SHARE = 0.05
 
 
 def _range_of(probes: list[Key]):
@@ -67,11 +65,11 @@ def _between(lo: Key, hi: Key, n: int) -> list[Key]:
 
 def splitters(keyed: DataFrame, targets: list[float], slack: float, whole: float) -> list[Key]:
     """A key for each target such that the rows below it hold the target's bytes, to within ``slack``, or half a group
-    of at most ``whole`` bytes, or half a row.
+    of at most ``whole`` bytes, or half a row. Only groups of more bytes are cut.
 
     The first probes cut the space of hashes evenly. Every pass either meets a target or shrinks its interval, which
-    ends when a small group or one key is left; then its nearer side is taken. Targets are few (the shards), and so are
-    the ranges of a pass: PROBES for each target that is still open.
+    ends when a group that stays whole or one key is left; then its nearer side is taken. Targets are few (the shards),
+    and so are the ranges of a pass: PROBES for each target that is still open.
     """
     found: dict[int, Key] = {}
     start = 4 * (len(targets) + 1)
@@ -108,8 +106,8 @@ def histogram_sort(
 ) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1), ``slot`` (gapless in the shard) and ``size``: shards of equal bytes.
 
-    Equal groups lie side by side in one shard. Only a group of more than GROUP_SHARE of a shard is cut, where its edge
-    misses the tolerance; no row is cut, so a shard can be off by half of the largest row. Null ids come first;
+    Equal groups lie side by side in one shard: only a group that exceeds a whole shard is cut. So a shard can be off by
+    half of the groups at its two ends, and by half of the largest row at a cut; ``shard_balance`` tells. Null ids come first;
     repeated rows are told apart by a tie number that is fixed when the keyed rows are written. An empty ``df`` gives
     an empty result; with fewer rows than shards some shards stay empty. In a shard slots follow the order of groups; a
     piece of it with more rows than one task should number is dealt to several, each in order.
@@ -120,13 +118,24 @@ def histogram_sort(
     cuts: list[Key] = []
     if rows:
         targets, shard_bytes = [total * i / n_shards for i in range(1, n_shards)], total / n_shards
-        cuts = sorted(splitters(keyed, targets, tolerance * shard_bytes, GROUP_SHARE * shard_bytes))
+        cuts = sorted(splitters(keyed, targets, tolerance * shard_bytes, shard_bytes))
     placed = keyed.withColumn("shard", _range_of(cuts)("h", "k", "t").cast("int"))
     bits = max(0, math.ceil(math.log2(max(1, rows / ROWS_PER_SALT))))
     piece = F.shiftright("h", 64 - bits) if bits else F.lit(0)  # pieces in the order of hashes
     return number_within(placed, "shard", piece, [F.col(c) for c in "hkt"], "slot").drop("h", "k", "t")
 
 
+def shard_balance(placed: DataFrame, n_shards: int) -> DataFrame:
+    """shard, rows, bytes and deviation (of the bytes from an even share, as a part of it) of every shard, empty ones
+    included, from rows with ``shard`` and ``size``; deviations are 0 for an empty table."""
+    held = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    every = placed.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard")).join(held, "shard", "left").na.fill(0, ["rows", "bytes"])
+    total = F.broadcast(held.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total")))  # one row
+    share = F.col("total") / n_shards
+    deviation = F.when(F.col("total") > 0, (F.col("bytes") - share) / share).otherwise(0.0)
+    return every.join(total, F.lit(True)).select("shard", "rows", "bytes", deviation.alias("deviation"))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes plus 16), text_crc32, law, shard, slot, grown_shard.
 

@@ -123,7 +123,7 @@ def test_shards(spark, docs, texts, clashing):
 
 
 def test_groups_stay_whole(spark):
-    """Equal texts lie in one shard, wherever their edge falls, unless they are more than a shard's share."""
+    """Equal texts lie in one shard, wherever their edge falls, unless they are more than a whole shard."""
     rng = random.Random(6)
     rows = [(i, f"text {rng.randrange(600)} " * rng.choice([1, 3])) for i in range(4000)] + [(5000 + i, "hot " * 40) for i in range(900)]
     placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
@@ -137,6 +137,29 @@ def test_groups_stay_whole(spark):
     assert all(abs(x - mean) <= 0.06 * mean for x in sizes.values())
 
 
+@pytest.mark.parametrize("share", [0.2, 0.6, 0.95, 1.3])
+def test_large_groups(spark, share):
+    """Groups up to a whole shard stay whole; the balance tells by how much shards miss their share for it."""
+    n, rng = 8, random.Random(int(share * 100))
+    rows = [(i, f"text {i} " * 3) for i in range(3000)]
+    rest = sum(len(t) + 16 for _, t in rows)
+    for g in range(3):
+        text = f"group {g} " * 5
+        copies = int(share * (rest / n) / (1 - 3 * share / n) / (len(text) + 16))
+        rows += [(10_000 * (g + 1) + i, text) for i in range(copies)]
+    rng.shuffle(rows)
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), n)
+    text, shards = dict(rows), collections.defaultdict(set)
+    for r in placed.collect():
+        shards[text[r.doc_id]].add(r.shard)
+    cut = [t for t, s in shards.items() if len(s) > 1]
+    assert len(cut) == (3 if share > 1 else 0)
+    balance = sharding.shard_balance(placed, n).collect()
+    assert len(balance) == n and sum(r.rows for r in balance) == len(rows)
+    assert abs(sum(r.deviation for r in balance)) < 1e-9
+    assert max(abs(r.deviation) for r in balance) <= (0.02 if share > 1 else share + 0.02)
+
+
 def test_numbers_in_salts(spark, monkeypatch):
     """Pieces of many rows, dealt to salts, still give gapless numbers in the order of pieces."""
     monkeypatch.setattr(numbering, "ROWS_PER_SALT", 10)
