@@ -109,40 +109,6 @@ def greedy_cells(df: DataFrame, cell: str, patient: str, record: str, size: int,
     return few.groupBy().applyInPandas(take, "cell string, patient long, record long")
 
 
-def spectral_ratios(samples: Column, fs: float, bands: dict[str, tuple[float, float]]) -> Column:
-    """Q3: share of a Hann-windowed signal's power in each band; null for a null, too short or not finite signal."""
-    names = list(bands)
-
-    def shares(x: np.ndarray) -> list[float | None]:
-        x = np.asarray(x, float)
-        if len(x) < 2 or not np.isfinite(x).all():
-            return [None] * len(names)
-        power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
-        f, total = np.fft.rfftfreq(len(x), 1 / fs), max(power.sum(), 1e-30)
-        return [float(power[(f >= lo) & (f < hi)].sum() / total) for lo, hi in bands.values()]
-
-    @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def run(v: pd.Series) -> pd.DataFrame:
-        rows = [[None] * len(names) if x is None else shares(x) for x in v]
-        return pd.DataFrame(rows, columns=names).astype(object)
-
-    return run(samples)
-
-
-def resample(samples: Column, down: int, taps: int = 31) -> Column:
-    """Q8: low-pass by a windowed sinc, then every ``down``-th sample; ends are padded by their values."""
-    n = np.arange(taps) - (taps - 1) / 2
-    h = np.sinc(n / down) * np.hamming(taps)
-    h = h / h.sum()
-
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        half = (taps - 1) // 2
-        return v.map(lambda x: np.convolve(np.pad(np.asarray(x, float), half, mode="edge"), h, mode="valid")[::down].tolist())
-
-    return run(samples)
-
-
 def batch_score(
     wave: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], labels: list[str], leads: int, n_samples: int
 ) -> DataFrame:

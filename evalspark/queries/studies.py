@@ -89,15 +89,6 @@ def j12_nearest_lead(spark, d):
     return rounded(s.nearest_earlier_lead(fixture(spark, d, "wave")), 5)
 
 
-def q3_spectral_ratios(spark, d):
-    r = s.spectral_ratios(F.col("samples"), 100.0, {"wander": (0.0, 0.7), "mains": (49.0, 50.5), "high": (30.0, 49.0)})
-    return fixture(spark, d, "wave").select("record_id", "lead_idx", r.alias("r")).select("record_id", "lead_idx", *[F.round(f"r.{k}", 6).alias(k) for k in ("wander", "mains", "high")])
-
-
-def q8_resample(spark, d):
-    return fixture(spark, d, "wave").select("record_id", "lead_idx", s.resample(F.col("samples"), 2).alias("x")).select("record_id", "lead_idx", F.size("x").alias("n"), F.round(F.col("x")[0], 6).alias("first"))
-
-
 def q14_curve_auc(spark, d):
     n = F.sequence(F.lit(0), F.size("samples") - 1)
     x = F.transform(n, lambda i: i / 63.0)
@@ -119,7 +110,7 @@ def q17_normalize_attributions(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     a17_error_detection, a22_risk_curve_mean, a28_review_summary, a29_study_summary, a29_paired_differences, a33_route_counts, c9_pseudonymize, c20_row_identity, w10_verify_chain, w9_keyed_order, w7_greedy_cells,
-    w6_compare_scores, w12_top_violations, j12_nearest_lead, q3_spectral_ratios, q8_resample, q14_curve_auc, q15_batch_score, q17_normalize_attributions,
+    w6_compare_scores, w12_top_violations, j12_nearest_lead, q14_curve_auc, q15_batch_score, q17_normalize_attributions,
 )}
 
 _ANS = "a AS (SELECT l_suppkey AS participant, l_linestatus AS arm, CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END AS correct, l_extendedprice AS time_ms, l_discount AS confidence FROM lineitem)"

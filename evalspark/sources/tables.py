@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,14 +125,3 @@ def verify_files(expected: DataFrame, files: DataFrame) -> DataFrame:
     found = files.select(name.alias("path"), F.sha2("content", 256).alias("found"))
     status = F.when(F.col("found").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("found") != F.col("digest"), "changed")
     return expected.select("path", "digest").join(found, "path", "full_outer").select("path", status.alias("status")).where("status IS NOT NULL")
-
-
-def read_waveforms(files: DataFrame, decode: Callable[[bytes], list[tuple[str, float, list[float]]]]) -> DataFrame:
-    """Leads of each file of Spark's binaryFile source, by the caller's decoder: (lead, rate, samples) for each."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(p, lead.upper(), fs, samples) for p, content in zip(pdf["path"], pdf["content"]) for lead, fs, samples in decode(content)]
-            yield pd.DataFrame(rows, columns=["path", "lead_name", "fs", "samples"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, lead_name string, fs double, samples array<float>")
