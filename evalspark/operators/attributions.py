@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.operators.waves import doubles
+from evalspark.operators.waves import doubles, let
 
 EPS = 1e-12
 
@@ -27,7 +27,6 @@ def cosine(a: Column, b: Column, eps: float = EPS) -> Column:
 
 def average_ranks(a: Column) -> Column:
     """Ranks from 1 of an array's values, ties sharing the mean of their places, in the array's own order."""
-    ordered = F.array_sort(F.transform(a, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
     none = F.array().cast("array<double>")
     start = F.struct(none.alias("ranks"), F.lit(None).cast("double").alias("v"), F.lit(0).alias("before"), F.lit(0).alias("n"))
     run = lambda acc: F.concat(acc["ranks"], F.array_repeat(acc["before"] + (acc["n"] + 1) / 2, acc["n"]))
@@ -39,14 +38,16 @@ def average_ranks(a: Column) -> Column:
             F.when(tied, acc["before"]).otherwise(acc["before"] + acc["n"]).alias("before"), F.when(tied, acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
         )
 
-    ranks = F.aggregate(ordered, start, step, run)
-    placed = F.array_sort(F.zip_with(ordered, ranks, lambda x, r: F.struct(x["i"].alias("i"), r.alias("r"))))
+    def ranked(ordered: Column) -> Column:
+        ranks = F.aggregate(ordered, start, step, run)
+        return F.array_sort(F.zip_with(ordered, ranks, lambda x, r: F.struct(x["i"].alias("i"), r.alias("r"))))
+
+    placed = let(F.array_sort(F.transform(a, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), ranked)
     return F.transform(placed, lambda x: x["r"])
 
 
 def centred(a: Column) -> Column:
-    mean = _total(a) / F.size(a)
-    return F.transform(a, lambda v: v - mean)
+    return let(a, lambda own: let(_total(own) / F.size(own), lambda mean: F.transform(own, lambda v: v - mean)))
 
 
 def _records(maps: DataFrame, name: str) -> DataFrame:

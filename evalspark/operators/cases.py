@@ -75,10 +75,10 @@ def _noisy(case: Case) -> Column:
 
 
 def _ordered(case: Case) -> Column:
-    """Lead i gets the samples of lead leads[i]; other leads stay as they are."""
+    """Lead i gets the samples of lead leads[i], null if the record lacks that; other leads stay as they are."""
     order = F.array(*[F.lit(i) for i in case.leads])
     source = lambda i: F.coalesce(F.get(order, i), i)
-    of = lambda i: F.filter("l", lambda y: y["lead_idx"] == source(i))[0]["s"]
+    of = lambda i: F.get(F.filter("l", lambda y: y["lead_idx"] == source(i)), F.lit(0))["s"]
     return F.transform("l", lambda x: F.struct(x["lead_idx"].alias("lead_idx"), of(x["lead_idx"]).alias("s")))
 
 

@@ -72,12 +72,12 @@ def _ecg(spark, d):
 
 
 def q4_preset_findings(spark, d):
-    out = li.findings(li.lead_measures(_ecg(spark, d)), li.limit_rows(spark, RULES), ["record_id", "lead_idx"], li.METRICS)
+    out = li.findings(li.lead_measures(materialise(_ecg(spark, d), "ecg")), li.limit_rows(spark, RULES), ["record_id", "lead_idx"], li.METRICS)
     return out.withColumn("value", F.round("value", 6))
 
 
 def q7_record_assessment(spark, d):
-    out = li.assess_records(_ecg(spark, d), li.limit_rows(spark, RULES), CONTRACT, li.Reversal(0.1, -0.05, 0.5))
+    out = li.assess_records(materialise(_ecg(spark, d), "ecg"), li.limit_rows(spark, RULES), CONTRACT, li.Reversal(0.1, -0.05, 0.5))
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 

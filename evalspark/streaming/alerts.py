@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from evalspark.operators.waves import let
 from evalspark.streaming.telemetry import STATES
 
 #: Fixed: severities and actions from least to worst.
@@ -85,7 +86,8 @@ def stability_index(now: Column, then: Column, limits: Limits) -> Column:
     """Population stability index of two maps from bin to count, each bin's count raised by ``limits.smoothing``."""
     bins = F.sequence(F.lit(0), F.lit(limits.bins - 1))
     raised = lambda m: F.transform(bins, lambda k: F.coalesce(m[k.cast("string")], F.lit(0)) + limits.smoothing)
-    shares = lambda m: F.transform(raised(m), lambda v: v / F.aggregate(raised(m), F.lit(0.0), lambda a, x: a + x))
+    total = lambda counts: F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    shares = lambda m: let(raised(m), lambda own: let(total(own), lambda t: F.transform(own, lambda v: v / t)))
     terms = F.zip_with(shares(now), shares(then), lambda a, b: (a - b) * (F.log(a) - F.log(b)))
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
@@ -158,7 +160,7 @@ class ReleaseAlerts(StatefulProcessor):
 
     State: a value (rows seen and the last time), and a map from family and key to counts. Each batch moves a timer to
     ``silence`` after the last row; when it fires, the release's state is cleared and a row ``expired`` comes out. With
-    processing time the state also has that long a time to live, so it goes even if no timer is left.
+    processing time the state also has twice that long to live, so it goes even if a timer is lost.
     """
 
     def __init__(self, reference: dict, limits: Limits, silence: dt.timedelta, by_event_time: bool) -> None:
@@ -166,7 +168,7 @@ class ReleaseAlerts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        ttl = None if self.by_event_time else int(self.silence.total_seconds() * 1000)
+        ttl = None if self.by_event_time else int(self.silence.total_seconds() * 2000)
         self.seen = handle.getValueState("seen", "n long, last_ms long", ttl)
         self.counts = handle.getMapState("counts", "family string, key string", "n long", ttl)
 
