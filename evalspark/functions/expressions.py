@@ -26,8 +26,28 @@ def parse_composite_codes(c: Column) -> Column:
     return F.when(good, parts)
 
 
+def composite_code_problems(c: Column, known: list[int]) -> Column:
+    """What is wrong with statements of ``a+b;c``, in this order; an empty array for a good value.
+
+    ``no_number``: a part that isn't a whole number (or a null value), which hides all else; ``primary``: a statement without exactly one
+    primary code (below 200 or from 500 on); ``repeated_modifier``; ``repeated_statement``; ``unknown_code``: not in ``known``.
+    """
+    parts = F.transform(F.split(c, ";"), lambda s: F.split(s, r"\+"))
+    number = F.forall(F.flatten(parts), lambda x: x.rlike(r"^\d{1,9}$"))
+    codes = F.transform(parts, lambda s: F.transform(s, lambda x: x.try_cast("int")))
+    primary = lambda x: (x < 200) | (x >= 500)
+    once = lambda a: F.size(F.array_distinct(a)) == F.size(a)
+    ordered = F.transform(codes, lambda s: F.array_sort(s))
+    found = {
+        "primary": F.exists(codes, lambda s: F.size(F.filter(s, primary)) != 1), "repeated_modifier": F.exists(codes, lambda s: ~once(F.filter(s, lambda x: ~primary(x)))),
+        "repeated_statement": ~once(ordered), "unknown_code": F.size(F.array_except(F.flatten(codes), F.array(*[F.lit(k) for k in known]))) > 0,
+    }
+    told = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in found.items()]))
+    return F.when(F.coalesce(number, F.lit(False)), told).otherwise(F.array(F.lit("no_number")))
+
+
 def age_band(age: Column) -> Column:
-    """Decade bands; 300 stands for an age above 89."""
+    """Bands of twenty years; 300 stands for an age above 89, which is in the last band."""
     return F.when(age.isNull(), "unknown").when(age == 300, "80+").when((age < 0) | (age > 130), "invalid").when(age < 40, "<40").when(age < 60, "40-59").when(age < 80, "60-79").otherwise("80+")
 
 
@@ -52,9 +72,9 @@ def hash_split(c: Column, salt: str, cuts: tuple[float, float] = (0.4, 0.8)) ->
 
 
 def stateless_seed(base: int, c: Column, purpose: str) -> Column:
-    """A 63-bit seed fixed by base, record and purpose."""
+    """A seed of 63 bits fixed by base, record and purpose: the first 16 hexadecimal digits without the highest bit."""
     text = F.concat(F.lit(f"{base}|"), c.cast("string"), F.lit(f"|{purpose}"))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    return (F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
 
 
 def sigmoid(z: Column) -> Column:

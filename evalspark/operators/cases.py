@@ -10,12 +10,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.operators.corruptions import shifted, unit_draw
 from evalspark.operators.limits import Contract, Reversal, assess_records
-from evalspark.operators.waves import doubles
+from evalspark.operators.waves import doubles, wave_fingerprint
 
 N_LEADS = 12
 LEAST_RMS = 1e-12
@@ -147,3 +147,19 @@ def stress_matrix(
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("ACCEPTABLE", "LIMITED", "REACQUIRE", "INVALID")]
     open_ = F.count_if(F.col("allowed") & ~F.col("case_id").isin(*harmless)).alias("fail_open")
     return judged.groupBy("case_id", "preset").agg(*counts, open_)
+
+
+def case_effects(wave: DataFrame, cases: tuple[Case, ...] = GRID, seed: int = SEED) -> DataFrame:
+    """Q16: record_id, case_id, effect and same_as: ``no_op`` where a case leaves all samples of a record as they were
+    (to six digits), ``duplicate`` where an earlier case of ``cases`` made the same of it (``same_as``), else ``changed``.
+    """
+    made = corrupt_cases(wave, cases, seed).withColumn("record_id", F.struct("case_id", "record_id"))
+    prints = wave_fingerprint(made).select("record_id.case_id", "record_id.record_id", "fingerprint")
+    order = F.array(*[F.lit(c.case_id) for c in cases])
+    placed = prints.withColumn("place", F.array_position(order, F.col("case_id")))
+    parent = wave_fingerprint(wave).select("record_id", F.col("fingerprint").alias("parent"))
+    # a record's cases are the rows of these windows
+    first = F.min(F.struct("place", "case_id")).over(Window.partitionBy("record_id", "fingerprint"))
+    rows = placed.withColumn("first", first).join(parent, "record_id")
+    effect = F.when(F.col("fingerprint") == F.col("parent"), "no_op").when(F.col("first.place") < F.col("place"), "duplicate").otherwise("changed")
+    return rows.select("record_id", "case_id", effect.alias("effect"), F.when(effect == "duplicate", F.col("first.case_id")).alias("same_as"))

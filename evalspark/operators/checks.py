@@ -33,6 +33,12 @@ def is_relative_path(c: Column) -> Column:
     return ~c.rlike(r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)|//|[\x00-\x1F]|^$")
 
 
+def is_iso_date(c: Column) -> Column:
+    """V8: a day as yyyy-mm-dd that is the same after reading and writing it, so one that exists; false for null."""
+    day = F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.date_format(day, "yyyy-MM-dd") == c), F.lit(False))
+
+
 def check_expected_counts(observed: DataFrame, expected: DataFrame, key: str, count: str) -> DataFrame:
     """V5: keys whose count differs from, or is missing on, either side."""
     both = observed.select(key, F.col(count).alias("observed")).join(expected.select(key, F.col(count).alias("expected")), key, "full_outer")

@@ -10,6 +10,8 @@ from evalspark.operators.selective import fit_conformal
 from evalspark.operators.waves import doubles, limb_consistency, steps
 
 LIMB_LEADS = 6
+#: Participants whose order one task makes.
+PER_BLOCK = 100_000
 
 
 def shifted(samples: Column, by: Column) -> Column:
@@ -150,10 +152,12 @@ def counterbalanced_order(participants: DataFrame, cases: DataFrame, arms: list[
     """(participant, arm, arm_place, case_id, ordinal): participants in the order of a keyed hash take turns at the
     arm they begin with; in each arm the cases stand in an order of their own. Cases are a small table.
 
-    The turn is the parity of a hash rank within blocks of participants, so no task orders all of them.
+    The turn is a participant's hash rank modulo the arms within blocks of about PER_BLOCK participants, as many as
+    their counted number asks for, so a task orders one block.
     """
+    blocks = -(-participants.count() // PER_BLOCK) or 1
     digest = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
-    block = F.pmod(F.xxhash64("participant"), F.lit(64))
+    block = F.pmod(F.xxhash64("participant"), F.lit(blocks))
     rank = F.row_number().over(Window.partitionBy(block).orderBy(digest(F.col("participant").cast("string")), "participant"))
     turned = participants.select("participant", ((rank - 1) % len(arms)).alias("__first"))
     arm = F.posexplode(F.array(*[F.lit(a) for a in arms]))

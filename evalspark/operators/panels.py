@@ -121,3 +121,20 @@ def chain_faults(log: DataFrame, content: Column, head: tuple[int, str] | None =
     last = ends.select(F.col("__last.sequence").alias("sequence"), F.col("__last.entry_hash").alias("h"))
     wrong = last.where(~(F.col("sequence").eqNullSafe(F.lit(head[0])) & F.col("h").eqNullSafe(F.lit(head[1]))))
     return out.unionByName(wrong.select("sequence", F.lit("head").alias("fault")))
+
+
+def event_log_summary(log: DataFrame, known: dict[str, list[str]]) -> DataFrame:
+    """(kind, value, n) without ids, times or attributes of events: how many events a log has, how many each value
+    of the columns in ``known`` (zero where none has it; values that aren't listed are told as well), each reason code,
+    and how many have no decision. One pass; the counts are few."""
+    cell = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    own = [F.when(F.col(c).isNotNull(), cell(c, F.col(c))) for c in known]
+    cells = F.concat(
+        F.array_compact(F.array(cell("event", none), F.when(F.col("decision").isNull(), cell("without_decision", none)), *own)),
+        F.transform(F.coalesce("reason_codes", F.array().cast("array<string>")), lambda r: cell("reason_code", r)),
+    )
+    counts = log.select(F.explode(cells).alias("c")).groupBy("c.kind", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    fixed = [("event", None), ("without_decision", None), *((k, v) for k, values in known.items() for v in values)]
+    zeros = log.sparkSession.createDataFrame([(*f, 0) for f in fixed], "kind string, value string, n long")
+    return counts.unionByName(zeros).groupBy("kind", "value").agg(F.sum("n").alias("n"))

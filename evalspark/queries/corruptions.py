@@ -84,12 +84,9 @@ def s13_value_at_epoch(spark, d):
 
 
 def w9_counterbalanced_order(spark, d):
-    """First arms by participant, and how the cases of an arm are numbered."""
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("participant"))
     cases = table(spark, d, "nation").select(F.col("n_nationkey").alias("case_id"))
-    rows = c.counterbalanced_order(people, cases, ["guided", "plain"], "k")
-    per = rows.groupBy("participant", "arm").agg(F.max("arm_place").alias("place"), F.count_distinct("ordinal").alias("n"), F.max("ordinal").alias("last"), F.count_distinct("case_id").alias("cases"))
-    return per.groupBy("participant").agg(F.sum("place").alias("places"), F.min("n").alias("n"), F.max("last").alias("last"), F.min("cases").alias("cases"))
+    return c.counterbalanced_order(people, cases, ["guided", "plain"], "k")
 
 
 _FUNCTIONS = (
@@ -131,5 +128,7 @@ CASE WHEN NOT whole THEN 'unmatched' ELSE array_to_string(list_filter([CASE WHEN
     "m7_trivial_groups": with_fixtures(["pred", "subgroups"], f"WITH g AS (SELECT label, cell, count(*) AS n FROM {_cells(9)} GROUP BY ALL) SELECT label, cell, n FROM g WHERE ceil(round((n + 1) * 0.9, 9)) > n"),
     "m7_unknown_groups": with_fixtures(["pred", "subgroups"], f"WITH k AS (SELECT DISTINCT label, cell FROM {_cells(9)} WHERE record_id % 40 < 35), p AS (SELECT label, cell, count(*) AS n FROM {_cells(10)} GROUP BY ALL) SELECT label, cell, n FROM p WHERE (label, cell) NOT IN (SELECT (label, cell) FROM k)"),
     "s13_value_at_epoch": "WITH h AS (SELECT user_id AS run, event_id % 100 AS epoch, max(value) AS value FROM events GROUP BY ALL) SELECT run, max(epoch) AS epoch, round(arg_max(value, epoch), 6) AS value FROM h WHERE epoch <= 60 GROUP BY run",
-    "w9_counterbalanced_order": "SELECT c_custkey AS participant, 3 AS places, (SELECT count(*) FROM nation) AS n, CAST((SELECT count(*) FROM nation) AS INTEGER) AS last, (SELECT count(*) FROM nation) AS cases FROM customer",
+    "w9_counterbalanced_order": """WITH f AS (SELECT c_custkey AS participant, (row_number() OVER (ORDER BY sha256('k|' || CAST(c_custkey AS VARCHAR)), c_custkey) - 1) % 2 AS first FROM customer),
+a AS (SELECT participant, arm, CAST((i - first + 2) % 2 + 1 AS INTEGER) AS arm_place FROM f, (VALUES (0, 'guided'), (1, 'plain')) t(i, arm))
+SELECT participant, arm, arm_place, n_nationkey AS case_id, CAST(row_number() OVER (PARTITION BY participant, arm ORDER BY sha256('k|' || CAST(participant AS VARCHAR) || '|' || arm || '|' || CAST(n_nationkey AS VARCHAR)), n_nationkey) AS INTEGER) AS ordinal FROM a, nation""",
 }

@@ -91,6 +91,10 @@ def q11_stress_matrix(spark, d):
     return cs.stress_matrix(materialise(_ecg(spark, d), "ecg"), li.limit_rows(spark, RULES), CONTRACT, GRID, reversal=li.Reversal(0.1, -0.05, 0.5))
 
 
+def q16_case_effects(spark, d):
+    return cs.case_effects(materialise(_ecg(spark, d), "ecg"), GRID)
+
+
 def q13_attribution_similarity(spark, d):
     """Each record's leads against those of the next record; some maps are zero, flat, rounded to ties or short of a lead."""
     k = F.col("record_id")
@@ -102,7 +106,7 @@ def q13_attribution_similarity(spark, d):
     return out.select("record_id", *[F.round(c, 6).alias(c) for c in ("cosine", "time_cosine")], "time_cosine_valid", F.round("spearman", 6).alias("spearman"), "spearman_valid", "reason")
 
 
-_FUNCTIONS = (q1_contract_issues, q3_spectral_ratios, q8_resample, q4_preset_findings, q7_record_assessment, q10_case_grid, q11_stress_matrix, q13_attribution_similarity)
+_FUNCTIONS = (q1_contract_issues, q3_spectral_ratios, q8_resample, q4_preset_findings, q7_record_assessment, q10_case_grid, q11_stress_matrix, q13_attribution_similarity, q16_case_effects)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 
@@ -246,6 +250,10 @@ SELECT record_id, lead_idx, preset, reason, ['ACCEPTABLE', 'LIMITED', 'REACQUIRE
     "q11_stress_matrix": _wave_sql(f"""{_ECG}, {_case_sql()}, keyed AS (SELECT struct_pack(c := case_id, r := record_id) AS id, lead_idx, fs, s FROM grid), {_assess_sql('keyed', 'id')}
 SELECT id.c AS case_id, preset, count(*) FILTER (status = 'ACCEPTABLE') AS acceptable, count(*) FILTER (status = 'LIMITED') AS limited, count(*) FILTER (status = 'REACQUIRE') AS reacquire, count(*) FILTER (status = 'INVALID') AS invalid,
 count(*) FILTER (allowed AND id.c <> 'clean') AS fail_open FROM judged GROUP BY ALL"""),
+    "q16_case_effects": _wave_sql(f"""{_ECG}, {_case_sql()}, fp AS (SELECT case_id, record_id, string_agg(array_to_string(list_transform(s, lambda v: CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR)), ','), '|' ORDER BY lead_idx) AS p FROM (
+  SELECT * FROM grid UNION ALL SELECT '' AS case_id, record_id, lead_idx, fs, s FROM ecg) GROUP BY ALL),
+pl AS (SELECT fp.*, list_position({_LIST(c.case_id for c in GRID)}, case_id) AS place FROM fp WHERE case_id <> ''), e AS (SELECT pl.record_id, pl.case_id, pl.p = o.p AS same, place, min(struct_pack(place := place, case_id := pl.case_id)) OVER (PARTITION BY pl.record_id, pl.p) AS f FROM pl JOIN fp o ON o.record_id = pl.record_id AND o.case_id = '')
+SELECT record_id, case_id, CASE WHEN same THEN 'no_op' WHEN f.place < place THEN 'duplicate' ELSE 'changed' END AS effect, CASE WHEN NOT same AND f.place < place THEN f.case_id END AS same_as FROM e"""),
     "q13_attribution_similarity": _wave_sql(f"""{_MAPS} SELECT record_id, CASE WHEN ok THEN round(CASE WHEN fl.na <= 1e-12 AND fl.nb <= 1e-12 THEN 1.0 ELSE fl.ab / greatest(fl.na * fl.nb, 1e-12) END, 6) END AS cosine,
 CASE WHEN ok THEN round(CASE WHEN tm.na > 1e-12 AND tm.nb > 1e-12 THEN tm.ab / (tm.na * tm.nb) ELSE 0.0 END, 6) END AS time_cosine, CASE WHEN ok THEN tm.na > 1e-12 AND tm.nb > 1e-12 END AS time_cosine_valid,
 CASE WHEN ok THEN round(CASE WHEN qa > 1e-12 AND qb > 1e-12 THEN q / sqrt(qa * qb) ELSE 0.0 END, 6) END AS spearman, CASE WHEN ok THEN qa > 1e-12 AND qb > 1e-12 END AS spearman_valid, CASE WHEN NOT ok THEN 'unmatched' END AS reason FROM st LEFT JOIN tm USING (record_id) LEFT JOIN fl USING (record_id)"""),

@@ -358,7 +358,7 @@ ORACLE_SQL = {
     "c3_map_codes": MAN(f"WITH dim AS (SELECT * FROM (VALUES ('C0', 'NORM'), ('C1', 'MI'), ('C2', 'MI'), ('C3', 'CD'), ('C5', 'HYP')) AS t(code, label)), e AS (SELECT record_id, unnest({_CODES}) AS code FROM manifest) SELECT record_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, count(DISTINCT label) AS n_labels FROM e LEFT JOIN dim USING (code) GROUP BY record_id"),
     "c5_c6_bands": MAN(f"SELECT record_id, {_SPLIT} AS split, CASE WHEN age = 300 THEN '80+' WHEN age < 40 THEN '<40' WHEN age < 60 THEN '40-59' WHEN age < 80 THEN '60-79' ELSE '80+' END AS age_band, CASE sex WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'invalid' END AS sex_group FROM manifest"),
     "c7_hash_split": MAN(f"SELECT record_id, CASE WHEN {_UNIT} < 0.4 THEN 'A' WHEN {_UNIT} < 0.8 THEN 'B' ELSE 'C' END AS role FROM manifest"),
-    "c8_stateless_seed": MAN("SELECT record_id, CAST(CAST('0x' || substr(sha256('7|' || CAST(record_id AS VARCHAR) || '|noise'), 1, 15) AS UBIGINT) AS BIGINT) AS seed FROM manifest"),
+    "c8_stateless_seed": MAN("SELECT record_id, CAST(CAST('0x' || substr(sha256('7|' || CAST(record_id AS VARCHAR) || '|noise'), 1, 16) AS UBIGINT) % 9223372036854775808 AS BIGINT) AS seed FROM manifest"),
     "c10_c16_maps": PRED(f"SELECT record_id, label, round({_SIG('logit / 1.7')}, 6) AS tempered, round({_SIG('1.2 * logit - 0.3')}, 6) AS scaled, round(ln(prob) - ln(1 - prob), 6) AS logit, round(-(abs(logit) / 2 + ln(1 + exp(-abs(logit)))), 6) AS energy, round({_SIG('logit + ln(0.4 / 0.6) - ln(0.2 / 0.8)')}, 6) AS adjusted, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS decision FROM pred WHERE seed = 2026"),
     "c15_threshold_proximity": PRED("SELECT record_id, round(-min(abs(prob - 0.5)), 6) + 0.0 AS proximity FROM pred WHERE seed = 2026 GROUP BY record_id"),
     "c18_trust_decision": PRED("""WITH n AS (SELECT record_id, li, prob, ['NORM', 'MI', 'STTC', 'CD', 'HYP'][CAST(li AS INTEGER)] AS label FROM pred WHERE seed = 2026), u AS (

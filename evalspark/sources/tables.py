@@ -94,7 +94,7 @@ def read_sha256sums(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("path").agg(F.min("digest").alias("digest"), F.count_distinct("digest").alias("n_digests"))
 
 
-EVENT_LOG = "sequence long, event_id string, action string, outcome string, decision string, reason_codes array<string>, previous_entry_hash string, entry_hash string"
+EVENT_LOG = "sequence long, event_id string, action string, actor_type string, outcome string, decision string, reason_codes array<string>, previous_entry_hash string, entry_hash string"
 
 
 def read_event_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
