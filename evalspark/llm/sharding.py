@@ -72,6 +72,7 @@ def splitters(keyed: DataFrame, targets: list[float], slack: float, whole: float
     and so are the ranges of a pass: PROBES for each target that is still open.
     """
     found: dict[int, Key] = {}
+    large: set[int] = set()  # hashes of groups to be cut; a group is seen as one range before any of its rows is a probe
     start = 4 * (len(targets) + 1)
     probes: list[Key] = [(LEAST + 2**64 * i // start, LEAST, LEAST) for i in range(1, start)]
     while len(found) < len(targets):
@@ -87,7 +88,9 @@ def splitters(keyed: DataFrame, targets: list[float], slack: float, whole: float
                 continue
             lower, upper, r, lo, hi = ends[bisect_right(starts, target) - 1]
             before, after = lo, (hi[0], hi[1], hi[2] + 1)
-            small_group = lo[0] == hi[0] and upper - lower <= whole
+            if lo[0] == hi[0] and upper - lower > whole:
+                large.add(lo[0])
+            small_group = lo[0] == hi[0] and lo[0] not in large
             if min(abs(target - lower), abs(upper - target)) <= slack or small_group or lo == hi:
                 found[i] = before if target - lower <= upper - target else _snap(after, r, probes)
             else:
