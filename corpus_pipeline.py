@@ -19,12 +19,20 @@ from evalspark.plans.scratch import materialise, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the rule ensemble scores at 0.7 or more; it is fitted on the labels of this stage's documents."""
+    """Keeps what the rule ensemble scores at 0.7 or more; it is fitted on the labels of this stage's documents.
+
+    Null and empty texts are scored as texts without words; repeated rows and null ids are each scored alike; without
+    labels of both kinds all texts get the share of label 1; an empty table stays empty.
+    """
     return keep_predicted(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what passes the base rules and lies near its language's references."""
+    """Keeps what passes the base rules and lies near its language's references.
+
+    Null and empty texts have no words and go; a null or unlisted language shares one profile; repeated rows are each judged
+    alike; an empty table stays empty.
+    """
     return keep_clean(docs)
 
 
@@ -42,12 +50,20 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that tokens meet the target shares of sources, languages and topics."""
+    """Samples documents so that tokens meet the target shares of sources, languages and topics.
+
+    Null and unnamed sources and languages are one level; null and empty texts are kept with their cell's probability;
+    repeated rows stay or go together; an empty table stays empty.
+    """
     return sample_mix(docs)
 
 
 def length_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into batches of padded tokens."""
+    """Packs what is left into batches of padded tokens.
+
+    Null and empty texts have length 0 and are packed like others, as are repeated rows; a text longer than the budget is
+    a batch of its own; an empty table gives an empty result.
+    """
     return pack(docs)
 
 
