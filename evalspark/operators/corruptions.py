@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from evalspark.operators.joins import small
 from evalspark.operators.selective import fit_conformal
 from evalspark.operators.waves import doubles, limb_consistency, steps
+from evalspark.plans.prims import prefix_scan
 
 LIMB_LEADS = 6
-#: Participants whose order one task makes.
-PER_BLOCK = 100_000
 
 
 def shifted(samples: Column, by: Column) -> Column:
@@ -152,14 +151,12 @@ def counterbalanced_order(participants: DataFrame, cases: DataFrame, arms: list[
     """(participant, arm, arm_place, case_id, ordinal): participants in the order of a keyed hash take turns at the
     arm they begin with; in each arm the cases stand in an order of their own. Cases are a small table.
 
-    The turn is a participant's hash rank modulo the arms within blocks of about PER_BLOCK participants, as many as
-    their counted number asks for, so a task orders one block.
+    The turn is a participant's rank among all, modulo the arms; the rank is a running sum over ranges of the hash.
     """
-    blocks = -(-participants.count() // PER_BLOCK) or 1
     digest = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
-    block = F.pmod(F.xxhash64("participant"), F.lit(blocks))
-    rank = F.row_number().over(Window.partitionBy(block).orderBy(digest(F.col("participant").cast("string")), "participant"))
-    turned = participants.select("participant", ((rank - 1) % len(arms)).alias("__first"))
+    hashed = participants.select("participant", digest(F.col("participant").cast("string")).alias("__h"))
+    ranked = prefix_scan(hashed, [], [F.col("__h"), F.col("participant")], {"__rank": F.lit(1).cast("long")})
+    turned = ranked.select("participant", ((F.col("__rank") - 1) % len(arms)).alias("__first"))
     arm = F.posexplode(F.array(*[F.lit(a) for a in arms]))
     by_arm = turned.select("participant", "__first", arm.alias("__i", "arm"))
     by_arm = by_arm.withColumn("arm_place", F.pmod(F.col("__i") - F.col("__first"), F.lit(len(arms))) + 1)
