@@ -30,8 +30,9 @@ def drawn_clusters(numbered: DataFrame, keys: list[str], replicates: int, seed:
     replicate, so that no list as long as the clusters is ever made in one row.
     """
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
-    # a row for each key
-    places = numbered.select(*keys, "__i").join(small(sizes), keys)
+    # a row for each key; the places are dealt anew, as a small file of clusters makes many draws
+    dealt = numbered.select(*keys, "__i").repartition(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__i")
+    places = dealt.join(small(sizes), keys)
     every = places.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = every.select(*keys, "b", (draw(seed, F.col("b"), F.col("__i")) % F.col("__c")).alias("__i"))
     return drawn.groupBy(*keys, "b", "__i").agg(F.count(F.lit(1)).alias("__w"))
@@ -46,7 +47,8 @@ def bootstrap_rates(events: DataFrame, keys: list[str], cluster: str, event: str
     sums = events.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(event).cast("long")).alias("__e"))
     ranked = prefix_scan(sums, keys, [F.col(cluster)], {"__rank": F.lit(1).cast("long")})
     numbered = ranked.withColumn("__i", F.col("__rank") - 1).drop("__rank", "__rank_total")
-    met = drawn_clusters(numbered, keys, replicates, seed).join(numbered, [*keys, "__i"])
+    # by merging: neither side is small, whatever the size of its file
+    met = drawn_clusters(numbered, keys, replicates, seed).join(numbered.hint("merge"), [*keys, "__i"])
     w = F.col("__w")
     return met.groupBy(*keys, "b").agg((F.sum(w * F.col("__e")) / F.sum(w * F.col("__n"))).alias("rate"))
 
@@ -160,9 +162,10 @@ def bootstrap_metrics(pred: DataFrame, keys: list[str], cluster: str, replicates
     clusters = pred.select(cluster).distinct().withColumn("__all", F.lit(0))
     ranked = prefix_scan(clusters, ["__all"], [F.col(cluster)], {"__rank": F.lit(1).cast("long")})
     numbered = ranked.select("__all", cluster, (F.col("__rank") - 1).alias("__i"))
-    drawn = drawn_clusters(numbered, ["__all"], replicates, seed).join(numbered.drop("__all"), "__i")
+    # by merging: no side is small, whatever the size of its file
+    drawn = drawn_clusters(numbered, ["__all"], replicates, seed).join(numbered.drop("__all").hint("merge"), "__i")
     w = F.col("__w")
-    cells = drawn.join(hist, cluster).groupBy("b", *keys, "prob").agg(
+    cells = drawn.join(hist.hint("merge"), cluster).groupBy("b", *keys, "prob").agg(
         F.sum(w * F.col("__n")).alias("__n"), F.sum(w * F.col("__y")).alias("__y")
     )
     return metrics_of_hist(cells, ["b", *keys]).select("b", *keys, *METRICS)
@@ -207,9 +210,10 @@ def bootstrap_risk(losses: DataFrame, keys: list[str], cluster: str, loss: str,
     clusters = losses.select(cluster).distinct().withColumn("__all", F.lit(0))
     ranked = prefix_scan(clusters, ["__all"], [F.col(cluster)], {"__rank": F.lit(1).cast("long")})
     numbered = ranked.select("__all", cluster, (F.col("__rank") - 1).alias("__i"))
-    drawn = drawn_clusters(numbered, ["__all"], replicates, seed).join(numbered.drop("__all"), "__i")
+    # by merging: no side is small, whatever the size of its file
+    drawn = drawn_clusters(numbered, ["__all"], replicates, seed).join(numbered.drop("__all").hint("merge"), "__i")
     w = F.col("__w")
-    cells = drawn.join(hist, cluster).groupBy("b", *keys, "uncertainty").agg(
+    cells = drawn.join(hist.hint("merge"), cluster).groupBy("b", *keys, "uncertainty").agg(
         F.sum(w * F.col("__n")).alias("__m"), F.sum(w * F.col("__l")).alias("__l"), F.max("__in").alias("__in")
     )
     cells = materialise(cells, "risk-cells")
