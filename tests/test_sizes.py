@@ -2,11 +2,15 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from evalspark.operators import audits as au
 from evalspark.operators import corruptions as c
 from evalspark.operators import intervals as b
 from evalspark.operators import metrics as m
+from evalspark.operators import selective as sel
+from evalspark.plans import prims
 from evalspark.plans.prims import prefix_scan
 from evalspark.queries import series
 
@@ -42,3 +46,59 @@ def test_ranked_rows_are_never_broadcast(spark):
     sweep = m.ece_sweep(rows, ["g"])
     assert plan_of(sweep).count("SortMergeJoin") == 1
     assert sweep.count() == 1
+
+
+@pytest.fixture
+def ordered(monkeypatch):
+    """How many rows each prefix sum puts in order."""
+    counts, real = [], prims.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(prims, "materialise", counted)
+    return counts
+
+
+def test_bins_order_ties_and_the_records_of_cut_ties_only(spark, ordered):
+    n, bins = 6000, 7
+    rows = spark.range(n).select(F.lit("a").alias("g"), F.col("id").alias("record_id"), (F.col("id") % 97 / 97).alias("prob"), (F.col("id") * 7919 % 3 == 0).cast("int").alias("target"))
+    got = {r.bin: (r.n, r.p_min, r.p_max, round(r.p_mean, 9), round(r.event_rate, 9)) for r in m.reliability_curve(rows, ["g"], bins).collect()}
+    by = sorted((i % 97 / 97, i, int(i * 7919 % 3 == 0)) for i in range(n))
+    want, at = {}, 0
+    for k in range(bins):
+        own = by[at : (at := at + n // bins + (k < n % bins))]
+        want[k] = len(own), own[0][0], own[-1][0], round(sum(x[0] for x in own) / len(own), 9), round(sum(x[2] for x in own) / len(own), 9)
+    assert got == want
+    assert sum(ordered) < 97 + bins * 70
+
+
+def test_the_kth_value_is_found_among_ties(spark, ordered):
+    rows = spark.range(5000).select(F.lit("a").alias("g"), (F.col("id") % 50 / 50).alias("uncertainty"), F.col("id").alias("record_id"))
+    got = sel.fit_entropy_gate(rows, ["g"], 0.333).first()
+    assert (got.n, got.k, got.cutoff, got.kept) == (5000, 1665, 16 / 50, 1700)
+    assert sum(ordered) == 50
+
+
+def test_audits_order_no_table_of_all_records(spark, ordered):
+    n = 3000
+    pred = spark.range(n).select(
+        F.lit("m").alias("model_id"), F.col("id").alias("record_id"), (F.col("id") % 100).alias("patient_id"), F.lit("x").alias("label"), (F.col("id") % 3 == 0).cast("int").alias("target"),
+        F.lit(0.5).alias("raw"), (F.col("id") % 41 / 100 + 0.05).alias("prob"), F.lit(0).alias("decision"),
+    )
+    groups = spark.range(n).select(F.col("id").alias("record_id"), F.lit("half").alias("attribute"), (F.col("id") % 2).cast("string").alias("group_value"))
+    gates = spark.createDataFrame([("m", 0.5, 0.7)], "model_id string, target_coverage double, maximum_entropy double")
+    records = au.audit_records(pred)
+    assert au.gate_audit(records, gates, groups).selections().count() == 3 and ordered == []
+    shares = au.coverage_audit(records, [0.0, 0.5, 0.7, 1.0], groups).selections()
+    got = {(r.group_value, r.target_coverage): r.selected for r in shares.collect()}
+    # a larger prob below a half is less certain; ties go by record
+    order = sorted(range(n), key=lambda i: (i % 41, i))
+    for share in (0.0, 0.5, 0.7, 1.0):
+        kept = order[: round(share * n)]
+        assert got["all", share] == len(kept) and got["1", share] == sum(i % 2 for i in kept)
+    assert sum(ordered) < 41 + 3 * 80
+    ordered.clear()
+    assert au.audit_curves(records).areas.count() == 2 and sum(ordered) == 2 * 41
