@@ -42,7 +42,7 @@ def m11_m12_mahalanobis(spark, d):
     mean, precision = f.fit_mahalanobis(emb.where("vec_id % 5 < 3"), "embedding")
     scored = f.score_mahalanobis(emb, "embedding", mean, precision)
     calibration = scored.where("vec_id % 5 = 3").select(F.lit("all").alias("k"), "vec_id", F.round("distance", 6).alias("distance"))
-    cut = s.kth_smallest(calibration, ["k"], "distance", "vec_id", F.ceil(F.round((F.col("n") + 1) * 0.95, 9)))
+    cut = s.kth_smallest(calibration, ["k"], "distance", F.ceil(F.round((F.col("n") + 1) * 0.95, 9)))
     return scored.where("vec_id % 5 = 4").join(F.broadcast(cut.select("cutoff")), F.lit(True)).select("vec_id", F.round("distance", 4).alias("distance"), (F.round("distance", 6) > F.col("cutoff")).alias("is_ood"))
 
 
