@@ -204,9 +204,17 @@ def j3_paired_models(spark, d):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("prob_a") - F.col("prob_b")), 6).alias("mean_difference"))
 
 
+def _by_record(pred, groups, held):
+    """Predictions with ``held`` of their record's groups, and the pieces that both were dealt into."""
+    n = j.in_pieces(pred)
+    g = groups.repartition(n, "record_id").groupBy("record_id").agg(*held)
+    return pred.repartition(n, "record_id").join(g.hint("merge"), "record_id"), n
+
+
 def j6_subgroup_join(spark, d):
-    g = fixture(spark, d, "subgroups").withColumn("group_value", F.coalesce("group_value", F.lit("<MISSING>")))
-    return _pred(spark, d).join(g, "record_id").groupBy("label", "attribute", "group_value").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("patients"), F.sum(F.col("target").cast("long")).alias("positives"))
+    held = F.collect_list(F.struct("attribute", F.coalesce("group_value", F.lit("<MISSING>")).alias("group_value"))).alias("groups")
+    met, n = _by_record(_pred(spark, d), fixture(spark, d, "subgroups"), [held])
+    return j.patient_counts(met.withColumn("positives", F.col("target").cast("long")), ["label"], "patient_id", "groups", ["positives"], n)
 
 
 def j7_completed(spark, d):
