@@ -262,12 +262,14 @@ def a15_ensemble_uncertainty(spark, d):
 
 
 def a20_subgroup_audit(spark, d):
-    g = fixture(spark, d, "subgroups")
-    wide = g.groupBy("record_id").pivot("attribute", ["status", "segment"]).agg(F.coalesce(F.first("group_value"), F.lit("<MISSING>")))
-    rows = _pred(spark, d).join(wide, "record_id").createOrReplaceTempView("ev_subgroups")
-    sql = """SELECT status, segment, label, count(*) AS n, count(DISTINCT patient_id) AS patients, round(avg((prob - target) * (prob - target)), 6) AS brier,
-      CASE WHEN count(*) < 30 OR count(DISTINCT patient_id) < 20 THEN 'small' ELSE 'ok' END AS size_status FROM ev_subgroups GROUP BY GROUPING SETS ((status, label), (segment, label), (label))"""
-    return spark.sql(sql)
+    of = lambda name: F.coalesce(F.max(F.when(F.col("attribute") == name, F.col("group_value"))), F.lit("<MISSING>")).alias(name)
+    met, n = _by_record(_pred(spark, d), fixture(spark, d, "subgroups"), [of("status"), of("segment")])
+    none = F.lit(None).cast("string")
+    sets = [F.struct(s.alias("status"), g.alias("segment")) for s, g in ((F.col("status"), none), (none, F.col("segment")), (none, none))]
+    rows = met.withColumns({"groups": F.array(*sets), "squares": (F.col("prob") - F.col("target")) * (F.col("prob") - F.col("target"))})
+    out = j.patient_counts(rows, ["label"], "patient_id", "groups", ["squares"], n)
+    size = F.when((F.col("n") < 30) | (F.col("patients") < 20), "small").otherwise("ok")
+    return out.select("status", "segment", "label", "n", "patients", F.round(F.col("squares") / F.col("n"), 6).alias("brier"), size.alias("size_status"))
 
 
 def a23_robustness_delta(spark, d):

@@ -27,3 +27,8 @@ def test_subgroup_join_deals_rows_by_number(spark):
     plan = plan_of(tables.j6_subgroup_join(spark, SF))
     # predictions, groups, and predictions with their groups; nothing is shuffled by patient and group besides
     assert plan.count("REPARTITION_BY_NUM") == 3 and "partial_count(patient_id" in plan
+
+
+def test_subgroup_audit_expands_no_rows(spark):
+    plan = plan_of(tables.a20_subgroup_audit(spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == 3 and "Expand" not in plan
