@@ -147,27 +147,46 @@ def patient_equalized_rate(events: DataFrame, keys: list[str], cluster: str, eve
     return per.groupBy(*keys).agg(F.avg(F.col("events") / F.col("n")).alias("equalized_rate"), F.count_if(F.col("events") > 0).alias("with_event"), F.count(F.lit(1)).alias("clusters"))
 
 
-def bootstrap_metrics(pred: DataFrame, keys: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
-    """B2: (b, keys, rate, auroc, average_precision, brier, log_loss, ece) of every replicate of a clustered bootstrap.
+#: Replicates whose weights stand side by side in one row of a cluster.
+BLOCK = 10
+
+
+def by_replicate(
+    rows: DataFrame, keys: list[str], cluster: str, values: dict[str, Column], held: dict[str, Column], replicates: int, seed: int
+) -> DataFrame:
+    """(b, keys, values, held) of every replicate of a clustered bootstrap: sums of ``values`` under the weights of
+    the drawn clusters, and the aggregates ``held``, which no weight changes, over all rows of the keys. The first of
+    the values is 1 for each row; keys that a replicate draws nothing of aren't in it.
 
-    Records fall to (cluster, keys, score) counts first; drawn weights meet those counts and are summed by (b, keys,
-    score) before they are shuffled. That is replicates times distinct scores in all: rounded scores make it small,
-    but where every record has a score of its own it is replicates times records, which no exact ranking metric of a
-    replicate can do without. A replicate with one class has a null auroc, one without positives a null average
-    precision: they are invalid, and counted as such by ``intervals_of``.
+    A cluster's weights in BLOCK replicates are columns of one row, so a record is met once for each block and summed
+    where it lies; only sums by block and keys are shuffled after that.
     """
-    hist = pred.groupBy(cluster, *keys, "prob").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(F.col("target").cast("long")).alias("__y")
-    )
-    clusters = pred.select(cluster).distinct().withColumn("__all", F.lit(0))
+    clusters = rows.select(cluster).distinct().withColumn("__all", F.lit(0))
     ranked = prefix_scan(clusters, ["__all"], [F.col(cluster)], {"__rank": F.lit(1).cast("long")})
     numbered = ranked.select("__all", cluster, (F.col("__rank") - 1).alias("__i"))
+    drawn = drawn_clusters(numbered, ["__all"], replicates, seed)
+    own = [F.coalesce(F.sum(F.when(F.col("b") % BLOCK == k, F.col("__w"))), F.lit(0)).alias(f"__w{k}") for k in range(min(BLOCK, replicates))]
+    blocks = drawn.groupBy("__i", F.expr(f"b DIV {BLOCK}").alias("__block")).agg(*own)
     # by merging: no side is small, whatever the size of its file
-    drawn = drawn_clusters(numbered, ["__all"], replicates, seed).join(numbered.drop("__all").hint("merge"), "__i")
-    w = F.col("__w")
-    cells = drawn.join(hist.hint("merge"), cluster).groupBy("b", *keys, "prob").agg(
-        F.sum(w * F.col("__n")).alias("__n"), F.sum(w * F.col("__y")).alias("__y")
-    )
+    weights = blocks.join(numbered.drop("__all").hint("merge"), "__i").drop("__i")
+    met = rows.join(weights.hint("merge"), cluster)
+    sums = [F.sum(F.col(f"__w{k}") * v).alias(f"__{name}{k}") for k in range(len(own)) for name, v in values.items()]
+    cells = met.groupBy("__block", *keys).agg(*sums, *[c.alias(name) for name, c in held.items()])
+    each = F.posexplode(F.array(*[F.struct(*[F.col(f"__{name}{k}").alias(name) for name in values]) for k in range(len(own))])).alias("__k", "__v")
+    b = (F.col("__block") * BLOCK + F.col("__k")).cast("int").alias("b")
+    return cells.select("__block", *keys, *held, each).where(F.col(f"__v.{next(iter(values))}") > 0).select(b, *keys, "__v.*", *held)
+
+
+def bootstrap_metrics(pred: DataFrame, keys: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
+    """B2: (b, keys, rate, auroc, average_precision, brier, log_loss, ece) of every replicate of a clustered bootstrap.
+
+    Records are summed under drawn weights by (b, keys, score) before anything is ranked. That is replicates times
+    distinct scores in all: rounded scores make it small, but where every record has a score of its own it is replicates
+    times records, which no exact ranking metric of a replicate can do without. A replicate with one class has a null
+    auroc, one without positives a null average precision: they are invalid, and counted as such by ``intervals_of``.
+    """
+    rows = pred.select(cluster, *keys, "prob", F.col("target").cast("long").alias("target"))
+    cells = by_replicate(rows, [*keys, "prob"], cluster, {"__n": F.lit(1), "__y": F.col("target")}, {}, replicates, seed)
     return metrics_of_hist(cells, ["b", *keys]).select("b", *keys, *METRICS)
 
 
@@ -200,22 +219,12 @@ def paired_bootstrap(
 def bootstrap_risk(losses: DataFrame, keys: list[str], cluster: str, loss: str, replicates: int, seed: int) -> DataFrame:
     """(b, keys, aurc, augrc, coverage, accepted_loss) of every replicate.
 
-    ``losses`` has the cluster, ``uncertainty``, the loss and ``maximum_entropy`` (its gate). Rows fall to (cluster,
-    keys, uncertainty) sums first, as in ``bootstrap_metrics``.
+    ``losses`` has the cluster, ``uncertainty``, the loss and ``maximum_entropy`` (its gate, one for each of the keys).
+    Rows are summed by (b, keys, uncertainty) first, as in ``bootstrap_metrics``.
     """
-    inside = (F.col("uncertainty") <= F.col("maximum_entropy")).cast("long")
-    hist = losses.groupBy(cluster, *keys, "uncertainty").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(loss).alias("__l"), F.max(inside).alias("__in")
-    )
-    clusters = losses.select(cluster).distinct().withColumn("__all", F.lit(0))
-    ranked = prefix_scan(clusters, ["__all"], [F.col(cluster)], {"__rank": F.lit(1).cast("long")})
-    numbered = ranked.select("__all", cluster, (F.col("__rank") - 1).alias("__i"))
-    # by merging: no side is small, whatever the size of its file
-    drawn = drawn_clusters(numbered, ["__all"], replicates, seed).join(numbered.drop("__all").hint("merge"), "__i")
-    w = F.col("__w")
-    cells = drawn.join(hist.hint("merge"), cluster).groupBy("b", *keys, "uncertainty").agg(
-        F.sum(w * F.col("__n")).alias("__m"), F.sum(w * F.col("__l")).alias("__l"), F.max("__in").alias("__in")
-    )
+    inside = F.max((F.col("uncertainty") <= F.col("maximum_entropy")).cast("long"))
+    values = {"__m": F.lit(1), "__l": F.col(loss)}
+    cells = by_replicate(losses, [*keys, "uncertainty"], cluster, values, {"__in": inside}, replicates, seed)
     cells = materialise(cells, "risk-cells")
     area = area_of_ties(cells, ["b", *keys], "uncertainty")
     taken = F.sum(F.col("__m") * F.col("__in"))

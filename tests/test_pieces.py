@@ -1,7 +1,10 @@
 """Steps whose memory or time once grew faster than their tables: rows are dealt by number, met once and summed early."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from evalspark.operators import intervals as iv
 from evalspark.operators import joins as j
 from evalspark.queries import tables
 from tests.conftest import SF
@@ -32,3 +35,21 @@ def test_subgroup_join_deals_rows_by_number(spark):
 def test_subgroup_audit_expands_no_rows(spark):
     plan = plan_of(tables.a20_subgroup_audit(spark, SF))
     assert plan.count("REPARTITION_BY_NUM") == 3 and "Expand" not in plan
+
+
+def test_a_record_is_met_once_for_a_block_of_replicates(spark):
+    rows = [(p, label, (p * 7 + i) % 10 / 10, (p + i) % 2) for p in range(30) for i in range(4) for label in "ab"]
+    pred = spark.createDataFrame(rows, "patient_id long, label string, prob double, target int")
+    values = {"__n": F.lit(1), "__y": F.col("target").cast("long")}
+    cells = iv.by_replicate(pred, ["label", "prob"], "patient_id", values, {}, 23, 5)
+    got = {(r.b, r.label, r.prob): (r["__n"], r["__y"]) for r in cells.collect()}
+    want = {}
+    for b in range(23):
+        for k in range(30):
+            drawn = int(hashlib.md5(f"5|{b}|{k}".encode()).hexdigest()[:8], 16) % 30
+            for _, label, prob, y in (r for r in rows if r[0] == drawn):
+                n, s = want.get((b, label, prob), (0, 0))
+                want[b, label, prob] = n + 1, s + y
+    assert got == want
+    # predictions join 3 rows a patient, not 23
+    assert "posexplode(array(struct" in plan_of(cells)
