@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import intervals as iv
 from evalspark.operators import joins as j
+from evalspark.operators import metrics as m
 from evalspark.queries import tables
 from tests.conftest import SF
 
@@ -53,3 +54,17 @@ def test_a_record_is_met_once_for_a_block_of_replicates(spark):
     assert got == want
     # predictions join 3 rows a patient, not 23
     assert "posexplode(array(struct" in plan_of(cells)
+
+
+def test_gates_and_metrics_of_groups_join_records_once(spark, monkeypatch):
+    written, real = [], m.materialise
+    monkeypatch.setattr(m, "materialise", lambda df, name: written.append(plan_of(df)) or real(df, name))
+    pred = spark.createDataFrame([("m", "a", i, i % 2, (i % 5 + 1) / 10, i % 5 / 5) for i in range(40)] + [("x", "a", 1, 1, 0.5, 0.1)], "model_id string, label string, record_id long, target int, prob double, uncertainty double")
+    groups = spark.createDataFrame([(i, "half", "lo" if i < 20 else None) for i in range(40)], "record_id long, attribute string, group_value string")
+    gates = spark.createDataFrame([("m", 0.5)], "model_id string, maximum_entropy double")
+    out = m.subgroup_audit(pred, groups, ["model_id", "label"], gates, 5)
+    got = {r.group_value: (r.n, r.coverage, round(r.accepted_brier, 9)) for r in out.collect()}
+    error = lambda ids: sum(((i % 5 + 1) / 10 - i % 2) ** 2 for i in ids) / len(ids)
+    on = [i for i in range(40) if i % 5 / 5 <= 0.5]
+    assert got == {"lo": (20, 0.6, round(error([i for i in on if i < 20]), 9)), "unknown": (20, 0.6, round(error([i for i in on if i >= 20]), 9))}
+    assert len(written) == 1 and "record_id" not in plan_of(out)
