@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.joins import in_pieces
+from evalspark.plans.scratch import materialise
+
 
 def repeated_reviews(reviews: DataFrame) -> DataFrame:
     """(proposal, reviewer, n) where one reviewer judged a proposal more than once."""
@@ -18,21 +21,25 @@ def panel_summary(
     ``per_proposal`` of them: counts, moments of the rating, rates, agreement of pairs on ``useful`` with its
     chance-corrected kappa, mean distance of pairs' ratings, and a status.
 
-    Pairs are counted from votes and rating histograms of each proposal, so none is ever made. The status is
+    Pairs are counted from votes and rating histograms of each proposal, which are written once, so none is ever made.
+    Rows are dealt out by their number: a task's memory doesn't grow with the table. The status is
     ``threshold_met`` if there are enough proposals, reviews and reviewers and the share of useful votes reaches the
     threshold, ``descriptive_only`` if only the counts suffice, else ``insufficient``. Without an eligible proposal
     the moments are null.
     """
-    counts = reviews.groupBy("proposal").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= per_proposal)
-    kept = reviews.join(counts.select("proposal"), "proposal", "left_semi")
+    pieces = in_pieces(reviews)
     useful, artifact = F.col("useful").cast("long"), F.col("artifact").cast("long")
-    cells = kept.groupBy("proposal", "rating").agg(
+    votes = reviews.repartition(pieces, "proposal", "rating").groupBy("proposal", "rating").agg(
         F.count(F.lit(1)).alias("n"), F.sum(useful).alias("u"), F.sum(artifact).alias("a")
     )
-    below = Window.partitionBy("proposal").orderBy("rating").rowsBetween(Window.unboundedPreceding, -1)
+    votes = materialise(votes, "votes")
+    own = Window.partitionBy("proposal")
+    dealt = votes.where("proposal IS NOT NULL").repartition(in_pieces(votes), "proposal")
+    below = own.orderBy("rating").rowsBetween(Window.unboundedPreceding, -1)
     lower, lower_sum = F.coalesce(F.sum("n").over(below), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("rating")).over(below), F.lit(0))
     apart = F.col("n") * (F.col("rating") * lower - lower_sum)
-    panels = cells.withColumn("apart", apart).groupBy("proposal").agg(*[F.sum(c).alias(c) for c in ("n", "u", "a", "apart")])
+    cells = dealt.withColumns({"__all": F.sum("n").over(own), "apart": apart}).where(F.col("__all") >= per_proposal)
+    panels = cells.groupBy("proposal").agg(*[F.sum(c).alias(c) for c in ("n", "u", "a", "apart")])
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2
     no = F.col("n") - F.col("u")
     pairs = panels.agg(
@@ -47,7 +54,10 @@ def panel_summary(
         mean.alias("mean_rating"), F.percentile("rating", 0.5, F.col("n")).alias("median_rating"),
         F.sqrt(F.greatest(F.sum(F.col("n") * r * r) / n - mean * mean, F.lit(0.0))).alias("rating_sd"),
     )
-    seen = reviews.agg(F.count(F.lit(1)).alias("total_reviews"))
+    seen = votes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_reviews"))
+    # a piece holds fewer eligible proposals than it has reviews
+    eligible = votes.repartition(pieces, "proposal").groupBy("proposal").agg(F.sum("n").alias("n")).where(F.col("n") >= per_proposal).select("proposal")
+    kept = reviews.select("proposal", "reviewer").repartition(pieces, "proposal").join(eligible.hint("shuffle_hash"), "proposal", "left_semi")
     people = kept.agg(F.count_distinct("reviewer").alias("unique_reviewers"))
     # each of these has one row
     one = F.lit(1).alias("__one")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.operators import intervals as iv
 from evalspark.operators import joins as j
 from evalspark.operators import metrics as m
+from evalspark.operators import panels as p
 from evalspark.queries import tables
 from tests.conftest import SF
 
@@ -68,3 +69,16 @@ def test_gates_and_metrics_of_groups_join_records_once(spark, monkeypatch):
     on = [i for i in range(40) if i % 5 / 5 <= 0.5]
     assert got == {"lo": (20, 0.6, round(error([i for i in on if i < 20]), 9)), "unknown": (20, 0.6, round(error([i for i in on if i >= 20]), 9))}
     assert len(written) == 1 and "record_id" not in plan_of(out)
+
+
+def test_panels_deal_reviews_by_number(spark, monkeypatch):
+    rows = [(1, 1, 1, 1, 0), (1, 2, 3, 0, 1), (1, 2, 4, 1, 0), (2, 3, 5, 1, 1), (None, 4, 5, 1, 1), (None, 4, 5, 1, 1), (None, 5, 1, 1, 1)]
+    reviews = spark.createDataFrame(rows, "proposal long, reviewer long, rating long, useful int, artifact int")
+    monkeypatch.setattr(p, "in_pieces", lambda df: 5)
+    out = p.panel_summary(reviews, 3, 1, 1, 1, 0.5)
+    plan = plan_of(out)
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan
+    r = out.first()
+    assert (r.total_reviews, r.eligible_reviews, r.eligible_proposals, r.unique_reviewers, r.median_rating) == (7, 3, 1, 2, 3.0)
+    assert round(r.agreement, 9) == round(1 / 3, 9) and r.rating_distance == 2.0 and r.status == "threshold_met"
+    assert p.panel_summary(reviews.where("false"), 3, 1, 1, 1, 0.5).first().total_reviews == 0
