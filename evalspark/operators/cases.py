@@ -7,14 +7,15 @@ worked out once for all cases, in the record's own row.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.operators.corruptions import shifted, unit_draw
-from evalspark.operators.limits import Contract, Reversal, assess_records
+from evalspark.operators.joins import in_pieces
+from evalspark.operators.limits import PIECE_LEADS, Contract, Reversal, assess_rows, lead_facts
 from evalspark.operators.waves import doubles, wave_fingerprint
 
 N_LEADS = 12
@@ -114,13 +115,23 @@ def corrupt_cases(wave: DataFrame, cases: tuple[Case, ...] = GRID, seed: int = S
     leads, from a start that seed and record fix, and all of a shorter record. One shuffle, by record; ``cases`` are
     compiled into the plan, which grows with them. Leads are numbered and each stands once in a record.
     """
+    each = case_rows(wave, cases, seed).select("record_id", "fs", "case_id", F.explode("l").alias("x"))
+    return each.select("case_id", "record_id", "x.lead_idx", "fs", F.col("x.s").alias("samples"))
+
+
+def case_rows(wave: DataFrame, cases: tuple[Case, ...], seed: int, facts: Sequence[Column] = ()) -> DataFrame:
+    """``corrupt_cases`` with one row for each record and case: record_id, fs, ``facts`` (aggregates of the record's rows),
+    case_id and the leads ``l``. Records are dealt out by the number of leads, as each becomes as many as there are cases.
+    """
     unknown = [c.kind for c in cases if c.kind not in KINDS]
     if unknown:
         raise ValueError(f"no such kind of case: {unknown[0]}")
     if any(c.kind == "order" and sorted(c.leads) != list(range(len(c.leads))) for c in cases):
         raise ValueError("an order must hold each lead once")
     item = F.struct(F.col("lead_idx").cast("int").alias("lead_idx"), doubles(F.col("samples")).alias("s"))
-    rows = wave.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("l"), F.first("fs").alias("fs"))
+    dealt = wave.repartition(in_pieces(wave, PIECE_LEADS), "record_id")
+    rows = dealt.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("l"), F.first("fs").alias("fs"), *facts)
+    kept = [c for c in rows.columns if c != "l"]
     size = _over(F.col("l"), lambda x: F.size(x["s"]))
     rows = rows.withColumns({"n": F.array_max(F.transform("l", lambda x: F.size(x["s"]))), "draw": unit_draw(F.lit(seed), F.col("record_id"), F.lit("mask"))})
     rows = rows.withColumn("rms", F.greatest(F.sqrt(_over(F.col("l"), lambda x: _squares(x["s"])) / size), F.lit(LEAST_RMS)))
@@ -130,8 +141,7 @@ def corrupt_cases(wave: DataFrame, cases: tuple[Case, ...] = GRID, seed: int = S
         rows = rows.withColumn("noise", F.transform("l", lambda x: F.transform(x["s"], lambda _, k: normal(x, k))))
         rows = rows.withColumn("noise_rms", F.sqrt(_over(F.col("noise"), _squares) / size))
     made = F.array(*[F.struct(F.lit(c.case_id).alias("case_id"), KINDS[c.kind](c).alias("l")) for c in cases])
-    each = rows.select("record_id", "fs", F.explode(made).alias("c")).select("record_id", "fs", "c.case_id", F.explode("c.l").alias("x"))
-    return each.select("case_id", "record_id", "x.lead_idx", "fs", F.col("x.s").alias("samples"))
+    return rows.select(*kept, F.explode(made).alias("c")).select(*kept, "c.case_id", "c.l")
 
 
 def stress_matrix(
@@ -139,11 +149,11 @@ def stress_matrix(
     reversal: Reversal | None = Reversal(), seed: int = SEED,
 ) -> DataFrame:
     """Q11: case_id, preset, a count of records for each status, and fail_open: how many records of a case that isn't
-    harmless are allowed all the same. All cases and presets are judged in one job."""
-    named = wave.select("record_id", "lead_idx", "lead_name", "seconds", "unit")
-    bad = corrupt_cases(wave, cases, seed).join(named, ["record_id", "lead_idx"])
-    keyed = bad.withColumn("record_id", F.struct("case_id", "record_id"))
-    judged = assess_records(keyed, limits, contract, reversal).select(F.col("record_id.case_id").alias("case_id"), "preset", "status", "allowed")
+    harmless are allowed all the same. All cases and presets are judged in one job, each case in a row of its own that
+    nothing but its counts leaves."""
+    rates = F.transform(F.array_sort(F.collect_list(F.struct("lead_idx", "fs"))), lambda x: x["fs"]).alias("rates")
+    rows = case_rows(wave, cases, seed, [rates, *lead_facts(contract)])
+    judged = assess_rows(rows, ["case_id", "record_id"], limits, contract, reversal)
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("ACCEPTABLE", "LIMITED", "REACQUIRE", "INVALID")]
     open_ = F.count_if(F.col("allowed") & ~F.col("case_id").isin(*harmless)).alias("fail_open")
     return judged.groupBy("case_id", "preset").agg(*counts, open_)

@@ -1,6 +1,7 @@
 """Contracts, limits, spectra, resampling, the grid of cases and attribution maps on made-up records."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -12,7 +13,8 @@ from evalspark.operators import cases as cs
 from evalspark.operators import limits as li
 from evalspark.operators import spectra as sp
 from evalspark.operators.attributions import attribution_similarity, average_ranks
-from evalspark.operators.waves import polarity
+from evalspark.operators.records import METRICS, longest_runs, record_measures
+from evalspark.operators.waves import POLAR_SHARE, correlation, limb_consistency, polarity
 
 WAVE = "record_id long, lead_idx int, lead_name string, fs double, seconds double, unit string, samples array<double>"
 T = np.arange(1000) / 100
@@ -173,6 +175,60 @@ def test_stress_matrix(spark):
     assert got["mask-200", "v1"].fail_open == 2 and got["mask-200", "v2"].fail_open == 0 and got["mask-200", "v2"].reacquire == 2
 
 
+def test_cases_are_judged_where_they_are_made(spark, monkeypatch):
+    """A record's cases leave its piece as counts only: leads are shuffled once, before there are cases, and measured once."""
+    wave = spark.createDataFrame(record(0) + record(1) + record(2), WAVE)
+    for m in (cs, li):
+        monkeypatch.setattr(m, "PIECE_LEADS", 12)
+    cases = tuple(c for c in cs.GRID if c.case_id in ("clean", "drop-7", "noise-10db"))
+    out = cs.stress_matrix(wave, li.limit_rows(spark), li.Contract(), cases)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    # limits are gathered by preset, records by their number, counts by case
+    assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == ["case_id", "preset", "record_id"]
+    assert plan.count("ArrowEvalPython") == 1 and "SortMergeJoin" not in plan
+    assert cs.case_rows(wave, cases, 1).rdd.getNumPartitions() == 3
+    assert {(r.case_id, r.preset): r.acceptable + r.limited + r.reacquire + r.invalid for r in out.collect()} == {(c.case_id, p): 3 for c in cases for p in ("v1", "v2")}
+
+
+def test_measures_of_records_of_many_shapes_in_one_batch(spark):
+    rng = np.random.default_rng(4)
+    shapes = {0: (12, 40), 1: (12, 40), 2: (7, 40), 3: (12, 9), 4: (12, 2), 5: (12, 1), 6: (12, 40), 7: (12, 40)}
+    x = {i: [rng.normal(size=n).tolist() for _ in range(k)] for i, (k, n) in shapes.items()}
+    x[1][8], x[1][3], x[0][2] = (np.array(x[1][6]) + 1e-4).tolist(), [0.1] * 40, (np.round(x[0][2]) * 1.0).tolist()
+    x[6][5], x[7][4] = None, [None, *x[7][4][1:]]
+    x |= {8: [*x[0][:11], x[0][11][:39]], 9: [[1.0, float("nan")]], 10: []}
+    # leads of records 2 are numbered from 5 on
+    rows = [(i, [k + 5 * (i == 2) for k in range(len(s))], [100.0] * len(s), s) for i, s in x.items()]
+    asked = (0, 11, (0, 11), (1, 10))
+    df = spark.createDataFrame(rows, "i int, numbers array<int>, rates array<double>, s array<array<double>>").coalesce(1)
+    got = {r.i: r.m for r in df.select("i", record_measures(F.col("s"), F.col("numbers"), F.col("rates"), F.lit(5e-4), asked, POLAR_SHARE).alias("m")).collect()}
+    assert {i: m.finite for i, m in got.items()} == {i: i not in (6, 7, 9) for i in x}
+    assert all(got[i].values is None and got[i].pairs == [] for i in (6, 7, 8, 9, 10))
+    leads = spark.createDataFrame([(i, k + 5 * (i == 2), 100.0, s) for i in range(6) for k, s in enumerate(x[i])], "record_id int, lead_idx int, fs double, samples array<double>")
+    each = {(r.record_id, r.lead_idx): r for r in li.lead_measures(leads).collect()}
+    assert {k for k in each if k[0] == 5} == set() and got[5].values == []
+    for i in range(5):
+        k = len(x[i])
+        for at, metric in enumerate(METRICS):
+            own = [each[i, n][metric] for n in rows[i][1]]
+            assert got[i].values[at * k : (at + 1) * k] == pytest.approx(own) and (got[i].least[at], got[i].most[at]) == pytest.approx((min(own), max(own)))
+    limb = {r.record_id: r.limb_residual for r in limb_consistency(leads).collect()}
+    assert {i: got[i].limb for i in range(6)} == {i: pytest.approx(limb[i]) if i != 2 else None for i in range(6)}
+    told = df.where("i IN (0, 1, 3, 4, 5)").select("i", *[polarity(F.get("s", F.lit(k))).alias(f"p{k}") for k in (0, 11)], *[correlation(F.get("s", F.lit(a)), F.get("s", F.lit(b))).alias(f"c{a}") for a, b in asked[2:]])
+    for r in told.collect():
+        assert got[r.i].strengths == pytest.approx([r.p0, r.p11, r.c0, r.c1], abs=1e-9)
+    assert np.isnan(got[2].strengths[0]) and not np.isnan(got[2].strengths[1]) and np.isnan(got[2].strengths[2])
+    assert [(p.a, p.b) for p in got[1].pairs] == [(6, 8)] and got[1].pairs[0].apart == pytest.approx(1e-4) and got[0].pairs == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.booleans(), max_size=30))
+def test_longest_runs(mask):
+    want = max(map(len, "".join("1" if m else "0" for m in mask).split("0")))
+    assert longest_runs(np.array([mask, [True] * len(mask)], bool).reshape(2, -1)).tolist() == [want, len(mask)]
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.sampled_from([-1.0, 0.0, 0.5, 2.0, 3.0]), max_size=12))
 def test_average_ranks(spark, values):
