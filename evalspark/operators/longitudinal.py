@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.operators.metrics import average_precision, pointwise, roc_auc
@@ -46,6 +46,18 @@ def temporal_split(timelines: DataFrame, first: str, second: str) -> DataFrame:
     return timelines.select("patient_id", F.when(at < F.lit(first).cast("timestamp"), "development").when(at < F.lit(second).cast("timestamp"), "calibration").otherwise("evaluation").alias("split"))
 
 
+def means_in_order(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """One row for each ``key``: the mean of its doubles, added up one by one in ``order``; nulls are left out.
+
+    A sum of doubles depends on its order, and a mean near a half then rounds to either side. Here it is the same under any
+    partitioning, and that of a plain scan in this order. The rows of a key pass a window that spills; no array holds them.
+    """
+    place = Window.partitionBy(key).orderBy(*order)
+    so_far = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select(key, value, F.row_number().over(place).alias("__place"), F.sum(value).over(so_far).alias("__sum"))
+    return run.groupBy(key).agg((F.max_by("__sum", "__place") / F.count(value)).alias("mean"))
+
+
 def evaluate_risk(obs: DataFrame) -> DataFrame:
     """L4: ranking and Brier on observed outcomes, and how many rows other statuses exclude."""
     seen = obs.where("target_status = 'observed'").select(F.lit("all").alias("cohort"), F.col("patient_id").alias("record_id"), F.col("risk").alias("prob"), F.col("outcome").alias("target"))
