@@ -40,7 +40,7 @@ def test_mean_risks(spark, folder):
     assert got == want and len(got) == 15 * len(VALUES) + 1
 
 
-@pytest.mark.parametrize("module, name", [(series, "l5_risk_bins")])
+@pytest.mark.parametrize("module, name", [(series, "l5_risk_bins"), (series, "l6_follow_up")])
 def test_bins(spark, folder, module, name):
     df = module.QUERIES[name](spark, folder)
     rel = sql_rows(folder, module.ORACLE_SQL[name])
