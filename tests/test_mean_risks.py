@@ -7,7 +7,7 @@ import pytest
 
 from evalspark.operators import longitudinal as lo
 from evalspark.plans.fixtures import with_fixtures
-from evalspark.queries import series
+from evalspark.queries import followups, series
 
 #: Means of 0.3 + 0.6 k, whose sums in this order round to other sides than exact ones.
 VALUES = [
@@ -40,7 +40,7 @@ def test_mean_risks(spark, folder):
     assert got == want and len(got) == 15 * len(VALUES) + 1
 
 
-@pytest.mark.parametrize("module, name", [(series, "l5_risk_bins"), (series, "l6_follow_up")])
+@pytest.mark.parametrize("module, name", [(series, "l5_risk_bins"), (series, "l6_follow_up"), (followups, "l6_follow_up_fractions")])
 def test_bins(spark, folder, module, name):
     df = module.QUERIES[name](spark, folder)
     rel = sql_rows(folder, module.ORACLE_SQL[name])
