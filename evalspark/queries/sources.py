@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from evalspark.functions.expressions import round_scaled
 from evalspark.operators.joins import table_fingerprint
 from evalspark.plans.fixtures import fixture, with_fixtures
 from evalspark.plans.scratch import scratch_root, table
@@ -122,7 +123,7 @@ def s5_read_waveforms(spark, d):
     text.withColumn("text", F.when(F.col("record_id") % 9 == 5, "no record").otherwise(F.col("text"))).repartition("record_id").write.partitionBy("record_id").text(path)
     rows = wf.read_waveform_files(spark, path, decode_lines, _EXPECTED, ".txt", 16)
     record = F.regexp_extract("path", r"record_id=(\d+)", 1).cast("long").alias("record_id")
-    return rows.select(record, "lead_idx", "lead_name", "problem", F.posexplode_outer("samples").alias("i", "value")).withColumn("value", F.round("value", 6))
+    return rows.select(record, "lead_idx", "lead_name", "problem", F.posexplode_outer("samples").alias("i", "value")).withColumn("value", round_scaled(F.col("value"), 6))
 
 
 def s11_publish_table(spark, d):
